@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from claimweave.llm.langid import op9_language_id
 from claimweave.llm.licences import op4_licence_scan
+from claimweave.llm.minhash import op7_minhash_near_dedup
 from claimweave.llm.mixing import op2_source_mixing
 from claimweave.llm.packing import op5_packing
 from claimweave.llm.rules import op6_quality_rules
@@ -12,7 +13,7 @@ from claimweave.llm.tokens import op10_token_counts
 
 
 def queries() -> dict:
-    named = [op2_source_mixing, op4_licence_scan, op5_packing, op6_quality_rules, op9_language_id, op10_token_counts]
+    named = [op2_source_mixing, op4_licence_scan, op5_packing, op6_quality_rules, op7_minhash_near_dedup, op9_language_id, op10_token_counts]
     return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
 
 
