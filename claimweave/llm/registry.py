@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from claimweave.llm.embeddings import op8_embedding_near_dedup
 from claimweave.llm.langid import op9_language_id
 from claimweave.llm.licences import op4_licence_scan
 from claimweave.llm.minhash import op7_minhash_near_dedup
@@ -14,7 +15,7 @@ from claimweave.llm.tokens import op10_token_counts
 
 
 def queries() -> dict:
-    named = [op1_pii_pseudonyms, op2_source_mixing, op4_licence_scan, op5_packing, op6_quality_rules, op7_minhash_near_dedup, op9_language_id, op10_token_counts]
+    named = [op1_pii_pseudonyms, op2_source_mixing, op4_licence_scan, op5_packing, op6_quality_rules, op7_minhash_near_dedup, op8_embedding_near_dedup, op9_language_id, op10_token_counts]
     return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
 
 
