@@ -7,6 +7,7 @@ one token each. Repeated rows are counted row by row; extra columns are ignored.
 
 from __future__ import annotations
 
+import os
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ from claimweave.llm.common import documents, stored
 #: Pre-tokens whose counts go to every task: most entries, and most bytes in all.
 HOT_ENTRIES, HOT_BYTES = 200_000, 8 << 20
 #: Distinct pre-tokens that a task gathers before it hands on their counts.
-HELD = 400_000
+HELD = 120_000
 #: The split before the merges of byte-level vocabularies, as published with them.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -58,8 +59,8 @@ def pretoken_counts(docs: DataFrame, special: tuple[str, ...], text: str = "text
             return batch
 
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                if x:
+            for x in batch.column(0):
+                if x := x.as_py():
                     held.update(split(x)[0])
                 if len(held) >= HELD:
                     yield out()
@@ -72,10 +73,11 @@ def piece_counts(pretokens: DataFrame, path: str) -> DataFrame:
     """pretokens with n_pieces: each distinct pre-token is encoded once, its ids are counted and dropped."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         library = tokenizers.Tokenizer.from_file(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 lengths = [len(x) for x in library.encode_batch_fast(part.column(0).to_pylist(), add_special_tokens=False)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lengths, pa.int32())], names=["piece", "n", "n_pieces"])
 
@@ -99,8 +101,8 @@ def token_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
         """A row for each document with what the hot table knows (piece: a key of its own), and one for each other pre-token of it."""
         split, known, nth = splitter(special), shared.value, 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
                 ids, of, total, piece, n = [], [], [], [], []
                 for i, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     pieces, extra = split(x or "")
