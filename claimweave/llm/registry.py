@@ -10,12 +10,13 @@ from claimweave.llm.minhash import op7_minhash_near_dedup
 from claimweave.llm.mixing import op2_source_mixing
 from claimweave.llm.packing import op5_packing
 from claimweave.llm.pii import op1_pii_pseudonyms
+from claimweave.llm.quality import op3_quality_classifier
 from claimweave.llm.rules import op6_quality_rules
 from claimweave.llm.tokens import op10_token_counts
 
 
 def queries() -> dict:
-    named = [op1_pii_pseudonyms, op2_source_mixing, op4_licence_scan, op5_packing, op6_quality_rules, op7_minhash_near_dedup, op8_embedding_near_dedup, op9_language_id, op10_token_counts]
+    named = [op1_pii_pseudonyms, op2_source_mixing, op3_quality_classifier, op4_licence_scan, op5_packing, op6_quality_rules, op7_minhash_near_dedup, op8_embedding_near_dedup, op9_language_id, op10_token_counts]
     return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
 
 

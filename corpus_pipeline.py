@@ -1,11 +1,19 @@
-"""Stages that turn raw documents into packed training sequences."""
+"""Stages that turn raw documents into packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that the next one gets as Parquet; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from claimweave.llm.minhash import deduplicated
+from claimweave.llm.mixing import mixed_copies
+from claimweave.llm.packing import packed
+from claimweave.llm.pii import pseudonymised
 from claimweave.llm.rules import kept_documents
 
 
@@ -14,7 +22,34 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return kept_documents(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality rules", quality_rules)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    return deduplicated(docs, percent=80)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by pseudonyms; n_chars, where there is one, stays that of the text as it came."""
+    return pseudonymised(docs).select(*(f"`{c}`" for c in docs.columns))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the target weights of the sources take it."""
+    return mixed_copies(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2,048 tokens."""
+    return packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", quality_rules),
+    ("MinHash near-dedup", near_dedup),
+    ("PII", pii),
+    ("mixing sources to target weights", source_mix),
+    ("packing", packing),
+]
+#: SQL states neither pseudonyms, mixing nor packing; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
