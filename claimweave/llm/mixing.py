@@ -3,7 +3,7 @@
 Every document gets a rate r that keeps a divergence from 1 small, sum of b (r ln r - r) with b the root of its size, under one token
 constraint for each source and 0 <= r <= 3. The dual is convex in one number for each source; its Newton steps are aggregates over
 (source, size) cells, safeguarded by a bracket. Rates are exp(lambda size / b), at most 3, so a rate depends on source and size alone.
-Rates become whole copies by a hash of the document; an offset for each source, found by three rounds of histograms, and up to three
+Rates become whole copies by a hash of the document; an offset for each source, found by rounds of histograms, and up to three
 repairs with small documents bring the words taken up to the target. Documents are never gathered, ordered or ranked in one task.
 
 Null sources are a source of their own, in the last place. Null and empty texts have size 0 and cost nothing. Repeated rows (same id and
@@ -26,7 +26,13 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
 #: Weights are a setting kept in the driver: more sources than this are refused.
 MOST_SOURCES = 4096
-BINS, LEVELS, REPAIRS, NEWTON = 128, 3, 3, 40
+REPAIRS, NEWTON = 3, 40
+#: A search's bins over all sources in one round, most of one source, and the parts of a range that the last round tells apart.
+ALL_BINS, MOST_BINS, PARTS = 400_000, 4096, 1 << 21
+#: Repairs end where every source lies within this part of its target.
+CLOSE = 5e-4
+#: Partitions of the cells: there are as many rows as pairs of a source and a size.
+CELL_TASKS = 16
 STEPS = 3.0  # thresholds of copies lie in (-STEPS, STEPS]
 
 
@@ -96,7 +102,7 @@ class Mix:
 def solve(rows: DataFrame) -> Mix:
     """rows: source, size (long) and key (long), read some thirty times: give a table, not a long plan."""
     spark = rows.sparkSession
-    cells = reliable(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
+    cells = reliable(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")).coalesce(CELL_TASKS))
     per = cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("size"), F.sum(F.col("n") * F.col("size") * F.col("size").cast("double")).alias("square")).limit(MOST_SOURCES + 1).collect()
     if len(per) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -106,6 +112,8 @@ def solve(rows: DataFrame) -> Mix:
     _newton(mix, cells)
     _offsets(mix, rows)
     for j in range(REPAIRS):
+        if all(s.target - s.taken <= CLOSE * s.target for s in mix.sources.values()):
+            break
         _repair(mix, rows, j)
     return mix
 
@@ -121,6 +129,13 @@ def _newton(mix: Mix, cells: DataFrame) -> None:
             s.tilt = math.log(s.target / s.size) if s.target > 0 else -60.0
             open_.add(k)
     z = F.sqrt(F.col("size") / F.col("_scale"))
+    # a start from sizes in some hundred classes for each source: the same dual, coarser
+    classes = mix.joined(cells.where("size > 0"), "source").groupBy("source", F.floor(F.log2("size") * 8).alias("c")).agg(F.sum(F.col("n") * F.col("size")).alias("tokens"), F.sum(F.col("n") * F.col("size") * z).alias("z"))
+    coarse: dict[str | None, list[tuple[float, float]]] = {}
+    for x in classes.toLocalIterator():
+        coarse.setdefault(x.source, []).append((float(x.tokens), x.z / x.tokens))
+    for k in open_:
+        mix.sources[k].tilt = _bisected(coarse[k], mix.sources[k].target)
     for _ in range(NEWTON):
         if not open_:
             break
@@ -144,6 +159,17 @@ def _newton(mix: Mix, cells: DataFrame) -> None:
         s.tilt = min(s.tilt, 1e6)
 
 
+def _bisected(classes: list[tuple[float, float]], target: float) -> float:
+    low, high = -60.0, 60.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        if sum(t * min(MOST, math.exp(min(50.0, middle * z))) for t, z in classes) > target:
+            high = middle
+        else:
+            low = middle
+    return low
+
+
 def _search(mix: Mix, steps: DataFrame, low: float, high: float, room: dict[str | None, float]) -> dict[str | None, tuple[float, float]]:
     """For each source the largest threshold (to a fine bin's edge) up to which steps sum to no more than room, and that sum.
 
@@ -151,20 +177,21 @@ def _search(mix: Mix, steps: DataFrame, low: float, high: float, room: dict[str
     """
     spark = mix.spark
     span = {k: (low, high, 0.0) for k in room}
-    for _ in range(LEVELS):
+    n = max(64, min(MOST_BINS, ALL_BINS // max(1, len(room))))
+    for _ in range(math.ceil(math.log(PARTS) / math.log(n))):
         table = spark.createDataFrame([(k, a, b, s) for k, (a, b, s) in span.items()], "_s string, _a double, _b double, _done double")
-        bins = steps.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_s"))).where("at >= _a and at < _b").select("source", F.least(F.lit(BINS - 1), F.floor((F.col("at") - F.col("_a")) / (F.col("_b") - F.col("_a")) * BINS)).cast("int").alias("bin"), "size")
+        bins = steps.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_s"))).where("at >= _a and at < _b").select("source", F.least(F.lit(n - 1), F.floor((F.col("at") - F.col("_a")) / (F.col("_b") - F.col("_a")) * n)).cast("int").alias("bin"), "size")
         counts: dict[str | None, dict[int, int]] = {}
         for x in bins.groupBy("source", "bin").agg(F.sum("size").alias("size")).toLocalIterator():
             counts.setdefault(x.source, {})[x.bin] = x.size
         for k, (a, b, done) in span.items():
-            width, chosen = (b - a) / BINS, BINS
-            for i in range(BINS):
+            width, chosen = (b - a) / n, n
+            for i in range(n):
                 if done + counts.get(k, {}).get(i, 0) > room[k]:
                     chosen = i
                     break
                 done += counts.get(k, {}).get(i, 0)
-            span[k] = (a + chosen * width, a + (chosen + 1) * width, done) if chosen < BINS else (b, b, done)
+            span[k] = (a + chosen * width, a + (chosen + 1) * width, done) if chosen < n else (b, b, done)
         for k, (a, b, done) in span.items():
             if a == b:
                 span[k] = (a, a + 1e-300, done)
