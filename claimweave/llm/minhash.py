@@ -5,9 +5,10 @@
 2. Classes that share a band's key are candidates. In every bucket all members meet one pivot, another one in each band: as many
    pairs as members. The planes' bit counts, corrected for chance agreement, drop pairs that are surely too far apart.
 3. Pairs left are confirmed on the full sets, and links become components.
-4. A bucket whose members lie in more than one component is looked at again: members of its largest component are split over
-   blocks, the others go to each block, and all pairs across components whose estimate may reach the threshold are confirmed, first
-   the best few of each member, then the rest. So a link that the pivots missed is found without pairing members of one component.
+4. A bucket whose members lie in more than one component is looked at again: members of its largest component and the others are cut into
+   blocks, and pairs of blocks, but never two of the largest component, meet in tiles of bounded size. A tile's pairs across components whose
+   estimate may reach the threshold are confirmed there on the full sets, once, in the first band that the two share; it returns
+   only links that join components. So a link that the pivots missed is found, and no pair that is not one leaves the tile.
 
 Null and empty texts have an empty set and link with nothing. A text of fewer words than a shingle is one shingle. Rows that repeat a
 doc_id are one node of the graph. Extra columns are ignored.
@@ -31,10 +32,8 @@ SHINGLE = 5
 HASHES, BANDS, ROWS, B_BITS = 128, 25, 5, 4
 #: Standard errors by which an estimate may lie below the threshold.
 MARGIN = 4.5
-#: Members of a bucket's largest component in a block, and rows compared with a block at once.
+#: Members of a bucket in a block: a tile holds two blocks at most.
 BLOCK = 1024
-#: Partners of each member in the rounds after the pivots; None: all.
-ROUNDS = (8, None)
 
 MULTIPLIERS = np.array([key64("multiplier", k) | 1 for k in range(HASHES)], np.uint64)
 ADDENDS = np.array([key64("addend", k) for k in range(HASHES)], np.uint64)
@@ -154,68 +153,102 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, doc_id: str, text
     return both.where(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("u", "v").distinct()
 
 
-def across(members: DataFrame, least: float, partners: int | None) -> DataFrame:
-    """Pairs (u, v) of one bucket but different components whose estimate reaches least; only each member's best partners, if so many are given.
+def tiles(members: DataFrame) -> DataFrame:
+    """(tile, side, band, node) for the buckets that hold more than one component.
 
-    members: key, node, component, sig.
+    members: key, band, node, component. Blocks of the largest component meet blocks of the other members; these meet one another.
     """
     sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    most = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    most = most.select("key", F.col("m.component").alias("largest"), F.ceil(F.col("m.n") / BLOCK).cast("int").alias("blocks"))
-    block = F.when(F.col("component") == F.col("largest"), F.array(F.pmod(F.hash("node"), "blocks"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = members.join(most, "key").withColumn("b", F.explode(block)).select(F.xxhash64("key", "b").alias("at"), "node", "component", "sig")
+    per = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    per = per.select("key", F.col("m.component").alias("largest"), blocks(F.col("m.n")).alias("nm"), blocks(F.col("all") - F.col("m.n")).alias("no"))
+    rows = members.join(per, "key").withColumn("large", F.col("component") == F.col("largest")).withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("large"), F.col("nm")).otherwise(F.col("no"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    place = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
+    own = F.col("own")
+    mixed_ = F.when(F.col("large"), F.transform(upto(F.col("no")), lambda j: place(0, own, j, F.lit(0)))).otherwise(
+        F.concat(F.transform(upto(F.col("nm")), lambda i: place(0, i, own, F.lit(1))), F.transform(upto(F.col("no")), lambda k: place(1, F.least(own, k), F.greatest(own, k), F.when(own <= k, 0).otherwise(1))))
+    )
+    return rows.withColumn("p", F.explode(mixed_)).select(F.xxhash64("key", "p.kind", "p.i", "p.j").alias("tile"), "p.side", "band", "node")
+
+
+def across(members: DataFrame, payload: DataFrame, least: float, percent: int) -> DataFrame:
+    """Links (u, v) that join components within a bucket. payload: node, component, sig, bands, members (the full set)."""
     words, chance = HASHES // 64, 2.0**-B_BITS
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs(batches, "at"):
-            node, component = group["node"].to_numpy(), group["component"].to_numpy()
+        for group in runs(batches, "tile"):
+            node, component, side, band = (group[c].to_numpy() for c in ("node", "component", "side", "band"))
+            left = np.flatnonzero(side == 0)
+            right = np.flatnonzero(side == 1) if side.any() else left
+            if not len(left):
+                continue
             sig = np.array(group["sig"].to_pylist(), np.int64).view(np.uint64).reshape(len(node), B_BITS, words)
-            u, v = [], []
-            for at in range(0, len(node), 64):
-                apart = np.zeros((min(64, len(node) - at), len(node)), np.int32)
+            earlier = np.array(group["bands"].to_pylist(), np.int64).reshape(len(node), BANDS)[:, : band[0]]
+            own = group["members"].combine_chunks()
+            at = own.offsets.to_numpy()
+            flat = own.values.to_numpy().view(np.uint64)
+            full = [flat[at[k] : at[k + 1]] for k in range(len(node))]
+            size = np.diff(at)
+            parent = {c: c for c in component.tolist()}
+
+            def root(c: int) -> int:
+                while parent[c] != c:
+                    parent[c] = c = parent[parent[c]]
+                return c
+
+            found = []
+            for k in range(0, len(left), 64):
+                i = left[k : k + 64]
+                apart = np.zeros((len(i), len(right)), np.int32)
                 for w in range(words):
                     x = np.zeros(apart.shape, np.uint64)
                     for p in range(B_BITS):
-                        x |= sig[at : at + 64, None, p, w] ^ sig[None, :, p, w]
+                        x |= sig[i, None, p, w] ^ sig[None, right, p, w]
                     apart += np.bitwise_count(x)
                 value = (1 - apart / HASHES - chance) / (1 - chance)
-                value[component[at : at + 64, None] == component[None, :]] = -1
-                if partners is not None and partners < len(node):
-                    cut = -np.partition(-value, partners - 1, axis=1)[:, partners - 1 : partners]
-                    value[value < cut] = -1
-                i, j = np.nonzero(value >= least)
-                u.append(node[at + i]), v.append(node[j])
-            a, b = np.concatenate(u), np.concatenate(v)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["u", "v"])
+                value[component[i, None] == component[None, right]] = -1
+                value[100 * np.minimum(size[i, None], size[None, right]) < percent * np.maximum(size[i, None], size[None, right])] = -1
+                a, b = np.nonzero(value >= least)
+                order = np.argsort(-value[a, b], kind="stable")
+                for u, v in zip(i[a[order]].tolist(), right[b[order]].tolist(), strict=True):
+                    ru, rv = root(int(component[u])), root(int(component[v]))
+                    if ru == rv or (earlier[u] == earlier[v]).any():
+                        continue
+                    place = np.minimum(np.searchsorted(full[u], full[v]), size[u] - 1)
+                    both = int((full[u][place] == full[v]).sum())
+                    if 100 * both >= percent * (size[u] + size[v] - both):
+                        parent[ru] = rv
+                        found.append((node[u], node[v]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["u", "v"])
 
-    return rows.repartition("at").sortWithinPartitions("at").mapInArrow(compare, "u long, v long").distinct()
+    rows = tiles(members).join(payload, "node")
+    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row; links have 100 * intersection >= percent * union."""
     base = stored(signatures(docs, doc_id, text))
     classes = stored(base.where("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "sig", "bands")).alias("m")).select("digest", F.col("m.doc_id").alias("node"), "m.sig", "m.bands"))
-    keys = classes.select(F.explode("bands").alias("key"), "node")
+    keys = classes.select(F.posexplode("bands").alias("band", "key"), "node")
     pivots = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("key", "node")).alias("pivot")).where("n > 1").drop("n")
     shared = stored(keys.join(pivots, "key"))
     pairs = shared.where("node <> pivot").select(F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v")).distinct()
     sig = classes.select("node", "sig")
     least = least_estimate(percent / 100)
     estimated = pairs.join(sig.select(F.col("node").alias("u"), F.col("sig").alias("a")), "u").join(sig.select(F.col("node").alias("v"), F.col("sig").alias("b")), "v")
-    tested = stored(estimated.where(agreement("a", "b") >= least).select("u", "v").distinct())
-    links = stored(confirmed(tested, docs, percent, doc_id, text))
+    links = stored(confirmed(stored(estimated.where(agreement("a", "b") >= least).select("u", "v")), docs, percent, doc_id, text))
     found = components(links)
-    for partners in ROUNDS:
-        members = shared.select("key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).join(sig, "node")
-        new = stored(across(members, least, partners).join(tested, ["u", "v"], "left_anti"))
-        if new.isEmpty():
-            continue
-        more = stored(confirmed(new, docs, percent, doc_id, text))
-        tested = tested.unionByName(new)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            found = components(links)
+    members = shared.select("key", "band", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    kinds = members.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+    members = stored(members.join(kinds, "key"))
+    wanted = members.select(F.col("node").alias("_node"), "component").distinct()
+    near = docs.join(wanted.hint("shuffle_hash"), F.col(f"`{doc_id}`").cast("long") == F.col("_node"), "left_semi")
+    payload = stored(sets(near, doc_id, text).dropDuplicates(["node"]).join(wanted, F.col("node") == F.col("_node")).drop("_node").join(classes.select("node", "sig", "bands").dropDuplicates(["node"]), "node"))
+    more = stored(across(members, payload, least, percent))
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
     of = classes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     some = base.where("digest is not null").select("doc_id", "n_shingles", "digest").join(of, "digest").select("doc_id", "n_shingles", "component_id")
     none = base.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
