@@ -43,11 +43,12 @@ def materialised(nodes: DataFrame, edges: DataFrame, longest: int | None = None)
     the nearest claim that has some, encoding and size with it. Where no diff is, the claim is as written."""
     links = chain(nodes.select("id"), edges, longest)
     own = nodes.select(F.col("id").alias("at"), "fields", listed("fields", "fields_diff_omit").alias("omit"), F.struct("encoding", "content", "content_hash", "content_size").alias("body"), F.col("encoding").isNotNull().alias("has"))
-    steps = links.join(own, "at").groupBy("id").agg(F.sort_array(F.collect_list(F.struct((-F.col("back")).alias("order"), "fields", "omit"))).alias("steps"), F.min_by("body", F.when(F.col("has"), F.col("back"))).alias("body"))
+    steps = links.join(own, "at").groupBy("id").agg(F.sort_array(F.collect_list(F.struct((-F.col("back")).alias("order"), F.map_entries("fields").alias("entries"), "omit"))).alias("steps"), F.min_by("body", F.when(F.col("has"), F.col("back"))).alias("body"))
 
     def put(below: Column, s: Column) -> Column:
-        kept = F.map_filter(below, lambda k, v: ~F.array_contains(s.getField("omit"), k) & ~F.map_contains_key(s.getField("fields"), k))
-        return F.map_concat(kept, s.getField("fields"))  # no key on both sides
+        stated = F.transform(s.getField("entries"), lambda e: e.getField("key"))
+        kept = F.map_filter(below, lambda k, v: ~F.array_contains(s.getField("omit"), k) & ~F.array_contains(stated, k))
+        return F.map_concat(kept, F.map_from_entries(s.getField("entries")))  # no key on both sides
 
     fields = F.aggregate("steps", F.create_map().cast("map<string,string>"), put)
     out = steps.select("id", fields.alias("fields"), "body.encoding", "body.content", "body.content_hash", "body.content_size")

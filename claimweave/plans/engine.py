@@ -14,7 +14,7 @@ from claimweave.operators import tags
 from claimweave.operators.closure import closure
 from claimweave.operators.traverse import refuse_gaps, walk
 from claimweave.plans.predicate import filter_of, sort_columns
-from claimweave.plans.query import ARCHIVE, UNIVERSE, Content, Query, Step, validate
+from claimweave.plans.query import ARCHIVE, UNIVERSE, Content, Query, validate
 
 LEVELS = ("error", "warn", "info", "debug", "trace")
 
@@ -50,6 +50,16 @@ class Archive:
 
     def __init__(self, universe: Universe, head: str | None = None):
         self.universe, self.head = universe, head
+        self._closures: dict[str, DataFrame] = {}
+
+    def closure(self, head: str, deadline: float | None = None) -> DataFrame:
+        """The ids of a claim's closure: walked once for a snapshot, which never changes."""
+        if head not in self._closures:
+            got = closure(self._id(head), self.universe.edges, self.universe.max_height, deadline=deadline)
+            if deadline is not None:
+                return got  # it may be cut short
+            self._closures[head] = got
+        return self._closures[head]
 
     def _id(self, value: str) -> DataFrame:
         return self.universe.nodes.sparkSession.createDataFrame([(value,)], "id string")
@@ -76,7 +86,7 @@ class Archive:
         if branch != ARCHIVE and u.tags is not None and tags.tagged(u.tags, branch, head):
             height = u.nodes.where(F.col("id") == self.head).select("height").first().height
             return tags.members(u.tags, branch, height), head
-        return closure(self._id(head), u.edges, u.max_height), head
+        return self.closure(head), head
 
     def reached(self, q: Query, report: Report, strict: bool, deadline: float | None) -> DataFrame:
         """(id), or (id, route): what the query's scope, head, claim and path reach."""
@@ -84,22 +94,23 @@ class Archive:
         scope, scope_head = self.scope(q.branch)
         origin = q.head if q.head is not None else scope_head
         report.say("info", "scope", f"{q.branch} from {origin}")
-        steps = q.path or (Step(min=0),)
-        if q.claim is not None:
+        if not q.path:  # the same as one step from 0 hops on, without its levels
+            start = self.closure(q.claim if q.claim is not None else origin, deadline)
+        elif q.claim is not None:
             start = self._id(q.claim)
-        elif not q.path:
-            start = self._id(origin)
         else:
-            start = closure(self._id(origin), u.edges, u.max_height, deadline=deadline)
+            start = self.closure(origin, deadline)
             start = start if scope is None else start.join(scope, "id", "left_semi")
         if q.head is not None and scope is not None:
-            scope = scope.join(closure(self._id(q.head), u.edges, u.max_height), "id", "left_semi")
+            scope = scope.join(self.closure(q.head), "id", "left_semi")
         if strict:
             refuse_gaps(closure(start, u.edges, u.max_height), u.edges, u.nodes)
+        if not q.path:
+            return start if scope is None else start.join(scope, "id", "left_semi")
         root = self._id(scope_head if scope_head is not None else origin)
-        for i, s in enumerate(steps):
+        for i, s in enumerate(q.path):
             report.say("debug", "step", f"{i}: {s.dir or 'provenance'} {s.least}..{s.max or ''}")
-        return walk(start, steps, u.edges, u.nodes, scope, root, q.output.shape == "path", u.max_height, deadline)
+        return walk(start, q.path, u.edges, u.nodes, scope, root, q.output.shape == "path", u.max_height, deadline)
 
     def query(self, q: Query, strict: bool = False) -> Result:
         """Evaluate a query: traverse, filter, sort, bound, shape. strict: a reference to a claim that is not stored is an error."""
