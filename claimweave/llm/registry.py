@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from claimweave.llm import oracles
 from claimweave.llm.embeddings import op8_embedding_near_dedup
 from claimweave.llm.langid import op9_language_id
 from claimweave.llm.licences import op4_licence_scan
@@ -21,4 +22,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL states the rules, the shingle sets' similarity and the cosine; tests compare the other operators with brute force."""
+    return {op6_quality_rules.__name__: oracles.QUALITY_RULES, op7_minhash_near_dedup.__name__: oracles.MINHASH, op8_embedding_near_dedup.__name__: oracles.EMBEDDINGS}
