@@ -3,8 +3,8 @@
 Every document gets a rate r that keeps a divergence from 1 small, sum of b (r ln r - r) with b the root of its size, under one token
 constraint for each source and 0 <= r <= 3. The dual is convex in one number for each source; its Newton steps are aggregates over
 (source, size) cells, safeguarded by a bracket. Rates are exp(lambda size / b), at most 3, so a rate depends on source and size alone.
-Rates become whole copies by a hash of the document; an offset for each source, found by rounds of histograms, and up to three
-repairs with small documents bring the words taken up to the target. Documents are never gathered, ordered or ranked in one task.
+Rates become whole copies by a hash of the document; an offset for each source, found by rounds of histograms, and repairs
+with documents that still fit bring the words taken up to the target. Documents are never gathered, ordered or ranked in one task.
 
 Null sources are a source of their own, in the last place. Null and empty texts have size 0 and cost nothing. Repeated rows (same id and
 text) get the same number of copies. Columns of the same name as the results are replaced.
@@ -26,7 +26,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
 #: Weights are a setting kept in the driver: more sources than this are refused.
 MOST_SOURCES = 4096
-REPAIRS, NEWTON = 3, 40
+REPAIRS, NEWTON = 5, 40
 #: A search's bins over all sources in one round, most of one source, and the parts of a range that the last round tells apart.
 ALL_BINS, MOST_BINS, PARTS = 400_000, 4096, 1 << 21
 #: Repairs end where every source lies within this part of its target.
@@ -70,6 +70,7 @@ class Source:
     offset: float = 0.0
     repairs: list[tuple[float, float]] = field(default_factory=list)  # largest size, threshold of the hash
     taken: float = 0.0
+    extra: int | None = None  # the key of a document that gets one copy more
 
 
 class Mix:
@@ -79,8 +80,8 @@ class Mix:
         self.spark, self.sources = spark, sources
 
     def _table(self) -> DataFrame:
-        rows = [(k, s.size, s.target, s.scale, s.tilt, s.offset, *(x for j in range(REPAIRS) for x in (s.repairs[j] if j < len(s.repairs) else (0.0, 0.0)))) for k, s in self.sources.items()]
-        names = "_k string, source_size long, target double, _scale double, _tilt double, _offset double, " + ", ".join(f"_most{j} double, _below{j} double" for j in range(REPAIRS))
+        rows = [(k, s.size, s.target, s.scale, s.tilt, s.offset, s.target - s.taken, s.extra, *(x for j in range(REPAIRS) for x in (s.repairs[j] if j < len(s.repairs) else (0.0, 0.0)))) for k, s in self.sources.items()]
+        names = "_k string, source_size long, target double, _scale double, _tilt double, _offset double, _left double, _extra long, " + ", ".join(f"_most{j} double, _below{j} double" for j in range(REPAIRS))
         return self.spark.createDataFrame(rows, names)
 
     def joined(self, rows: DataFrame, source: str) -> DataFrame:
@@ -96,7 +97,7 @@ class Mix:
         n = F.greatest(F.lit(0), F.least(F.lit(MOST), F.floor(Mix.rate(size) + unit_hash(key) + F.col("_offset")))).cast("int")
         for j in range(repairs):
             n = n + F.when((n < MOST) & (F.col(size) > 0) & (F.col(size) <= F.col(f"_most{j}")) & (unit_hash(key, F.lit(j)) < F.col(f"_below{j}")), 1).otherwise(0)
-        return n
+        return n + F.when((n < MOST) & (key == F.col("_extra")), 1).otherwise(0)
 
 
 def solve(rows: DataFrame) -> Mix:
@@ -113,8 +114,9 @@ def solve(rows: DataFrame) -> Mix:
     _offsets(mix, rows)
     for j in range(REPAIRS):
         if all(s.target - s.taken <= CLOSE * s.target for s in mix.sources.values()):
-            break
+            return mix
         _repair(mix, rows, j)
+    _nearest(mix, rows)
     return mix
 
 
@@ -218,6 +220,16 @@ def _repair(mix: Mix, rows: DataFrame, j: int) -> None:
         s.repairs[j], s.taken = (left[k], at), s.taken + done
 
 
+def _nearest(mix: Mix, rows: DataFrame) -> None:
+    """One copy more, beyond the target, where that ends nearer to it: of the document whose size is the nearest to what is left."""
+    free = mix.joined(rows, "source").where((F.col("size") > 0) & (Mix.copies(F.col("key")) < MOST))
+    best = free.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("_left")).alias("off"), "size", "key")).alias("m")).select("source", "m.*")
+    for x in best.toLocalIterator():
+        s = mix.sources[x.source]
+        if x.off < s.target - s.taken:
+            s.extra, s.taken = x.key, s.taken + x.size
+
+
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """docs with size, source_size, target and copies; copies is 0 for a document that the mix leaves out."""
     results = ("size", "source_size", "target", "copies")
