@@ -153,7 +153,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     n = given.count()
     chosen = given.where(unit_hash(F.col("_id")) < min(1.0, sample / max(n, 1)))
     rows = docs.join(F.broadcast(chosen), F.col(f"`{doc_id}`") == F.col("_id"))  # some `sample` rows, whatever the tables' size
-    rows = stored(rows.select(F.col("_id"), F.col(f"`{text}`").alias("text"), "_y", (unit_hash(F.col("_id"), F.lit("calibrate")) >= CALIBRATE).alias("fit")).coalesce(TASKS))
+    rows = stored(rows.select(F.col("_id"), F.col(f"`{text}`").alias("text"), "_y", (unit_hash(F.col("_id"), F.lit("calibrate")) >= CALIBRATE).alias("fit")).repartition(TASKS))  # after the join: the scan keeps all its tasks
     words = F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), 0))
     common = rows.where("fit").select(words.alias("w")).select(F.lower(F.regexp_replace("w", r"[^\p{L}\p{N}]+", "")).alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").limit(VOCABULARY).collect()
     if not common:
