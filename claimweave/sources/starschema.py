@@ -133,6 +133,8 @@ def ingested(spark: SparkSession, sf_dir: str) -> Universe:
         def put(name: str, rows: DataFrame) -> DataFrame:
             path = f"{context.getCheckpointDir()}/claims-{len(_INGESTED)}-{name}"
             rows.write.mode("overwrite").parquet(path)
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)  # with the application
             return spark.read.schema(rows.schema).parquet(path)
 
         _INGESTED[key] = u.with_(**{n: put(n, getattr(u, n)) for n in ("nodes", "edges", "branches", "spine")})
