@@ -28,7 +28,7 @@ MOST = 3
 MOST_SOURCES = 4096
 REPAIRS, NEWTON = 5, 40
 #: A search's bins over all sources in one round, most of one source, and the parts of a range that the last round tells apart.
-ALL_BINS, MOST_BINS, PARTS = 400_000, 4096, 1 << 21
+ALL_BINS, MOST_BINS, PARTS = 40_000, 2048, 1 << 21
 #: Repairs end where every source lies within this part of its target.
 CLOSE = 5e-4
 #: Partitions of the cells: there are as many rows as pairs of a source and a size.
@@ -95,9 +95,10 @@ class Mix:
     @staticmethod
     def copies(key: Column, size: str = "size", repairs: int = REPAIRS) -> Column:
         n = F.greatest(F.lit(0), F.least(F.lit(MOST), F.floor(Mix.rate(size) + unit_hash(key) + F.col("_offset")))).cast("int")
-        for j in range(repairs):
-            n = n + F.when((n < MOST) & (F.col(size) > 0) & (F.col(size) <= F.col(f"_most{j}")) & (unit_hash(key, F.lit(j)) < F.col(f"_below{j}")), 1).otherwise(0)
-        return n + F.when((n < MOST) & (key == F.col("_extra")), 1).otherwise(0)
+        one = lambda held: F.when(held, 1).otherwise(0)
+        for j in range(repairs):  # n stands once in each step: the expression grows by a term, not twofold
+            n = F.least(F.lit(MOST), n + one((F.col(size) > 0) & (F.col(size) <= F.col(f"_most{j}")) & (unit_hash(key, F.lit(j)) < F.col(f"_below{j}"))))
+        return F.least(F.lit(MOST), n + one(key == F.col("_extra")))
 
 
 def solve(rows: DataFrame) -> Mix:
