@@ -11,7 +11,9 @@
    only links that join components. So a link that the pivots missed is found, and no pair that is not one leaves the tile.
 
 Null and empty texts have an empty set and link with nothing. A text of fewer words than a shingle is one shingle. Rows that repeat a
-doc_id are one node of the graph. Extra columns are ignored.
+doc_id are one node of the graph. A row without a doc_id takes the component of the rows that have its set and an id; where none has one, it has
+no component. deduplicated() gives each row a key of its own, so there rows without an id and different texts of one id are nodes too.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -230,7 +232,7 @@ def across(members: DataFrame, payload: DataFrame, least: float, percent: int) -
 def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row; links have 100 * intersection >= percent * union."""
     base = stored(signatures(docs, doc_id, text))
-    classes = stored(base.where("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "sig", "bands")).alias("m")).select("digest", F.col("m.doc_id").alias("node"), "m.sig", "m.bands"))
+    classes = stored(base.where("digest is not null").groupBy("digest").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "sig", "bands"))).alias("m")).select("digest", F.col("m.doc_id").alias("node"), "m.sig", "m.bands"))
     keys = classes.select(F.posexplode("bands").alias("band", "key"), "node")
     pivots = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("key", "node")).alias("pivot")).where("n > 1").drop("n")
     shared = stored(keys.join(pivots, "key"))
@@ -261,6 +263,14 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """One document of each component, with its own columns only: the one whose id is the component's. Of rows that repeat an id, one stays."""
-    kept = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, docs["doc_id"].cast("long") == F.col("_kept"), "left_semi")
+    """One document of each component, with its own columns only: that of the least id, one without an id only where no other has one.
+
+    Rows are the nodes, whatever their ids: different texts of one id all stay. Texts without a word link with nothing; of those that repeat an id, one stays.
+    """
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = near_duplicates(rows, percent, doc_id="_row").select(F.col("doc_id").alias("_row"), "component_id", "n_shingles")
+    found = found.join(rows.select("_row", F.col("doc_id").cast("long").alias("_id")), "_row")
+    wordless = (F.col("n_shingles") == 0) & F.col("_id").isNotNull()
+    group = (F.when(~wordless, F.col("component_id")).alias("a"), F.when(wordless, F.col("_id")).alias("b"))
+    least = found.groupBy(*group).agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("m")).select("m._row")
+    return rows.join(least, "_row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

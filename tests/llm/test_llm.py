@@ -138,6 +138,20 @@ def test_near_duplicates_against_brute_force(spark, docs):
     assert kept.columns == frame.columns and kept.count() == len(set(want.values()))
 
 
+def test_near_duplicates_of_rows_without_an_id(spark):
+    base, other, alone = (" ".join(words_of(60, k)) for k in (31, 32, 33))
+    close = base + " more"
+    texts = [(None, base), (7, base), (5, base), (9, close), (None, close), (None, other), (None, alone), (None, alone), (3, " ".join(words_of(60, 34))), (3, " ".join(words_of(60, 35))), (4, ""), (4, None), (None, "")]
+    frame = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(texts)], "doc_id long, text string, place int")
+    got = minhash.near_duplicates(frame.where("place < 8"), 85).select("doc_id", "component_id", "kept").collect()
+    want = [(None, 5, None), (7, 5, False), (5, 5, True), (9, 5, False), (None, 5, None), (None, None, None), (None, None, None), (None, None, None)]
+    assert collections.Counter(map(tuple, got)) == collections.Counter(want)
+    kept = minhash.deduplicated(frame, 85)
+    assert kept.columns == frame.columns
+    place = {r.place for r in kept.collect()}
+    assert {2, 5, 8, 9, 12} <= place and len(place & {6, 7}) == 1 and len(place & {10, 11}) == 1 and len(place) == 7
+
+
 def test_estimate_is_close():
     a = np.unique(np.arange(2000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     b = a[300:]
