@@ -3,7 +3,8 @@
 Numbers and dates that pass their own check are permuted within the valid values of their kind: payment cards (Luhn), IBANs (modulo 97),
 North American telephone numbers and other separated ones, social security numbers, IPv4 addresses and calendar dates. The
 permutation depends on the key and the kind alone, so equal values get equal pseudonyms in all documents and different values different ones.
-E-mail addresses, access keys and passwords have no such number; they get keyed digests of the same form.
+E-mail addresses, access keys and passwords have no such number; they get keyed digests of the same form. A password or secret is one by its place, whatever its form, and is
+replaced as a whole.
 
 Each kind's domain is Z_a x Z_b; a round adds a keyed digest of one half to the other half modulo its size. Null texts stay null,
 texts without a match are returned as they are, repeated rows give equal results, and other columns pass through.
@@ -23,10 +24,10 @@ FEISTEL_ROUNDS = 10
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Kinds in the order in which a match is tried, with their patterns. Quantifiers are bounded or possessive: no text makes them slow.
 PATTERNS = {
+    "password": r"(?<=password=|passwd=|pwd=)[^\s\"']{4,}+",
+    "secret": r"(?<=[=:] \"|[=:]\")[0-9a-fA-F]{32,}+(?=\")",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     "access_key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "password": r"(?<=password=|passwd=|pwd=)[^\s\"']{4,256}+",
-    "secret": r"(?<=[=:] \"|[=:]\")[0-9a-fA-F]{32,128}+(?=\")",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "iso_date": r"(?<![\d-])(?:1[5-9]|2\d)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\d-])",
     "slash_date": r"(?<![\d/])\d{2}/\d{2}/(?:1[5-9]|2\d)\d\d(?![\d/])",
@@ -37,6 +38,9 @@ PATTERNS = {
     "card": r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
 }
 ANY = "|".join(PATTERNS.values())
+#: The kinds that their place shows, and a pattern whose second group is a match of theirs.
+HIDDEN = "|".join(PATTERNS[kind] for kind in ("password", "secret"))
+ANY_HIDDEN = f"(({HIDDEN})|{'|'.join(p for kind, p in PATTERNS.items() if kind not in ('password', 'secret'))})"
 
 
 def _digest(key: str, *parts: Column) -> Column:
@@ -199,15 +203,21 @@ def _iban(key: str, m: Column) -> Column:
     return _with(F.replace(m, F.lit(" "), F.lit("")), of)
 
 
-def pseudonym(key: str, m: Column) -> Column:
-    """The pseudonym of one match; the match itself where it fails its check."""
+def _secret(key: str, m: Column) -> Column:
+    """As many hexadecimal digits of keyed digests as the match has characters."""
+    block = lambda d: F.transform(F.sequence(F.lit(0), F.floor((F.length(m) - 1) / 64).cast("int")), lambda k: _digest(key, F.lit("block"), d, k))
+    return _with(_digest(key, F.lit("secret"), m), lambda d: F.substr(F.array_join(block(d), ""), F.lit(1), F.length(m)))
+
+
+def pseudonym(key: str, m: Column, hidden: Column) -> Column:
+    """The pseudonym of one match; the match itself where it fails its check. hidden: whether its place shows a password or secret."""
     is_ = lambda kind: m.rlike(rf"\A(?:{PATTERNS[kind]})\z")
     email = F.concat(F.lit("u"), F.substring(_digest(key, F.lit("local"), F.lower(m)), 1, 12), F.lit("@"), F.substring(_digest(key, F.lit("host"), F.lower(F.substring_index(m, "@", -1))), 1, 8), F.lit("."), F.substring_index(m, ".", -1))
     slash = F.coalesce(F.try_to_date(m, "MM/dd/yyyy"), F.try_to_date(m, "dd/MM/yyyy"))
     american = F.try_to_date(m, "MM/dd/yyyy").isNotNull()
-    secret = F.substr(F.concat(*(_digest(key, F.lit(f"secret{k}"), m) for k in range(4))), F.lit(1), F.length(m))
     return (
-        F.when(F.contains(m, F.lit("@")) & is_("email"), email)
+        F.when(hidden, _secret(key, m))
+        .when(F.contains(m, F.lit("@")) & is_("email"), email)
         .when(is_("access_key"), F.concat(F.lit("AKIA"), F.upper(F.substring(_digest(key, F.lit("access"), m), 1, 16))))
         .when(is_("iso_date"), _date(key, F.try_to_date(m, "yyyy-MM-dd"), "yyyy-MM-dd", m))
         .when(is_("slash_date"), F.when(american, _date(key, slash, "MM/dd/yyyy", m)).otherwise(_date(key, slash, "dd/MM/yyyy", m)))
@@ -217,7 +227,7 @@ def pseudonym(key: str, m: Column) -> Column:
         .when(is_("phone"), _phone(key, m))
         .when(is_("card"), _card(key, m))
         .when(is_("iban"), _iban(key, m))
-        .otherwise(secret)
+        .otherwise(_secret(key, m))
     )
 
 
@@ -227,7 +237,10 @@ def pseudonymised(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFr
     value = F.col(f"`{text}`")
     found = F.when(value.rlike("[0-9@=]"), F.regexp_extract_all(value, F.lit(f"({ANY})"), 1)).otherwise(F.array().cast("array<string>"))
     step = docs.select(F.struct(*others).alias("_row"), value.alias("_t"), found.alias("_m"))
-    step = step.select("_row", "_t", "_m", F.when(F.size("_m") > 0, F.transform("_m", lambda m: pseudonym(key, m))).alias("_p"))
+    hidden = F.when((F.size("_m") > 0) & F.col("_t").rlike(HIDDEN), F.regexp_extract_all("_t", F.lit(ANY_HIDDEN), 2))
+    step = step.select("_row", "_t", "_m", hidden.alias("_h"))
+    of = lambda m, i: pseudonym(key, m, F.coalesce(F.get("_h", i) != "", F.lit(False)))
+    step = step.select("_row", "_t", "_m", F.when(F.size("_m") > 0, F.transform("_m", of)).alias("_p"))
     pieces = F.zip_with(F.split("_t", ANY), F.array_append("_p", F.lit("")), lambda a, b: F.concat(a, b))
     changed = F.aggregate(F.arrays_zip("_m", "_p"), F.lit(0), lambda n, x: n + F.when(x.getField("_m") == x.getField("_p"), 0).otherwise(1))
     out = step.select("_row", F.when(F.size("_m") > 0, F.array_join(pieces, "")).otherwise(F.col("_t")).alias("_t"), F.when(F.size("_m") > 0, changed).otherwise(F.lit(0)).cast("long").alias("n_replaced"))

@@ -236,6 +236,18 @@ def test_pseudonyms(spark):
     assert got[6:] == [None, "", "nothing 12 here"]
 
 
+def test_passwords_and_secrets_of_any_form(spark):
+    long, digits = "x7" * 400, "0a" * 100
+    values = ["1234567890123", "99/99/1999", "GB00TEST12345678", "123-45-6789", "foo@bar.com!rest", long]
+    texts = [f"mail a@b.example.compassword={v} end 4111111111111111" for v in values] + [f'key = "{digits}" end', f'{{"k":"{digits[:32]}"}}', "99/99/1999 and 1234567890123 stay"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in pii.pseudonymised(frame).orderBy("doc_id").collect()]
+    for v, t in zip(values, got, strict=False):
+        assert re.fullmatch(rf"mail u[0-9a-f]{{12}}@\S+=[0-9a-f]{{{len(v)}}} end 4\d{{15}}", t) and v not in t and "rest" not in t
+    assert re.fullmatch(r'key = "[0-9a-f]{200}" end', got[6]) and digits[:32] not in got[6] and digits[-32:] not in got[6]
+    assert re.fullmatch(r'\{"k":"[0-9a-f]{32}"\}', got[7]) and digits[:32] not in got[7] and got[8] == texts[8]
+
+
 def test_permutations_are_bijections(spark):
     n = 100 * 30
     frame = spark.range(n).select(pii.permuted("key", "test", F.floor(F.col("id") / 30), F.col("id") % 30, F.lit(100).cast("long"), F.lit(30).cast("long")).alias("p"))
