@@ -2,16 +2,19 @@
 
 Numbers and dates that pass their own check are permuted within the valid values of their kind: payment cards (Luhn), IBANs (modulo 97),
 North American telephone numbers and other separated ones, social security numbers, IPv4 addresses and calendar dates. The
-permutation depends on the key and the kind alone, so equal values get equal pseudonyms in all documents and different values different ones.
-E-mail addresses, access keys and passwords have no such number; they get keyed digests of the same form. A password or secret is one by its place, whatever its form, and is
+permutation depends on the key and the kind alone, so equal values get equal pseudonyms in all documents and different values different ones. Dates keep their
+28 years (from 1904 to 2099) or their year (elsewhere), a day-first date with slashes stays one that can be read no other way. E-mail addresses, access keys and passwords have no such number; they get keyed digests of the same form. A password or secret is one by its place, whatever its form, and is
 replaced as a whole.
 
 Each kind's domain is Z_a x Z_b; a round adds a keyed digest of one half to the other half modulo its size. Null texts stay null,
-texts without a match are returned as they are, repeated rows give equal results, and other columns pass through.
+texts without a match are returned as they are, repeated rows give equal results, and other columns pass through: pseudonymised() puts n_replaced in the place of
+a column of that name, with_pseudonyms() has no column of its own.
 """
 
 from __future__ import annotations
 
+import calendar
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,17 +134,24 @@ def _card(key: str, m: Column) -> Column:
 
 
 def _phone(key: str, m: Column) -> Column:
-    """The last ten digits are permuted: among numbers whose area and exchange begin with 2 to 9 if they do so."""
+    """The last ten digits are permuted: numbers whose area and exchange begin with 2 to 9 among themselves, all others among themselves."""
 
     def of(d: Column) -> Column:
         n = F.length(d)
         part = lambda at, size: F.substr(d, n - at, F.lit(size)).cast("long")
         area, exchange, line = part(9, 3), part(6, 3), part(3, 4)
-        value = ((area - 200) * 800 + exchange - 200) * 10000 + line
-        back = lambda v: F.concat(F.lpad((F.floor(v / 8000000) + 200).cast("string"), 3, "0"), F.lpad((F.floor(v / 10000) % 800 + 200).cast("string"), 3, "0"), F.lpad((v % 10000).cast("string"), 4, "0"))
-        valid = _with(permuted(key, "phone", F.floor(value / 80000), value % 80000, F.lit(80000).cast("long"), F.lit(80000).cast("long")), lambda s: _with(s.getField("l") * 80000 + s.getField("r"), back))
-        ten = F.when((area >= 200) & (exchange >= 200), valid).otherwise(permuted_digits(key, "digits", F.substr(d, n - 9, F.lit(10))))
-        return _with(F.concat(F.substr(d, F.lit(1), n - 10), ten), lambda x: refilled(m, x))
+        ten = lambda a, e, x: F.concat(*(F.lpad(v.cast("long").cast("string"), k, "0") for v, k in ((a, 3), (e, 3), (x, 4))))
+        whole = lambda s: ten(F.floor(s.getField("l") / 800) + 200, s.getField("l") % 800 + 200, s.getField("r"))
+        valid = _with(permuted(key, "phone", (area - 200) * 800 + exchange - 200, line, F.lit(640_000).cast("long"), F.lit(10_000).cast("long")), whole)
+        # the others: 200 areas with 1,000 exchanges each, then 800 areas with 200
+        low = lambda s: s.getField("l") < 200_000
+        rest = F.when(area < 200, area * 1000 + exchange).otherwise(200_000 + (area - 200) * 200 + exchange)
+        other = _with(
+            permuted(key, "digits", rest, line, F.lit(360_000).cast("long"), F.lit(10_000).cast("long")),
+            lambda s: F.when(low(s), ten(F.floor(s.getField("l") / 1000), s.getField("l") % 1000, s.getField("r"))).otherwise(ten(F.floor((s.getField("l") - 200_000) / 200) + 200, (s.getField("l") - 200_000) % 200, s.getField("r"))),
+        )
+        new = F.when((area >= 200) & (exchange >= 200), valid).otherwise(other)
+        return _with(F.concat(F.substr(d, F.lit(1), n - 10), new), lambda x: refilled(m, x))
 
     return _with(_digits(m), of)
 
@@ -170,20 +180,39 @@ def _ssn(key: str, m: Column) -> Column:
     return _with(done, back)
 
 
-def _date(key: str, day: Column, form: str, m: Column) -> Column:
-    """Days are permuted within 28 years (10,227 = 21 x 487 days) from 1904 to 2099, elsewhere within their year (5 x 73 or 6 x 61 days)."""
+def _months(first_day: int) -> list[list[int]]:
+    """For 28 years from a leap year on, a leap year, and another year: how many days from first_day of each month on lie before each month."""
+    out = []
+    for years in (range(1904, 1932), range(1904, 1905), range(1905, 1906)):
+        sizes = [calendar.monthrange(y, k)[1] - first_day + 1 for y in years for k in range(1, 13)]
+        out.append([sum(sizes[:k]) for k in range(len(sizes) + 1)])
+    return out
+
+
+def _date(key: str, day: Column, form: str, m: Column, first_day: int = 1) -> Column:
+    """Days are permuted within 28 years from 1904 to 2099, elsewhere within their year, among those from first_day of each month on.
+
+    The number of days is split into two factors: 10,227 = 21 x 487, 366 = 6 x 61 and 365 = 5 x 73 days, or 6,195 = 105 x 59, 222 = 6 x 37 and 221 = 13 x 17.
+    """
+    factors = {1: ((21, 487), (6, 61), (5, 73)), 13: ((105, 59), (6, 37), (13, 17))}[first_day]
+    before = _months(first_day)
 
     def of(d: Column) -> Column:
         year = F.year(d)
-        block = year - F.pmod(year - 1904, F.lit(28))
         near = year.between(1904, 2099)
-        first = F.make_date(F.when(near, block).otherwise(year), F.lit(1), F.lit(1))
+        start = F.when(near, year - F.pmod(year - 1904, F.lit(28))).otherwise(year)
         leap = F.dayofyear(F.make_date(year, F.lit(12), F.lit(31))) == 366
-        a = F.when(near, 21).when(leap, 6).otherwise(5).cast("long")
-        b = F.when(near, 487).when(leap, 61).otherwise(73).cast("long")
-        at = F.datediff(d, first).cast("long")
-        done = permuted(key, "date", F.floor(at / b), at % b, a, b)
-        return _with(done, lambda s: F.date_format(F.date_add(first, (s.getField("l") * b + s.getField("r")).cast("int")), form))
+        pick = lambda xs: F.when(near, xs[0]).when(leap, xs[1]).otherwise(xs[2])
+        a, b = (pick([F.lit(f[k]) for f in factors]).cast("long") for k in (0, 1))
+        starts = pick([F.lit(x) for x in before])
+        at = (F.get(starts, (year - start) * 12 + F.month(d) - 1) + F.dayofmonth(d) - first_day).cast("long")
+        done = _with(permuted(key, f"date {first_day}", F.floor(at / b), at % b, a, b), lambda s: s.getField("l") * b + s.getField("r"))
+
+        def back(n: Column) -> Column:
+            month = F.size(F.filter(starts, lambda x: x <= n)) - 1
+            return _with(month, lambda k: F.date_format(F.make_date(start + F.floor(k / 12).cast("int"), k % 12 + 1, (n - F.get(starts, k)).cast("int") + first_day), form))
+
+        return _with(done, back)
 
     return F.when(day.isNull(), m).otherwise(_with(day, of))
 
@@ -220,7 +249,7 @@ def pseudonym(key: str, m: Column, hidden: Column) -> Column:
         .when(F.contains(m, F.lit("@")) & is_("email"), email)
         .when(is_("access_key"), F.concat(F.lit("AKIA"), F.upper(F.substring(_digest(key, F.lit("access"), m), 1, 16))))
         .when(is_("iso_date"), _date(key, F.try_to_date(m, "yyyy-MM-dd"), "yyyy-MM-dd", m))
-        .when(is_("slash_date"), F.when(american, _date(key, slash, "MM/dd/yyyy", m)).otherwise(_date(key, slash, "dd/MM/yyyy", m)))
+        .when(is_("slash_date"), F.when(american, _date(key, slash, "MM/dd/yyyy", m)).otherwise(_date(key, slash, "dd/MM/yyyy", m, 13)))  # a day above 12 shows which comes first
         .when(is_("dot_date"), _date(key, F.try_to_date(m, "dd.MM.yyyy"), "dd.MM.yyyy", m))
         .when(is_("ipv4"), _ipv4(key, m))
         .when(is_("ssn"), _ssn(key, m))
@@ -237,16 +266,22 @@ def pseudonymised(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFr
     value = F.col(f"`{text}`")
     found = F.when(value.rlike("[0-9@=]"), F.regexp_extract_all(value, F.lit(f"({ANY})"), 1)).otherwise(F.array().cast("array<string>"))
     step = docs.select(F.struct(*others).alias("_row"), value.alias("_t"), found.alias("_m"))
-    hidden = F.when((F.size("_m") > 0) & F.col("_t").rlike(HIDDEN), F.regexp_extract_all("_t", F.lit(ANY_HIDDEN), 2))
-    step = step.select("_row", "_t", "_m", hidden.alias("_h"))
-    of = lambda m, i: pseudonym(key, m, F.coalesce(F.get("_h", i) != "", F.lit(False)))
-    step = step.select("_row", "_t", "_m", F.when(F.size("_m") > 0, F.transform("_m", of)).alias("_p"))
+    hidden = F.when((F.size("_m") > 0) & F.col("_t").rlike(HIDDEN), F.regexp_extract_all("_t", F.lit(ANY_HIDDEN), 2)).otherwise(F.array().cast("array<string>"))
+    # zipped: an expression inside a lambda that looks at the text again would be computed once for each match
+    of = lambda m, h: pseudonym(key, m, F.coalesce(h != "", F.lit(False)))
+    step = step.select("_row", "_t", "_m", F.when(F.size("_m") > 0, F.zip_with("_m", hidden, of)).alias("_p"))
     pieces = F.zip_with(F.split("_t", ANY), F.array_append("_p", F.lit("")), lambda a, b: F.concat(a, b))
     changed = F.aggregate(F.arrays_zip("_m", "_p"), F.lit(0), lambda n, x: n + F.when(x.getField("_m") == x.getField("_p"), 0).otherwise(1))
     out = step.select("_row", F.when(F.size("_m") > 0, F.array_join(pieces, "")).otherwise(F.col("_t")).alias("_t"), F.when(F.size("_m") > 0, changed).otherwise(F.lit(0)).cast("long").alias("n_replaced"))
     return out.select(*(F.col("_t").alias(text) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns if c != "n_replaced"), "n_replaced")
 
 
+def with_pseudonyms(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
+    """docs with personal data in the text replaced; every other column as it came, whatever its name."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col(f"`{text}`").alias("text"))
+    return pseudonymised(rows, key).select(*(F.col("text").alias(c) if c == text else F.col("_doc").getField(c).alias(c) for c in docs.columns))
+
+
 def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text with pseudonyms, and how many."""
     return pseudonymised(documents(spark, sf_dir, "doc_id", "text"))
