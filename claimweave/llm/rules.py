@@ -1,7 +1,8 @@
 """Quality rules: a threshold table compiled into Spark projections of length, symbol, stop-word and line ratios.
 
 Only DataFrame functions are used. Nulls and empty texts have no words and so fail; texts of any length are
-measured whole; repeated rows are judged one by one; an extra column of the same name as the result is replaced.
+measured whole; repeated rows are judged one by one. judged() puts `measures` and `failed` in the place of columns of these names;
+kept_documents() has no column of its own.
 """
 
 from __future__ import annotations
@@ -117,12 +118,13 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
     return measured(docs.drop("failed"), text).withColumn("failed", verdict(rules))
 
 
-def kept_documents(docs: DataFrame, rules: tuple[Rule, ...] = STAGE_RULES) -> DataFrame:
-    """The documents that no rule rejects, with their own columns only."""
+def kept_documents(docs: DataFrame, rules: tuple[Rule, ...] = STAGE_RULES, text: str = "text") -> DataFrame:
+    """The documents that no rule rejects; all their columns as they came, whatever their names."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col(f"`{text}`").alias("text"))
     # a number that depends on the row's place keeps the optimizer from moving the filter below the staged
     # selects, where it would write every measure out again inside itself
-    rows = judged(docs, rules).withColumn("_place", F.monotonically_increasing_id())
-    return rows.where((F.size("failed") == 0) & (F.col("_place") >= 0)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = judged(rows, rules).withColumn("_place", F.monotonically_increasing_id())
+    return rows.where((F.size("failed") == 0) & (F.col("_place") >= 0)).select(*(F.col("_doc").getField(c).alias(c) for c in docs.columns))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
