@@ -6,7 +6,8 @@ remainder starts as a partial partition of its own; the two partitions with the
 one with the lightest of the other, until one near-equal partition is left. If its heaviest window exceeds the capacity, the number
 of windows rises and the group is dealt again.
 
-A null or empty text has the end id only. Repeated rows are packed one by one. Extra columns are ignored.
+A null or empty text has the end id only. Repeated rows are packed one by one. Extra columns are ignored. Texts of any length are encoded whole:
+where the fast encoder's pattern cannot be matched (a million blanks in a row exhaust its stack), the library itself encodes the text.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
+import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +48,21 @@ def encoder(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding(base64.b16encode(path.encode()).decode(), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+class Encoder:
+    """The ids of texts as the library for the vocabulary gives them."""
+
+    def __init__(self, path: str):
+        self.path, self.fast, self.library = path, encoder(path), None
+
+    def __call__(self, text: str) -> np.ndarray:
+        try:
+            return self.fast.encode_to_numpy(text, allowed_special="all", disallowed_special=())
+        except ValueError:  # the pattern's stack is exhausted
+            if self.library is None:
+                self.library = tokenizers.Tokenizer.from_file(self.path)
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+
+
 def differenced(sizes: list[int], n_windows: int) -> tuple[np.ndarray, np.ndarray]:
     """Multiway differencing: the window of each size, and the windows' loads.
 
@@ -104,7 +121,7 @@ def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, group: int = GR
     kind, piece = rows.schema["doc_id"].dataType.simpleString(), max(1, capacity // PIECES)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, base, number = encoder(path), TaskContext.get().partitionId() << 32, 0
+        tokens, base, number = Encoder(path), TaskContext.get().partitionId() << 32, 0
         out: list[list] = [[] for _ in names]
         held: list[tuple] = []
         waiting = 0
@@ -135,7 +152,7 @@ def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, group: int = GR
             schema = arrived.schema
             for i, x in zip(arrived.column(0), arrived.column(1), strict=True):
                 i = i.as_py()
-                ids = np.append(tokens.encode_to_numpy(x.as_py() or "", allowed_special="all", disallowed_special=()), np.uint32(end_id)).astype("<u4")
+                ids = np.append(tokens(x.as_py() or ""), np.uint32(end_id)).astype("<u4")
                 n = len(ids)
                 whole = n - n % capacity
                 for start in range(0, whole, capacity):

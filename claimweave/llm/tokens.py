@@ -8,6 +8,7 @@ one token each. Repeated rows are counted row by row; extra columns are ignored.
 from __future__ import annotations
 
 import os
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,30 +29,40 @@ HELD = 120_000
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def splitter(special: tuple[str, ...]):
-    """A function from a text to its pre-tokens and the number of special strings in it."""
-    find = regex.compile(SPLIT).findall
-    cut = regex.compile("|".join(regex.escape(x) for x in sorted(special, key=len, reverse=True))) if special else None
+class Splitter:
+    """A text's pre-tokens and the number of special strings in it, as the library splits it.
 
-    def split(text: str) -> tuple[list[str], int]:
-        if cut is None or not any(x in text for x in special):
-            return find(text), 0
-        parts = cut.split(text)
-        return [p for part in parts for p in find(part)], len(parts) - 1
+    A compiled pattern splits texts whose characters all have a category in Python's Unicode tables. The pattern's engine has newer tables than
+    the library, which take some other characters for letters or numbers; texts with such a character are split by the library.
+    """
 
-    return split
+    def __init__(self, path: str):
+        self.library = tokenizers.Tokenizer.from_file(path)
+        self.special = tuple(x.content for x in self.library.get_added_tokens_decoder().values())
+        self.find = regex.compile(SPLIT).findall
+        self.cut = regex.compile("|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True))) if self.special else None
+        self.known: set[str] = set()
 
+    def pieces(self, text: str) -> list[str]:
+        if not text.isascii():
+            new = set(text) - self.known
+            if any(unicodedata.category(c) == "Cn" for c in new):
+                return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
+            self.known |= new
+        return self.find(text)
 
-def special_strings(path: str) -> tuple[str, ...]:
-    added = tokenizers.Tokenizer.from_file(path).get_added_tokens_decoder().values()
-    return tuple(x.content for x in added)
+    def __call__(self, text: str) -> tuple[list[str], int]:
+        if self.cut is None or not any(x in text for x in self.special):
+            return self.pieces(text), 0
+        parts = self.cut.split(text)
+        return [p for part in parts for p in self.pieces(part)], len(parts) - 1
 
 
-def pretoken_counts(docs: DataFrame, special: tuple[str, ...], text: str = "text") -> DataFrame:
+def pretoken_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """(piece, n): how often each distinct pre-token occurs in all texts. Tasks combine counts before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, held = splitter(special), Counter()
+        split, held = Splitter(path), Counter()
 
         def out() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_pydict({"piece": pa.array(held.keys(), pa.string()), "n": pa.array(held.values(), pa.int64())})
@@ -86,9 +97,8 @@ def piece_counts(pretokens: DataFrame, path: str) -> DataFrame:
 
 def token_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", hot_entries: int = HOT_ENTRIES) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) for each row of docs, as the library for the vocabulary at path counts whole texts."""
-    special = special_strings(path)
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    table = stored(piece_counts(pretoken_counts(rows, special), path))
+    table = stored(piece_counts(pretoken_counts(rows, path), path))
     hot, size = {}, 0
     for x in table.where(F.length("piece") <= 64).orderBy(F.desc("n"), "piece").limit(hot_entries).select("piece", "n_pieces").toLocalIterator():
         size += len(x.piece) * 2
@@ -99,7 +109,7 @@ def token_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document with what the hot table knows (piece: a key of its own), and one for each other pre-token of it."""
-        split, known, nth = splitter(special), shared.value, 0
+        split, known, nth = Splitter(path), shared.value, 0
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
