@@ -12,7 +12,7 @@ import pytest
 import tokenizers
 from pyspark.sql import functions as F
 
-from claimweave.llm import embeddings, langid, licences, minhash, mixing, packing, pii, quality, rules, tokens
+from claimweave.llm import langid, licences, minhash, mixing, packing, pii, quality, rules, tokens
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -177,46 +177,6 @@ def test_near_duplicates_of_nothing(docs):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_embeddings_against_brute_force(spark):
-    g = np.random.default_rng(5)
-    x = g.standard_normal((300, 24))
-    x[100:180] = x[0] + 0.2 * g.standard_normal((80, 24))
-    x[200:230] = x[50]
-    rows = [(k, [float(v) for v in np.float32(x[k])], k % 3) for k in range(300)] + [(300, None, 0), (301, [0.0] * 24, 0), (302, [float("nan")] + [1.0] * 23, 0), (303, [None] + [1.0] * 23, 0), (304, [], 0)]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, n_links int")
-    y = np.float32(x).astype(float)
-    y /= np.linalg.norm(y, axis=1, keepdims=True)
-    linked = y @ y.T >= 0.95
-    np.fill_diagonal(linked, False)
-    label = np.arange(300)
-    while True:
-        was = label.copy()
-        label = np.array([min([label[i], *label[linked[i]]]) for i in range(300)])
-        if (was == label).all():
-            break
-    got = {r.vec_id: r for r in embeddings.near_duplicates(frame, miss=1e-9).collect()}
-    assert [got[k].n_links for k in range(300)] == linked.sum(axis=1).tolist()
-    assert [got[k].component_id for k in range(300)] == label.tolist()
-    assert all(got[k].n_links == 0 and got[k].kept for k in range(300, 305))
-    assert embeddings.near_duplicates(frame.limit(0)).count() == 0
-
-
-def test_tiles_split_large_buckets(spark, monkeypatch):
-    monkeypatch.setattr(embeddings, "BLOCK", 16)
-    g = np.random.default_rng(6)
-    x = g.standard_normal(16) + 0.01 * g.standard_normal((120, 16))
-    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
-    assert {(r.n_links, r.component_id) for r in embeddings.near_duplicates(frame).collect()} == {(119, 0)}
-
-
-def test_quantised_links_equal_exact_ones():
-    g = np.random.default_rng(1)
-    x = embeddings.unit(np.repeat(g.standard_normal((20, 32)), 6, axis=0) + 0.22 * g.standard_normal((120, 32)))
-    every = np.arange(120)
-    i, j = embeddings.linked(x, every, every, 0.95)
-    assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*(a.tolist() for a in np.nonzero(x @ x.T >= 0.95)), strict=True))
-
-
 def luhn(d):
     return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
 
