@@ -27,6 +27,8 @@ ORDER = 4
 #: Labelled documents of each language in the sample, and the share of them that calibrates.
 SAMPLE, CALIBRATE = 500, 0.2
 MOST_LANGUAGES = 1024
+#: A language of fewer labelled documents is fitted on all of them, and calibrated on some of the same.
+FEW = 50
 #: Words whose scores a task keeps.
 MEMO = 200_000
 #: The share of calibration documents of a language that its rejection bound accepts.
@@ -189,7 +191,9 @@ def learn(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     if not sizes:
         return None
     rate = F.element_at(F.create_map(*(F.lit(x) for s in sizes for x in (s.lang, min(1.0, sample / s["count"])))), F.col("lang"))
-    chosen = rows.where(unit_hash(F.col("doc_id")) < rate).withColumn("fit", unit_hash(F.col("doc_id"), F.lit("calibrate")) >= CALIBRATE)
+    few = [s.lang for s in sizes if s["count"] < FEW]
+    apart = unit_hash(F.col("doc_id"), F.lit("calibrate")) >= CALIBRATE
+    chosen = rows.where(unit_hash(F.col("doc_id")) < rate).withColumn("fit", apart | F.col("lang").isin(few)).withColumn("calibrate", ~apart)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, held = regex.compile(WORD).findall, {}
@@ -211,7 +215,7 @@ def learn(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     if not counts:
         return None
     model = trained(counts)
-    _calibrate(model, chosen.where("not fit").select("text", "lang"))
+    _calibrate(model, chosen.where("calibrate").select("text", "lang"))
     return model
 
 

@@ -1,11 +1,14 @@
 """Licence scans by a positional rare-token index.
 
-Templates stand in an inverted index: for each of a template's rarest words (by inverse document frequency over the templates), the
-template and the word's positions. A text's words of the highest such frequency look up their postings, a posting's relative position
-(place in the text less place in the template) is where the template would start, and postings that agree on it make a
-candidate. A candidate counts when its mandatory key phrases stand where the template has them, give or take a few words.
-
-The index is a constant of a few kilobytes; each text is scanned whole, in one pass without a shuffle. Null and empty texts have no
+1. The frequency of every template word over all texts gives its inverse document frequency; function words are never indexed.
+2. A template's rarest words are its index words, and a share of them must agree. So of a file that holds the template, one of the first few of these words must stand in it:
+   only they have postings (template, position). A file's licence words look up their postings from the highest such frequency down; a posting's
+   relative position (place in the file less place in the template) is where the template would start.
+3. The postings of the template's other index words are intersected with that start, give or take SLACK words in all.
+4. A candidate counts when its mandatory key phrases stand where the template has them. The contract's phrases are templates whose words must
+   all stand, without slack.
+
+The index is a constant of a few kilobytes; each text is scanned whole, in one pass without a shuffle, after one that counts words. Null and empty texts have no
 word. Repeated rows are scanned one by one; extra columns are ignored.
 """
 
@@ -14,144 +17,150 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.llm.common import documents
+from claimweave.llm.templates import BASE, TEMPLATES, Template
 
-
-@dataclass(frozen=True)
-class Template:
-    """label, words in their order, and the phrases that must stand in it."""
-
-    label: str
-    text: str
-    phrases: tuple[str, ...]
-
-
-# Opening or notice sentences of public licences, and the phrases that tell each from its kin.
-TEMPLATES = (
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted free of charge", "associated documentation files")),
-    Template("mit", "released under the mit license", ("mit license",)),
-    Template("mit", "licensed under the mit license", ("mit license",)),
-    Template("apache-2.0", "licensed under the apache license version 2 0", ("apache license version 2 0",)),
-    Template("apache-2.0", "apache license version 2 0 january 2004", ("apache license", "version 2 0 january 2004")),
-    Template("gpl-2.0", "this work is licensed under the gnu general public license version 2", ("gnu general public license version 2",)),
-    Template("gpl-3.0", "this work is licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
-    Template("gpl-notice", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ("gnu general public license", "free software foundation")),
-    Template("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", ("gnu lesser general public license",)),
-    Template("agpl-3.0", "licensed under the gnu affero general public license version 3", ("gnu affero general public license",)),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms", "following conditions are met")),
-    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("permission to use copy modify", "without fee is hereby granted")),
-    Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-    Template("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ("eclipse public license",)),
-    Template("cc-by", "licensed under cc by 4 0", ("cc by 4 0",)),
-    Template("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
-    Template("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
-    Template("cc-by-nd", "licensed under cc by nd 4 0", ("cc by nd",)),
-    Template("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution",)),
-    Template("cc0", "the person who associated a work with this deed has dedicated the work to the public domain", ("dedicated the work to the public domain",)),
-    Template("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
-    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages", ("in no event will the authors be held liable",)),
-)
-# The contract's phrases and their labels.
-BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: A template's index words; the least share of them that must agree; words by which places may differ; a text's words looked up by template.
+#: A template's index words, the least share of them that must agree, and the words by which places may differ.
 RAREST, AGREE, SLACK = 6, 0.6, 3
+# Function words, which are never indexed.
+FUNCTION_WORDS = frozenset(b"a an and any are as at be been by do for from has have if in is it its may must no not of on or shall should so such that the their they this to under was were which who will with without you your".split())
 
 #: A-Z to a-z, ASCII bytes outside [0-9a-z] to a blank; UTF-8 bytes above 0x7F are word characters.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
+Words = list[bytes]
 
 
-class Index:
-    """Postings of the templates' rarest words, and what the verification needs."""
+class Entry:
+    """A template with its index words: (word, position), the rarest first; so many of them must agree."""
+
+    def __init__(self, template: Template, idf: dict[bytes, float]):
+        self.label, self.whole, words = template.label, template.whole, template.text.encode().split()
+        at = {w: i for i, w in reversed(list(enumerate(words)))}  # a word's first place
+        if template.whole:
+            self.chosen = sorted(((w, i) for i, w in enumerate(words)), key=lambda x: (-idf.get(x[0], 0.0), x))
+            self.need, self.phrases = len(words), []
+        else:
+            self.chosen = sorted(((w, i) for w, i in at.items() if w not in FUNCTION_WORDS), key=lambda x: (-idf.get(x[0], 0.0), x))[:RAREST]
+            self.need = math.ceil(AGREE * len(self.chosen))
+            self.phrases = [(p, _first(words, p)) for p in (x.encode().split() for x in template.phrases)]
+        #: Of `need` agreeing words at least one is among these.
+        self.anchors = self.chosen[: len(self.chosen) - self.need + 1]
 
-    def __init__(self, templates: tuple[Template, ...] = TEMPLATES, base: dict[str, str] = BASE):
-        self.templates = [(t.label, t.text.encode().split(), [(p.encode().split(), _places(t.text.encode().split(), p.encode().split())[0]) for p in t.phrases]) for t in templates]
-        self.base = {tuple(k.encode().split()): v for k, v in base.items()}
-        frequency = Counter(w for _, words, _ in self.templates for w in set(words))
-        self.idf = {w: math.log(len(templates) / n) for w, n in frequency.items()}
+
+class Index:
+    """Postings of the templates' anchors, and what the intersection and the verification need."""
+
+    def __init__(self, templates: tuple[Template, ...] = (*BASE, *TEMPLATES), n_documents: int = 0, frequency: dict[bytes, int] | None = None):
+        """frequency: in how many of the documents each template word stands; without it, in how many templates."""
+        if frequency is None:
+            n_documents, frequency = len(templates), Counter(w for t in templates for w in set(t.text.encode().split()))
+        self.idf = {w: math.log((n_documents + 1) / (n + 1)) for w, n in frequency.items()}
+        self.entries = [Entry(t, self.idf) for t in templates]
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        self.chosen = []
-        for k, (_, words, _) in enumerate(self.templates):
-            rare = set(sorted(set(words), key=lambda w: (-self.idf[w], w))[:RAREST])
-            self.chosen.append(len(rare))
-            for at, w in enumerate(words):
-                if w in rare:
-                    self.postings[w].append((k, at))
-        self.watched = frozenset(self.postings) | {max(p, key=len) for p in self.base}
-
-    def base_places(self, words: list[bytes]) -> list[tuple[int, str]]:
-        found = []
-        for phrase, label in self.base.items():
-            found += [(at, label) for at in _places(words, phrase)]
-        return found
-
-    def candidates(self, at: dict[bytes, list[int]]) -> dict[int, list[tuple[float, int]]]:
-        """For each template the starts on which enough of its rare words agree, with the share that does."""
-        votes: dict[int, dict[int, set[bytes]]] = defaultdict(lambda: defaultdict(set))
-        for w in sorted(at, key=lambda w: -self.idf.get(w, 0.0)):
-            for k, place in self.postings.get(w, ()):
+        for k, e in enumerate(self.entries):
+            for w, place in e.anchors:
+                self.postings[w].append((k, place))
+        self.watched = frozenset(self.postings)
+        self.needed = self.watched | {w for e in self.entries for w, _ in e.chosen}
+
+    def candidates(self, at: dict[bytes, list[int]]) -> dict[int, dict[int, float]]:
+        """For each template the starts on which enough of its index words agree, with the share that does. at: the places of a text's words."""
+        out: dict[int, dict[int, float]] = defaultdict(dict)
+        tried: dict[int, set[int]] = defaultdict(set)
+        sets: dict[bytes, set[int]] = {}
+        for w in sorted(self.watched & at.keys(), key=lambda w: (-self.idf.get(w, 0.0), w)):
+            for k, place in self.postings[w]:
+                entry = self.entries[k]
                 for here in at[w]:
-                    votes[k][here - place].add(w)
-        out: dict[int, list[tuple[float, int]]] = defaultdict(list)
-        for k, starts in votes.items():
-            for start in starts:
-                agreeing = set().union(*(starts.get(start + d, ()) for d in range(-SLACK, SLACK + 1)))
-                if len(agreeing) >= max(1, math.ceil(AGREE * self.chosen[k])):
-                    out[k].append((len(agreeing) / self.chosen[k], start))
+                    start = here - place
+                    if start in tried[k]:
+                        continue
+                    tried[k].add(start)
+                    agree = 0
+                    for other, its in entry.chosen:
+                        if other not in sets:
+                            sets[other] = set(at.get(other, ()))
+                        agree += any(start + its + d in sets[other] for d in ((0,) if entry.whole else range(-SLACK, SLACK + 1)))
+                    if agree >= entry.need:
+                        out[k][start] = agree / len(entry.chosen)
         return out
 
     def scan(self, text: bytes) -> tuple[int, list[tuple[int, str]], dict[str, float]]:
-        """The number of words, the contract's places, and the score of each label that the index finds."""
+        """The number of words, the contract's places, and the score of each label of the other templates."""
         words = text.translate(FOLD).split()
-        here = self.watched.intersection(words)
-        if not here:
-            return len(words), [], {}
+        present = self.needed.intersection(words)
+        base: list[tuple[int, str]] = []
+        found: dict[str, float] = {}
+        if not present & self.watched:
+            return len(words), base, found
         at: dict[bytes, list[int]] = defaultdict(list)
         for i, w in enumerate(words):
-            if w in here:
+            if w in present:
                 at[w].append(i)
-        base = [x for phrase, label in self.base.items() if max(phrase, key=len) in here for x in ((i, label) for i in _places(words, phrase, at[max(phrase, key=len)]))]
-        found: dict[str, float] = {}
         for k, starts in self.candidates(at).items():
-            label, _, phrases = self.templates[k]
-            for share, start in starts:
-                if share > found.get(label, 0.0) and all(any(_stands(words, p, start + place + d) for d in range(-SLACK, SLACK + 1)) for p, place in phrases):
-                    found[label] = share
-        return len(words), base, found
+            entry = self.entries[k]
+            for start, share in starts.items():
+                if entry.whole:
+                    base.append((start, entry.label))
+                elif share > found.get(entry.label, 0.0) and all(any(stands(words, p, start + place + d) for d in range(-SLACK, SLACK + 1)) for p, place in entry.phrases):
+                    found[entry.label] = share
+        return len(words), sorted(base), found
 
 
-def _stands(words, phrase, i: int) -> bool:
-    return i >= 0 and tuple(words[i : i + len(phrase)]) == tuple(phrase)
+def stands(words: Words, phrase: Words, i: int) -> bool:
+    return i >= 0 and words[i : i + len(phrase)] == phrase
+
+
+def _first(words: Words, phrase: Words) -> int:
+    return next(i for i in range(len(words)) if stands(words, phrase, i))
+
+
+def frequencies(docs: DataFrame, words: frozenset[bytes], text: str = "text") -> tuple[int, dict[bytes, int]]:
+    """The number of rows, and in how many of them each of the words stands. Tasks count; what comes back has a row for each word at most."""
+    rows = docs.select(F.col(f"`{text}`").cast("string").alias("text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = Counter(), 0
+        for batch in batches:
+            for x in batch.column(0).cast(pa.binary()).to_pylist():
+                n += 1
+                held.update(words.intersection((x or b"").translate(FOLD).split()))
+        yield pa.RecordBatch.from_pydict({"word": pa.array([None, *held], pa.binary()), "n": pa.array([n, *held.values()], pa.int64())})
+
+    got = rows.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    found = {None if x.word is None else bytes(x.word): x.n for x in got}
+    return found.pop(None, 0), found
 
 
-def _places(words: list[bytes], phrase, longest: list[int] | None = None) -> list[int]:
-    """Where the phrase's words stand consecutively. longest: the known places of its longest word."""
-    inside = phrase.index(max(phrase, key=len))
-    if longest is None:
-        longest = [i for i, w in enumerate(words) if w == phrase[inside]]
-    return [i - inside for i in longest if _stands(words, phrase, i - inside)]
+def indexed(docs: DataFrame, templates: tuple[Template, ...] = (*BASE, *TEMPLATES), text: str = "text") -> Index:
+    """An index whose frequencies are those of all texts."""
+    words = frozenset(w for t in templates for w in t.text.encode().split())
+    n, found = frequencies(docs, words, text)
+    return Index(templates, n, {w: found.get(w, 0) for w in words})
 
 
-def scanned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scanned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", index: Index | None = None) -> DataFrame:
     """(doc_id, n_words, places, labels) for each row: places are (start, label) of the contract's phrases, labels (label, score) of templates."""
+    index = index or indexed(docs, text=text)
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     places = pa.list_(pa.struct([("start", pa.int64()), ("label", pa.string())]))
     labels = pa.list_(pa.struct([("label", pa.string()), ("score", pa.float64())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index()
         for batch in batches:
-            got = [index.scan(x or b"") for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([n for n, _, _ in got], pa.int64()), pa.array([[{"start": i, "label": x} for i, x in sorted(b)] for _, b, _ in got], places), pa.array([[{"label": x, "score": s} for x, s in sorted(f.items())] for _, _, f in got], labels)],
-                names=["doc_id", "n_words", "places", "labels"],
-            )
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                got = [index.scan(x or b"") for x in part.column(1).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([n for n, _, _ in got], pa.int64()), pa.array([[{"start": i, "label": x} for i, x in b] for _, b, _ in got], places), pa.array([[{"label": x, "score": s} for x, s in sorted(f.items())] for _, _, f in got], labels)],
+                    names=["doc_id", "n_words", "places", "labels"],
+                )
 
     return rows.mapInArrow(scan, f"doc_id {kind}, n_words long, places array<struct<start:long,label:string>>, labels array<struct<label:string,score:double>>")
 

@@ -7,7 +7,8 @@ Rates become whole copies by a hash of the document; an offset for each source,
 with documents that still fit bring the words taken up to the target. Documents are never gathered, ordered or ranked in one task.
 
 Null sources are a source of their own, in the last place. Null and empty texts have size 0 and cost nothing. Repeated rows (same id and
-text) get the same number of copies. Columns of the same name as the results are replaced.
+text) get the same number of copies; one copy more goes to a document only where all its rows together bring the source nearer to its target. mixed() puts its
+results in the place of columns of their names; mixed_copies() has no column of its own.
 """
 
 from __future__ import annotations
@@ -225,10 +226,16 @@ def _nearest(mix: Mix, rows: DataFrame) -> None:
     """One copy more, beyond the target, where that ends nearer to it: of the document whose size is the nearest to what is left."""
     free = mix.joined(rows, "source").where((F.col("size") > 0) & (Mix.copies(F.col("key")) < MOST))
     best = free.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("_left")).alias("off"), "size", "key")).alias("m")).select("source", "m.*")
-    for x in best.toLocalIterator():
+    chosen = [x for x in best.toLocalIterator() if x.off < mix.sources[x.source].target - mix.sources[x.source].taken]
+    if not chosen:
+        return
+    keys = mix.spark.createDataFrame([(x.source, x.key) for x in chosen], "_s string, _chosen long")  # one for each source
+    repeated = rows.join(F.broadcast(keys), F.col("source").eqNullSafe(F.col("_s")) & (F.col("key") == F.col("_chosen"))).groupBy("source").agg(F.sum("size").alias("size"))
+    together = {x.source: x.size for x in repeated.collect()}
+    for x in chosen:
         s = mix.sources[x.source]
-        if x.off < s.target - s.taken:
-            s.extra, s.taken = x.key, s.taken + x.size
+        if abs(together[x.source] - (s.target - s.taken)) < s.target - s.taken:
+            s.extra, s.taken = x.key, s.taken + together[x.source]
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -246,7 +253,8 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
-def mixed_copies(docs: DataFrame) -> DataFrame:
-    """The mix itself: each document as often as its copies, with its own columns only."""
-    out = mixed(docs).where("copies > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+def mixed_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mix itself: each document as often as its copies; all its columns as they came, whatever their names."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), *(F.col(f"`{c}`").alias(n) for c, n in ((doc_id, "doc_id"), (text, "text"), (source, "source"))))
+    out = mixed(rows).where("copies > 0").select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return out.select(*(F.col("_doc").getField(c).alias(c) for c in docs.columns))

@@ -45,7 +45,7 @@ def index_vector(word: str) -> np.ndarray:
 
 def shape(word: str) -> str:
     """Cases, digits and signs in their order, runs of one kind as one character."""
-    kinds = ["a" if c.islower() else "A" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word[:64]]
+    kinds = ["a" if c.islower() else "A" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word]
     return "".join(k for i, k in enumerate(kinds) if not i or kinds[i - 1] != k)
 
 
@@ -173,7 +173,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         yield pa.RecordBatch.from_pydict({"sums": pa.array([sums.tobytes()], pa.binary())})
 
     sums = np.zeros((width, WIDTH))
-    for x in rows.where("fit").select("text").mapInArrow(contexts, "sums binary").toLocalIterator():  # TASKS rows of a fixed size
+    for x in rows.where("fit").select("text").mapInArrow(contexts, "sums binary").collect():  # TASKS rows of a fixed size, at once: one by one, a task would wait for the last
         sums += np.frombuffer(x.sums, np.float32).reshape(width, WIDTH)
     sums -= sums.mean(axis=0)
     vectors = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)

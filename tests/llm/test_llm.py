@@ -12,7 +12,7 @@ import pytest
 import tokenizers
 from pyspark.sql import functions as F
 
-from claimweave.llm import langid, licences, minhash, mixing, packing, pii, quality, rules, tokens
+from claimweave.llm import langid, minhash, mixing, packing, pii, quality, rules, tokens
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -244,23 +244,6 @@ def test_shares_cap_and_reshare():
     assert mixing.shares([7]) == [7.0]
 
 
-def test_licences():
-    index = licences.Index()
-    text = b"x All Rights Reserved. (cc-by 4.0) general, public\nlicense all rights reserved Licensed under the Apache License, Version 2.0."
-    n, base, found = index.scan(text)
-    words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
-    assert n == len(words) and sorted(base) == [(1, "reserved"), (4, "cc-by"), (8, "gpl"), (11, "reserved")]
-    assert "apache-2.0" in found and "mit" not in found
-    assert index.scan(b"") == (0, [], {}) and index.scan(b"cc by cc by")[1] == [(0, "cc-by"), (2, "cc-by")]
-    assert "mit" in index.scan(b"PERMISSION is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files")[2]
-    assert not index.scan(b"the version of this software that any person may use with public license talk")[2]
-
-
-def test_licence_rows(docs):
-    got = {r.doc_id: r for r in licences.scanned(docs).collect()}
-    assert [x.label for x in got[13].labels] == ["mit"] and got[0].n_words == 0 and len(got) == docs.count()
-
-
 def test_language_models_sum_to_one():
     counts = {"a": collections.Counter(), "b": collections.Counter()}
     for language, words in (("a", ["abba", "baba", "abab"]), ("b", ["cdc", "dcd", "abc"])):
