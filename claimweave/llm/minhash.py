@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from claimweave.llm.common import components, documents, key64, runs, stored
 
@@ -230,7 +231,12 @@ def across(members: DataFrame, payload: DataFrame, least: float, percent: int) -
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row; links have 100 * intersection >= percent * union."""
+    """(doc_id, n_shingles, component_id, kept) for each row; links have 100 * intersection >= percent * union. Ids may have any type that can be compared."""
+    if not isinstance(docs.schema[doc_id].dataType, IntegralType):
+        rows = _numbered(docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")))
+        found = near_duplicates(rows, percent, "row").select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("c")).join(rows.select("row", F.col("doc.id").alias("doc_id")), "row")
+        labels = found.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+        return found.join(labels, "c").select("doc_id", "n_shingles", "component_id").withColumn("kept", F.col("doc_id") == F.col("component_id"))
     base = stored(signatures(docs, doc_id, text))
     classes = stored(base.where("digest is not null").groupBy("digest").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "sig", "bands"))).alias("m")).select("digest", F.col("m.doc_id").alias("node"), "m.sig", "m.bands"))
     keys = classes.select(F.posexplode("bands").alias("band", "key"), "node")
@@ -262,15 +268,21 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir, "doc_id", "text"), percent=85)
 
 
-def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """One document of each component, with its own columns only: that of the least id, one without an id only where no other has one.
+def _numbered(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc, text, row): a stored table with each row as a struct, its text, and a number of its own."""
+    return stored(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(f"`{text}`").alias("text"), F.monotonically_increasing_id().alias("row")))
 
-    Rows are the nodes, whatever their ids: different texts of one id all stay. Texts without a word link with nothing; of those that repeat an id, one stays.
+
+def deduplicated(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each component, all its columns as they came: that of the least id, one without an id only where no other has one.
+
+    Rows are the nodes, whatever their ids: different texts of one id all stay unless they are near-duplicates; of those the one of the least hash of its text stays. Texts
+    without a word link with nothing; of those that repeat an id, one stays.
     """
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()))
-    found = near_duplicates(rows, percent, doc_id="_row").select(F.col("doc_id").alias("_row"), "component_id", "n_shingles")
-    found = found.join(rows.select("_row", F.col("doc_id").cast("long").alias("_id")), "_row")
-    wordless = (F.col("n_shingles") == 0) & F.col("_id").isNotNull()
-    group = (F.when(~wordless, F.col("component_id")).alias("a"), F.when(wordless, F.col("_id")).alias("b"))
-    least = found.groupBy(*group).agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("m")).select("m._row")
-    return rows.join(least, "_row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = _numbered(docs, text)
+    found = near_duplicates(rows, percent, doc_id="row").select(F.col("doc_id").alias("row"), "component_id", "n_shingles")
+    found = found.join(rows.select("row", F.col("doc").getField(doc_id).alias("id"), F.xxhash64("text").alias("hash")), "row")
+    wordless = (F.col("n_shingles") == 0) & F.col("id").isNotNull()
+    group = (F.when(~wordless, F.col("component_id")).alias("a"), F.when(wordless, F.col("id")).alias("b"))
+    least = found.groupBy(*group).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash", "row")).alias("m")).select("m.row")
+    return rows.join(least, "row", "left_semi").select(*(F.col("doc").getField(c).alias(c) for c in docs.columns))

@@ -1,4 +1,6 @@
-"""Operators of the training-data subpackage against brute force, on small tables with nulls, empty and long texts, ties and clashing columns."""
+"""Operators of the training-data subpackage against brute force, on small tables with nulls, empty and long texts, ties and clashing columns.
+
+PII, licences, embeddings and tokens have files of their own."""
 
 import collections
 import math
@@ -164,6 +166,14 @@ def test_near_duplicates_of_rows_without_an_id(spark):
     assert {2, 5, 8, 9, 12} <= place and len(place & {6, 7}) == 1 and len(place & {10, 11}) == 1 and len(place) == 7
 
 
+def test_near_duplicates_of_string_ids(spark):
+    a, b = (" ".join(words_of(60, k)) for k in (41, 42))
+    frame = spark.createDataFrame([("z", a), ("k", a + " more"), (None, a), ("b", b), (None, ""), ("c", None)], "doc_id string, text string")
+    got = collections.Counter(map(tuple, minhash.near_duplicates(frame, 85).select("doc_id", "component_id", "kept").collect()))
+    assert got == collections.Counter([("z", "k", False), ("k", "k", True), (None, "k", None), ("b", "b", True), (None, None, None), ("c", "c", True)])
+    assert sorted(r.doc_id or "" for r in minhash.deduplicated(frame, 85).collect()) == ["", "b", "c", "k"]
+
+
 def test_estimate_is_close():
     a = np.unique(np.arange(2000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     b = a[300:]
@@ -238,6 +248,41 @@ def test_mixing(docs):
     assert mixing.mixed(docs.limit(0)).count() == 0
 
 
+def test_rates_solve_the_convex_problem(spark):
+    """The primal: sum b (r ln r - r) under each source's constraint and 0 <= r <= 3. No move that keeps the constraint lowers it."""
+    r = random.Random(8)
+    sizes = {s: [r.randint(1, 3000) for _ in range(n)] for s, n in (("a", 60), ("b", 45), ("c", 30))}
+    rows = spark.createDataFrame([(s, v, k) for s in sizes for k, v in enumerate(sizes[s])], "source string, size long, key long").cache()
+    mix = mixing.solve(rows)
+    target = mixing.shares([sum(v) for v in sizes.values()])
+    cost = lambda x, b: b * (x * math.log(x) - x) if x > 0 else 0.0
+    for (s, own), want in zip(sizes.items(), target, strict=True):
+        p = mix.sources[s]
+        rate = [min(3.0, math.exp(p.tilt * math.sqrt(v / p.scale))) for v in own]
+        assert math.isclose(sum(x * v for x, v in zip(rate, own, strict=True)), want, rel_tol=1e-5) and p.size == sum(own)
+        for i in range(len(own)):
+            for j in range(i):
+                for step in (1e-3, -1e-3):  # a little more of i, as many words less of j
+                    x, y = rate[i] + step / own[i], rate[j] - step / own[j]
+                    if 0 <= x <= 3 and 0 <= y <= 3:
+                        now = cost(rate[i], math.sqrt(own[i])) + cost(rate[j], math.sqrt(own[j]))
+                        assert cost(x, math.sqrt(own[i])) + cost(y, math.sqrt(own[j])) >= now - 1e-10
+
+
+def test_mixing_of_repeated_rows(spark):
+    texts = [(1, "a b c", "s")] * 40 + [(2, "d " * 90, "s"), (3, "e " * 700, "t"), (4, None, None), (4, None, None)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    got = mixing.mixed(frame).collect()
+    assert len(got) == len(texts) and len({(r.doc_id, r.copies) for r in got}) == 4
+    for source in ("s", "t"):
+        own = [r for r in got if r.source == source]
+        taken, target = sum(r.size * r.copies for r in own), own[0].target
+        steps = {r.doc_id: sum(x.size for x in own if x.doc_id == r.doc_id) for r in own if r.copies < 3}
+        assert abs(taken - target) <= max([abs(taken - target) * 0, *steps.values()])
+    again = mixing.mixed(frame.repartition(3)).collect()
+    assert collections.Counter(map(tuple, again)) == collections.Counter(map(tuple, got))
+
+
 def test_shares_cap_and_reshare():
     assert mixing.shares([10, 1000, 1000]) == [30.0, 1320.0, 660.0]
     assert mixing.shares([0, 0]) == [0.0, 0.0] and mixing.shares([]) == []
@@ -259,6 +304,64 @@ def test_language_models_sum_to_one():
         assert np.allclose(total, 1, atol=1e-6)
 
 
+def kneser_ney(words, alphabet_size):
+    """log P of a word, by string keys: interpolated, one discount for each order, continuation counts below the highest."""
+    grams = [collections.Counter() for _ in range(4)]
+    for w in words:
+        w = langid.START * 3 + w + langid.END
+        grams[3].update(w[k : k + 4] for k in range(len(w) - 3))
+    for order in (2, 1, 0):
+        for g in grams[order + 1]:
+            grams[order][g[1:]] += 1
+    discount = []
+    for table in grams:
+        n1, n2 = (sum(v == k for v in table.values()) for k in (1, 2))
+        discount.append(min(0.95, max(0.1, n1 / (n1 + 2 * n2) if n1 else 0.5)))
+
+    def p(context, c):
+        below = p(context[1:], c) if context else 1 / (alphabet_size + 1)
+        table = grams[len(context)]
+        same = [g for g in table if g[:-1] == context]
+        total = sum(table[g] for g in same)
+        if not total:
+            return below
+        d = discount[len(context)]
+        return max(table[context + c] - d, 0) / total + d * len(same) / total * below
+
+    def log_p(word):
+        word = langid.START * 3 + word + langid.END
+        return sum(math.log(p(word[k - 3 : k], word[k])) for k in range(3, len(word)))
+
+    return log_p
+
+
+def test_language_models_against_string_keys():
+    words = {"a": ["abba", "baba", "abab", "dab"], "b": ["cdc", "dcd", "abc", "cab"], "c": ["é", "éa"]}
+    counts = {k: collections.Counter() for k in words}
+    for k, own in words.items():
+        for w in own:
+            w = langid.START * 3 + w + langid.END
+            counts[k].update(w[i : i + 4] for i in range(len(w) - 3))
+    model = langid.trained(counts)
+    size = len({c for g in counts.values() for x in g for c in x})
+    asked = ["abba", "cd", "z", "zab", "éé", "a", "dcdcdcab"]
+    got = model.words(asked)
+    for j, k in enumerate(sorted(words)):
+        log_p = kneser_ney(words[k], size)
+        assert np.allclose(got[:, j], [log_p(w) for w in asked], atol=1e-6)
+
+
+def test_language_of_rare_and_long_texts(spark):
+    rows = [(k, "der hund und die katze", "de") for k in range(60)] + [(100, "el perro y el gato", "es"), (101, None, "fr"), (102, "...", "it")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(frame)
+    assert model.languages == ["de", "es"]
+    asked = spark.createDataFrame([(1, "el gato " * 300_000, 0.1), (1, "x" * 1_000_000, 0.1), (2, "el gato", 0.1), (2, "el gato", 0.1)], "doc_id long, text string, score double")
+    got = langid.identified(asked, model).collect()
+    assert sorted((r.doc_id, r.lang_pred) for r in got if r.doc_id == 2) == [(2, "es"), (2, "es")] and len(got) == 4
+    assert any(r.doc_id == 1 and r.lang_pred == "es" for r in got)
+
+
 def test_language_accuracy(spark):
     frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.learn(frame.where(langid.fold("doc_id", 5) != 0))
@@ -281,6 +384,68 @@ def test_quality_accuracy(spark):
     assert quality.learn(frame, labels.limit(0)) is None
 
 
+def test_quality_pooling_and_forward_pass(spark):
+    """The scores of a model of random parameters, recomputed word by word."""
+    g = np.random.default_rng(2)
+    vocabulary = {w: k for k, w in enumerate(["the", "cat", "sat", "éa"])}
+    n = len(vocabulary) + quality.OTHERS
+    model = quality.Model(vocabulary, g.standard_normal((n, quality.WIDTH)).astype(np.float32), g.standard_normal((quality.SHAPES + 2, quality.WIDTH)), g.standard_normal(2 * quality.WIDTH), g.uniform(1, 2, 2 * quality.WIDTH), (g.standard_normal((2 * quality.WIDTH, 8)), g.standard_normal(8), g.standard_normal(8), g.standard_normal(1)), 1.7)
+    texts = [None, "", "The cat, sat!", "cat cat\ncat cat\nother\n\n", "É漢 9x-y " * 3000, "A" * 500_000 + "9", "the the the"]
+    frame = spark.createDataFrame([(k, t, "own") for k, t in enumerate(texts)] * 2, "doc_id long, text string, score string")
+    got = {r.doc_id: r.score for r in quality.scored(frame, model).collect()}
+    import xxhash
+
+    for k, text in enumerate(texts):
+        words = WORD.findall(text or "")
+        x = np.zeros(2 * quality.WIDTH)
+        for i, w in enumerate(words):
+            bare = re.sub(r"[\W_]+", "", w).lower()
+            x[: quality.WIDTH] += model.words[vocabulary.get(bare, len(vocabulary) + xxhash.xxh32_intdigest(bare[-3:].encode()) % quality.OTHERS)] / len(words)
+            kinds = ["a" if c.islower() else "A" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in w]
+            form = "".join(c for j, c in enumerate(kinds) if not j or kinds[j - 1] != c)
+            x[quality.WIDTH :] += model.shapes[xxhash.xxh32_intdigest(form.encode()) % quality.SHAPES] / len(words)
+            if i and w == words[i - 1]:
+                x[quality.WIDTH :] += model.shapes[quality.SHAPES] / len(words)
+        lines = [y for y in (text or "").split("\n") if y.strip()]
+        if words:
+            x[quality.WIDTH :] += (1 - len(set(lines)) / len(lines)) * model.shapes[quality.SHAPES + 1]
+        w1, b1, w2, b2 = model.layers
+        hidden = np.maximum((x - model.mean) / model.scale @ w1 + b1, 0)
+        assert math.isclose(got[k], 1 / (1 + math.exp(-(hidden @ w2 + b2[0]) / model.temperature)), rel_tol=1e-3, abs_tol=1e-6), k
+
+
+def test_training_lowers_the_loss():
+    g = np.random.default_rng(3)
+    x, w = g.standard_normal((800, 20)), g.standard_normal(20)
+    y = (x @ w + 0.1 * g.standard_normal(800) > 0).astype(float)
+    model = quality.Model({}, np.zeros((0, 0)), np.zeros((0, 0)))
+    quality.train(model, x[:600], y[:600])
+    quality.calibrate(model, x[600:700], y[600:700])
+    assert ((model.logits(x[700:]) > 0) == (y[700:] > 0)).mean() > 0.9
+
+
+def test_stages_keep_every_column_and_row(spark):
+    """Columns named like results and helpers, rows that repeat, nulls, empty and very long texts, and no rows at all."""
+    import corpus_pipeline
+
+    own = ["_doc", "_row", "row", "doc", "measures", "failed", "n_replaced", "size", "source_size", "target", "copies", "_key", "_n", "component_id", "kept", "key"]
+    text = "The mill by the river is old and the people of the town have a name for it. " * 3
+    long = " ".join(f"the word {k} of the text" for k in range(60_000))
+    rows = [(1, text, "en", "s"), (1, text, "en", "s"), (None, text + " Call 578-555-6437 on it.", "en", None), (2, None, None, None), (3, "", "fr", "s"), (4, long, "en", "t"), (5, text.upper().lower() + " and at the end there is that", "en", "s"), (6, "It is the call of the day: 578-555-6437, and it was on the list of the town for the year.", "en", "t")]
+    frame = spark.createDataFrame([(*r, *(f"own {c}" for c in own)) for r in rows], "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} string" for c in own))
+    now = frame
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, "")
+        assert now.columns == frame.columns, name
+        assert stage(spark, frame.limit(0), "").count() == 0, name
+        assert all(r[c] == f"own {c}" for r in now.collect() for c in own), name
+        now = now.cache()
+    left = {r.doc_id for r in now.collect()}
+    assert 6 in left and 2 not in left and 3 not in left
+    assert not now.where("text like '%578-555-6437%'").count()
+    assert corpus_pipeline.STAGES[-1][1](spark, now, "").count() > 0 and corpus_pipeline.STAGES[-1][1](spark, frame.limit(0), "").count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
