@@ -14,7 +14,7 @@ from claimweave.llm.common import stored
 from claimweave.llm.minhash import deduplicated
 from claimweave.llm.mixing import mixed_copies
 from claimweave.llm.packing import packed
-from claimweave.llm.pii import pseudonymised
+from claimweave.llm.pii import with_pseudonyms
 from claimweave.llm.rules import kept_documents
 
 
@@ -30,7 +30,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by pseudonyms; n_chars, where there is one, stays that of the text as it came."""
-    return pseudonymised(docs).select(*(f"`{c}`" for c in docs.columns))
+    return with_pseudonyms(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing sources to target weights", source_mix),
     ("packing", packing),
 ]
-#: SQL states neither pseudonyms, mixing nor packing; tests compare the stages with brute force.
+#: SQL states neither pseudonyms, mixing nor packing. Tests compare what each stage makes: the rules and the near-duplicates with brute force, pseudonyms with plain Python,
+#: the mix with its optimum, and the packed ids with the tokenizers library.
 ORACLE_SQL = None
 
 
