@@ -27,3 +27,5 @@ class EnvelopeAxis(QueryError): ...
 class OrderField(QueryError): ...
 class LayerName(QueryError): ...
 class Inadmissible(ClaimError): ...
+class MalformedRecord(ClaimError, ValueError): ...
+class TimedOut(ClaimError): ...

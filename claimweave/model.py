@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Closed sets of classes; subtypes are open.
 NODE_CLASSES = ("contribution", "source", "derivation", "entity", "relation")
@@ -46,10 +47,17 @@ class Universe:
     bookmarks: DataFrame | None = None
     raw: DataFrame | None = None
     max_height: int | None = None
+    dangling: DataFrame | None = None  # (dst): what is referenced but not stored; found when it is first needed
 
     def with_(self, **changes) -> Universe:
+        if {"nodes", "edges"} & changes.keys():
+            changes.setdefault("dangling", None)
         return replace(self, **changes)
 
+    def gaps(self) -> DataFrame:
+        """(dst): ids that are referenced but not stored."""
+        return self.edges.select("dst").distinct().join(self.nodes.select(F.col("id").alias("dst")), "dst", "left_anti")
+
 
 def empty(spark: SparkSession, table: str) -> DataFrame:
     return spark.createDataFrame([], SCHEMAS[table])

@@ -8,23 +8,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rounds of a walk without a known depth between reliable checkpoints.
-EVERY = 3
+from claimweave.storage import stored
 
+class Deadline:
+    """A time that bounds a walk. late: whether a walk was cut short by it."""
 
-def reliable(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that executors share; a folder is set only where the session names none."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
-    return df.checkpoint(eager=True)
+    def __init__(self, seconds: float):
+        self.at, self.late = time.monotonic() + seconds, False
 
+    def over(self) -> bool:
+        self.late = self.late or time.monotonic() > self.at
+        return self.late
 
-def closure(start: DataFrame, edges: DataFrame, depth: int | None = None, stop_at: DataFrame | None = None, deadline: float | None = None) -> DataFrame:
+
+def closure(start: DataFrame, edges: DataFrame, depth: int | None = None, stop_at: DataFrame | None = None, deadline: Deadline | None = None) -> DataFrame:
     """Distinct ids reachable from start (a column id), start included, along edges src -> dst.
 
     depth: the longest chain of references, if known; the plan then has no action of its own. stop_at: ids whose references are known to be
-    covered: they are neither returned nor walked through. deadline: a monotonic time after which the walk ends with what it has.
+    covered: they are neither returned nor walked through. deadline: the walk ends with what it has once it is over.
     """
     level = start.select("id").distinct()
     links = edges.select("src", "dst")
@@ -36,41 +37,39 @@ def closure(start: DataFrame, edges: DataFrame, depth: int | None = None, stop_a
             # one reference to the level below: the plan grows by a join in each round
             level = level.join(links, level["id"] == links["src"], "left").select(F.explode(F.array_compact(F.array("id", "dst"))).alias("id")).distinct()
         return level
-    level = seen = reliable(level)
-    rounds = 0
+    # levels are tables whose size the planner knows: small ones are broadcast, and the references need no shuffle
+    level = seen = stored(level)
     while True:
-        found = level.join(links, level["id"] == links["src"]).select(F.col("dst").alias("id")).distinct()
-        level = reliable(found.join(seen, "id", "left_anti"))
+        level = stored(level.join(links, level["id"] == links["src"]).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti"))
         if level.isEmpty():
             return seen
         seen = seen.unionByName(level)
-        rounds += 1
-        if rounds % EVERY == 0:
-            seen = reliable(seen)
-        if deadline is not None and time.monotonic() > deadline:
+        if deadline is not None and deadline.over():
             return seen
 
 
-def levels(level: DataFrame, advance: Callable[[DataFrame], DataFrame], most: int | None, deadline: float | None = None):
+def levels(level: DataFrame, advance: Callable[[DataFrame], DataFrame], most: int | None, deadline: Deadline | None = None, check: Callable[[DataFrame], None] | None = None, lazy: bool = True):
     """Breadth-first levels: yields (hop, arrivals at that hop). advance makes arrivals of a level; each id is expanded once.
 
-    Arrivals may hold ids seen before; only the next level leaves them out.
+    Arrivals may hold ids seen before; only the next level leaves them out. lazy: up to `most` hops as one plan, without an action. check sees
+    the arrivals of each hop, and may refuse them.
     """
     seen = level.select("id").distinct()
     hop = 0
     while most is None or hop < most:
         arrivals = advance(level)
-        if most is None:
-            arrivals = reliable(arrivals)
+        if not lazy:
+            arrivals = stored(arrivals)
             if arrivals.isEmpty():
                 return
+        if check is not None:
+            check(arrivals)
         hop += 1
         yield hop, arrivals
-        if deadline is not None and time.monotonic() > deadline:
-            return
         if most is None or hop < most:
-            level = arrivals.join(seen, "id", "left_anti")
-            level = level.dropDuplicates(["id"])
-            if most is None:
-                level = reliable(level)
+            if deadline is not None and deadline.over():
+                return
+            level = arrivals.join(seen, "id", "left_anti").dropDuplicates(["id"])
+            if not lazy:
+                level = stored(level)
             seen = seen.unionByName(level.select("id"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from claimweave.functions.glob import matches
 from claimweave.operators.closure import closure
+from claimweave.storage import stored
 
 PREFIX = "_b_"
 
@@ -22,20 +23,20 @@ def members(tags: DataFrame, branch: str, height: int) -> DataFrame:
     return tags.where((F.col("key") == PREFIX + branch) & (F.try_to_number("value", F.lit("9" * 18)) <= height)).select("id").distinct()
 
 
-def joined_at(tables: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFrame:
+def joined_at(tables: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, key, value): for each branch and claim the height of the first table whose head of that branch reaches it.
 
-    tables: table, height, name, head. One walk serves all heads: it carries (name, height) along and keeps the least, since
-    what an older table reaches every later one reaches too.
+    tables: table, height, name, head. One walk serves all heads: it carries (name, height) along and keeps the least, since what an older table reaches
+    every later one reaches too. A claim is carried on only where it is new to the branch, or reached by an older table than before.
     """
-    level = tables.select(F.col("head").alias("id"), "name", "height").groupBy("id", "name").agg(F.min("height").alias("height"))
-    out, rounds, links = level, 0, edges.select("src", "dst")
-    while depth is None or rounds < depth:
-        level = level.join(links, level["id"] == links["src"]).select(F.col("dst").alias("id"), "name", "height").groupBy("id", "name").agg(F.min("height").alias("height"))
-        if depth is None and level.isEmpty():
-            break
-        out, rounds = out.unionByName(level), rounds + 1
-    return out.groupBy("id", "name").agg(F.min("height").alias("height")).select("id", F.concat(F.lit(PREFIX), "name").alias("key"), F.col("height").cast("string").alias("value"))
+    links = edges.select("src", "dst")
+    level = best = stored(tables.select(F.col("head").alias("id"), "name", "height").groupBy("id", "name").agg(F.min("height").alias("height")))
+    while not level.isEmpty():
+        found = level.join(links, level["id"] == links["src"]).select(F.col("dst").alias("id"), "name", "height").groupBy("id", "name").agg(F.min("height").alias("height"))
+        known = best.groupBy("id", "name").agg(F.min("height").alias("known"))
+        level = stored(found.join(known, ["id", "name"], "left").where("known is null or height < known").select("id", "name", "height"))
+        best = best.unionByName(level)
+    return best.groupBy("id", "name").agg(F.min("height").alias("height")).select("id", F.concat(F.lit(PREFIX), "name").alias("key"), F.col("height").cast("string").alias("value"))
 
 
 def added(tags: DataFrame, new: DataFrame) -> DataFrame:

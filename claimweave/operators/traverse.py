@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from claimweave.errors import DanglingReference
 from claimweave.functions.glob import matches_types
-from claimweave.operators.closure import closure, levels
+from claimweave.operators.closure import Deadline, levels
 from claimweave.plans.query import CONNECTIONS, USES, Step
 
 #: A step whose hops are bounded by this many is one lazy plan; longer and unbounded ones run level by level.
@@ -34,22 +34,28 @@ def stamped(ids: DataFrame, nodes: DataFrame) -> DataFrame:
     return ids.select("id").distinct().join(nodes.select("id", "created_at_ns"), "id").select("id", F.array(F.struct("created_at_ns", "id")).alias("route"))
 
 
-def walk_step(frontier: DataFrame, step: Step, edges: DataFrame, nodes: DataFrame, scope: DataFrame | None, scoped: DataFrame | None, routes: bool = False, deadline: float | None = None) -> DataFrame:
+def walk_step(frontier: DataFrame, step: Step, edges: DataFrame, nodes: DataFrame, scope: DataFrame | None, scoped: DataFrame | None, routes: bool = False, deadline: Deadline | None = None, dangling: DataFrame | None = None) -> DataFrame:
     """The distinct claims that one step collects from a frontier (id, and route if routes).
 
     A claim is expanded once, at its breadth-first depth; it is collected on each arrival whose hop lies in the step's range, also when the
     walk has been there before. Node patterns and the scope hold for what is collected, edge patterns for every hop. A
-    route is that of a claim's first arrival in the step, whichever hop collects it.
+    route is that of a claim's first arrival in the step, whichever hop collects it. dangling (dst): ids that are referenced but not stored; a walk that arrives
+    at one is refused.
     """
     hops = adjacency(edges, step, scoped)
     types = nodes.select("id", "type", *(["created_at_ns"] if routes else []))
-    most = step.max if 0 < step.max <= UNROLL else None
+    most = step.max or None
+    lazy = 0 < step.max <= UNROLL and deadline is None
+
+    def check(arrivals: DataFrame) -> None:
+        if found := arrivals.select("id").join(dangling.select(F.col("dst").alias("id")), "id", "left_semi").take(1):
+            raise DanglingReference(f"a path leads to {found[0].id}, which is not stored")
 
     def advance(level: DataFrame) -> DataFrame:
         if not routes:
             return level.select("id").join(hops, level["id"] == hops["a"]).select(F.col("b").alias("id")).distinct()
         onward = level.join(hops, level["id"] == hops["a"]).select(F.col("b").alias("_b"), "route")
-        onward = onward.join(types.select(F.col("id").alias("_b"), "created_at_ns"), "_b").select(F.col("_b").alias("id"), F.concat("route", F.array(F.struct("created_at_ns", F.col("_b").alias("id")))).alias("route"))
+        onward = onward.join(types.select(F.col("id").alias("_b"), "created_at_ns"), "_b", "inner" if dangling is None else "left").select(F.col("_b").alias("id"), F.concat("route", F.array(F.struct("created_at_ns", F.col("_b").alias("id")))).alias("route"))
         return onward.groupBy("id").agg(F.min_by("route", shortest()).alias("route"))
 
     collected: list[DataFrame] = []
@@ -59,15 +65,11 @@ def walk_step(frontier: DataFrame, step: Step, edges: DataFrame, nodes: DataFram
         collected.append(start.withColumn("_hop", F.lit(0)))
     elif routes:
         first.append(start.withColumn("_hop", F.lit(0)).where(F.lit(False)))
-    for hop, arrivals in levels(start, advance, most, deadline):
-        if step.max and hop > step.max:
-            break
+    for hop, arrivals in levels(start, advance, most, deadline, None if dangling is None else check, lazy):
         if routes:
             first.append(arrivals.withColumn("_hop", F.lit(hop)))
         if hop >= step.least:
             collected.append((arrivals if routes else arrivals.select("id")).withColumn("_hop", F.lit(hop)))
-        if step.max and hop == step.max:
-            break
     if not collected:
         return start.where(F.lit(False))
     out = collected[0]
@@ -86,23 +88,22 @@ def walk_step(frontier: DataFrame, step: Step, edges: DataFrame, nodes: DataFram
     return out if scope is None else out.join(scope.select("id"), "id", "left_semi")
 
 
-def walk(start: DataFrame, steps: Sequence[Step], edges: DataFrame, nodes: DataFrame, scope: DataFrame | None, reverse_root: DataFrame | None, routes: bool = False, depth: int | None = None, deadline: float | None = None) -> DataFrame:
-    """All steps in turn: each starts from what the one before collected."""
+def walk(start: DataFrame, steps: Sequence[Step], edges: DataFrame, nodes: DataFrame, scope: DataFrame | None, inside: DataFrame | None, routes: bool = False, deadline: Deadline | None = None, dangling: DataFrame | None = None) -> DataFrame:
+    """All steps in turn: each starts from what the one before collected. inside: ids whose references reverse hops may see.
+
+    Only the last step's output answers a query: where the deadline cuts an earlier one short, nothing is found.
+    """
     scoped = None
-    if reverse_root is not None and any(s.dir in (USES, CONNECTIONS) for s in steps):
-        inside = closure(reverse_root, edges, depth).withColumnRenamed("id", "src")
-        scoped = edges.join(inside, "src", "left_semi")
+    if inside is not None and any(s.dir in (USES, CONNECTIONS) for s in steps):
+        scoped = edges.join(inside.withColumnRenamed("id", "src"), "src", "left_semi")
     frontier = stamped(start, nodes) if routes else start.select("id").distinct()
-    for step in steps:
-        frontier = walk_step(frontier, step, edges, nodes, scope, scoped, routes, deadline)
+    for i, step in enumerate(steps):
+        frontier = walk_step(frontier, step, edges, nodes, scope, scoped, routes, deadline, dangling)
+        if deadline is not None and i < len(steps) - 1 and deadline.over():
+            return frontier.where(F.lit(False))
     return frontier
 
 
 def gaps(ids: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(src, dst): references of the given claims to claims that are not stored."""
     return edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi").select("src", "dst").join(nodes.select(F.col("id").alias("dst")), "dst", "left_anti")
-
-
-def refuse_gaps(ids: DataFrame, edges: DataFrame, nodes: DataFrame) -> None:
-    if found := gaps(ids, edges, nodes).take(1):
-        raise DanglingReference(f"{found[0].src} references {found[0].dst}, which is not stored")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.model import EDGE_CLASSES, NODE_CLASSES, STRUCTURAL, SUBTYPE, TIME_FIELDS, Universe
@@ -54,10 +54,10 @@ def direction(u: Universe) -> DataFrame:
 
 
 def edge_order(u: Universe) -> DataFrame:
-    """References stand in the byte order of their ids."""
-    k = F.translate("edge_id", ALPHABET, SORTED)
-    before = F.lag(k).over(Window.partitionBy("src").orderBy("ord"))
-    return _broken(u.edges.withColumn("_late", before > k).where("_late"), "edge_order", F.col("edge_id"), "src")
+    """References stand in the byte order of their ids. Each is compared with the one before it by a join on (claim, place): a claim may have any number."""
+    rows = u.edges.select("src", "ord", "edge_id", F.translate("edge_id", ALPHABET, SORTED).alias("k"))
+    before = rows.select("src", (F.col("ord") + 1).alias("ord"), F.col("k").alias("before"))
+    return _broken(rows.join(before, ["src", "ord"]).where("before > k"), "edge_order", F.col("edge_id"), "src")
 
 
 def first_table(u: Universe) -> DataFrame:
@@ -92,7 +92,9 @@ def table_reference(u: Universe) -> DataFrame:
 
 
 def archive_head(u: Universe, head: str) -> DataFrame:
-    return _broken(u.nodes.where((F.col("id") == head) & (F.col("type") != "contribution/branches")), "archive_head", F.col("type"))
+    """The archive's head is a branch table that is stored."""
+    asked = u.nodes.sparkSession.createDataFrame([(head,)], "id string").join(u.nodes.select("id", "type"), "id", "left")
+    return _broken(asked.where("type is null or type <> 'contribution/branches'"), "archive_head", F.coalesce("type", F.lit("not stored")))
 
 
 def delete_by(u: Universe) -> DataFrame:

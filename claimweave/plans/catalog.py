@@ -11,13 +11,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimweave.functions import edtf
-from claimweave.functions.glob import regex_of
 from claimweave.model import Universe
-from claimweave.operators import overlay, sync, tags, verify
+from claimweave import errors
+from claimweave.functions import wire
+from claimweave.functions.ids import addressed
+from claimweave.operators import lookup, merge, overlay, sync, tags, verify
 from claimweave.operators.closure import closure
-from claimweave.plans.engine import Archive
+from claimweave.plans.engine import Archive, records
 from claimweave.plans.query import Content, Key, Output, Query, Step, Where, leaf
 from claimweave.sources.starschema import ingested
+from claimweave.storage import stored
 
 BASE_TEXT = "1990-01-01T00:00:00.000000000Z"
 LINE = "'lineitem:' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || strftime(l_shipdate, '%Y%m%d')"
@@ -82,9 +85,14 @@ def reach(name: str, start: str) -> str:
     return f"{name}(id) AS ({start} UNION SELECT e.dst FROM {name} c JOIN edges e ON e.src = c.id)"
 
 
+def _matches(column: str, pattern: str) -> str:
+    """A pattern of this module: a type, or a class with any subtype."""
+    return f"{column} LIKE '{pattern[:-1]}%'" if pattern.endswith("/*") else f"{column} = '{pattern}'"
+
+
 def _typed(column: str, patterns: tuple[str, ...]) -> str:
-    yes = [f"regexp_matches({column}, '{regex_of(p)}')" for p in patterns if p[0] != "-"]
-    no = [f"NOT regexp_matches({column}, '{regex_of(p[1:])}')" for p in patterns if p[0] == "-"]
+    yes = [_matches(column, p) for p in patterns if p[0] != "-"]
+    no = [f"NOT {_matches(column, p[1:])}" for p in patterns if p[0] == "-"]
     return " AND ".join([f"({' OR '.join(yes)})"] * bool(yes) + no) or "TRUE"
 
 
@@ -94,7 +102,7 @@ def stepped(name: str, start: str, step: Step, scope: str | None = None, reverse
     inside = f" AND src IN (SELECT id FROM {reverse})" if reverse else ""
     backward = f"SELECT dst AS a, src AS b FROM edges WHERE {_typed('type', step.edges)}{inside}"
     hops = {"uses": backward, "connections": f"{forward} UNION ALL {backward}"}.get(step.dir, forward)
-    most = step.max or 12
+    most = step.max or 64  # more than the highest claim
     got = f"SELECT h.b AS id FROM {name}_d d JOIN {name}_h h ON h.a = d.id WHERE d.d + 1 BETWEEN {step.least} AND {most}"
     if step.least == 0:
         got += f" UNION ALL SELECT id FROM {start}"
@@ -205,28 +213,28 @@ _path("path_uses_of_customers_branch", SCOPE, None, Step(min=0, nodes=("entity/c
 _path("path_connections_2", "$archive", "customer:4", Step(dir="connections", edges=("derivation/*",), max=2))
 _path("path_connections_return", "$archive", "customer:4", Step(dir="connections", min=2, max=2))
 _path("unanchored_step", SCOPE, None, Step(("derivation/customer",), nodes=("entity/*",), max=1))
-_path("unanchored_min2", SCOPE, None, Step(("derivation/*",), min=2, max=2))
+_path("unanchored_min1_max2", SCOPE, None, Step(("derivation/*",), min=1, max=2))
 _path("path_chain_of_turns", "$universe", "conv:5-2", Step(("derivation/previous",)), head="conv:5-2")
 
 # Filters
 _scan("where_type_glob", leaf("type", "glob", "source/*"), "type LIKE 'source/%'")
-_scan("where_glob_star_stays_in_segment", leaf("type", "glob", "*"), "FALSE")
+_scan("where_glob_star_stays_in_segment", Where(any=(leaf("type", "glob", "*"), leaf("type", "glob", "*/re*"))), "type = 'entity/region'")
 _scan("where_glob_class", leaf("type", "glob", "entity/[c-r]*"), "type IN ('entity/customer', 'entity/nation', 'entity/part', 'entity/region')")
 _scan("where_type_eq", leaf("type", "eq", "entity/customer"), "type = 'entity/customer'")
 _scan("where_type_ne", leaf("type", "ne", "source/order"), "type <> 'source/order'")
 _scan("where_type_in", leaf("type", "in", ["entity/nation", "entity/region", "source/none"]), "type IN ('entity/nation', 'entity/region')")
-_scan("where_in_empty", leaf("type", "in", []), "FALSE")
+_scan("where_in_empty", Where(any=(leaf("type", "in", []), leaf("height", "eq", 1))), "height = 1")
 _scan("where_height_ge", leaf("height", "ge", 3), "height >= 3", SCOPE)
 _scan("where_height_lt", leaf("height", "lt", 3), "height < 3", SCOPE)
 _scan("where_height_le", leaf("height", "le", 2), "height <= 2", SCOPE)
 _scan("where_height_gt", leaf("height", "gt", 3), "height > 3", SCOPE)
 _scan("where_height_eq_text", leaf("height", "eq", "2"), "height = 2", SCOPE)
-_scan("where_height_ge_text_never", leaf("height", "ge", "2"), "FALSE", SCOPE)
+_scan("where_height_ge_text_never", Where(any=(leaf("height", "ge", "2"), leaf("height", "eq", "1"))), "height = 1", SCOPE)
 _scan("where_field_eq", leaf("status", "eq", "F"), "f_status = 'F'", SCOPE)
 _scan("where_field_ne_absent_is_false", leaf("status", "ne", "F"), "f_status <> 'F'", SCOPE)
 _scan("where_field_order_by_bytes", leaf("mktsegment", "lt", "C"), "f_mktsegment < 'C'", SCOPE)
-_scan("where_field_number_never_orders", leaf("mktsegment", "ge", 5), "FALSE", SCOPE)
-_scan("where_missing_field", NONE, "FALSE", SCOPE)
+_scan("where_field_number_never_orders", Where(any=(leaf("mktsegment", "ge", 5), leaf("mktsegment", "ge", "M"))), "f_mktsegment >= 'M'", SCOPE)
+_scan("where_missing_field", Where(any=(NONE, leaf("nothing", "ne", "x"), leaf("height", "eq", 0))), "height = 0", SCOPE)
 _scan("where_not_missing_field", Where(no=NONE), "TRUE", SCOPE)
 _scan("where_time_ge", leaf("created_at", "ge", "1997-01-01T00:00:00.000000000Z"), "created_at >= '1997-01-01T00:00:00.000000000Z'", SCOPE)
 _scan("where_and", Where(all=(leaf("type", "glob", "source/*"), leaf("height", "ge", 1))), "type LIKE 'source/%' AND height >= 1", SCOPE)
@@ -298,13 +306,73 @@ def shape_path_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(spark, sf_dir).query(q).rows.select("id", F.array_join("route", ">").alias("route"))
 
 
-@registered(sql("SELECT id, '{\"id\":\"' || id || '\",\"type\":\"' || type || '\",\"created_at\":\"' || created_at || '\",\"height\":' || height || ',\"fields\":{\"name\":\"' || f_name || '\"}}' AS encoded FROM nodes WHERE type IN ('entity/nation', 'entity/region') AND id IN (SELECT id FROM c)", reach("c", _ids(HEAD))))
+@registered(sql("""SELECT n.id, '{"created_at":"' || created_at || '"' || CASE WHEN e.dst IS NULL THEN '' ELSE ',"edges":[{"reference":"' || e.dst || '","type":"' || e.type || '"}]' END || ',"fields":{"name":"' || f_name || '"},"height":' || height || ',"id":"' || n.id || '","type":"' || n.type || '"}' AS encoded
+    FROM nodes n LEFT JOIN edges e ON e.src = n.id WHERE n.type IN ('entity/nation', 'entity/region') AND n.id IN (SELECT id FROM c)""", reach("c", _ids(HEAD))))
 def json_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims as JSON; absent values are left out."""
+    """Claims as JSON with their references; absent values are left out."""
     q = Query("$archive", where=leaf("type", "in", ["entity/nation", "entity/region"]), output=Output(encoding="json"))
     return archive(spark, sf_dir).query(q).rows.select("id", "encoded")
 
 
+@registered(sql("SELECT n.id, n.type, n.height, n.created_at, e.dst AS reference, e.type AS reference_type, e.dir AS direction FROM nodes n JOIN edges e ON e.src = n.id WHERE n.type = 'relation/lineitem' AND n.f_returnflag = 'R'"))
+def cbor_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims as CBOR records, and what the records say when they are read again."""
+    u = ingested(spark, sf_dir)
+    made = wire.encoded(records(u.nodes.where("type = 'relation/lineitem' and fields['returnflag'] = 'R'").select("id"), u.nodes, u.edges, None))
+    made = stored(made.select("claim.id", "encoded"))  # read three times
+    nodes, edges = wire.nodes_of(made.select("encoded")), wire.edges_of(made.select("encoded"))
+    named = made.select(F.col("id").alias("name"), "encoded").transform(lambda d: addressed(d, "encoded")).select("name", "address")
+    return nodes.join(edges.select("src", "dst", F.col("type").alias("reference_type"), "relation_direction"), F.col("id") == F.col("src")).join(named, F.col("id") == F.col("address")).select(F.col("name").alias("id"), "type", "height", "created_at", F.col("dst").alias("reference"), "reference_type", F.col("relation_direction").alias("direction"))
+
+
+@registered(sql("SELECT o.dst AS id, 'order:1|' || o.dst AS route FROM edges o WHERE o.src = 'order:1' UNION ALL SELECT c.dst, 'order:1|' || o.dst || '|' || c.dst FROM edges o JOIN edges c ON c.src = o.dst WHERE o.src = 'order:1'"))
+def routes_of_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes with the claims along them, not their ids alone."""
+    q = Query("$universe", head="order:1", claim="order:1", path=(Step(("derivation/*",), max=2),), output=Output("path"))
+    return archive(spark, sf_dir).query(q).rows.select("id", F.array_join(F.transform("claims", lambda c: c.getField("id")), "|").alias("route"))
+
+
+def variant(spark: SparkSession, sf_dir: str, **tables: DataFrame) -> Archive:
+    """The snapshot with other columns in some tables; ids and references are the same, and so are the closures."""
+    own = archive(spark, sf_dir)
+    out = Archive(own.universe.with_(**({"dangling": own.universe.dangling} | tables)), HEAD)
+    out._closures, out._known, out._gaps = own._closures, own._known, own._gaps
+    return out
+
+
+def _bodies(spark: SparkSession, sf_dir: str) -> Archive:
+    """Orders with their priority as content, and references to customers with the customer's id as theirs."""
+    u = ingested(spark, sf_dir)
+    body = F.when(F.col("type") == "source/order", F.try_element_at("fields", F.lit("priority")).cast("binary"))
+    cited = F.when(F.col("type") == "derivation/customer", F.col("dst").cast("binary"))
+    sized = lambda d, c: d.withColumn("content", c).withColumn("content_size", F.length("content").cast("long")).withColumn("encoding", F.when(F.col("content").isNotNull(), "text/plain"))
+    return variant(spark, sf_dir, nodes=sized(u.nodes, body), edges=sized(u.edges, cited))
+
+
+_ORDERS = f"o AS (SELECT 'order:' || o_orderkey AS id, 'customer:' || o_custkey AS cited, o_orderpriority AS body FROM orders WHERE o_orderpriority = '{SCOPE}')"
+
+
+def _content(name: str, content: Content | None, encoding: str, body: str, cited: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _bodies(spark, sf_dir).query(Query(SCOPE, where=leaf("type", "eq", "source/order"), output=Output(content=content, encoding=encoding))).rows
+        if not encoding:
+            return rows.select("id", F.col("content").cast("string").alias("body"), "content_size")
+        of = lambda path: F.unbase64(F.get_json_object("encoded", path)).cast("string")
+        return rows.select("id", of("$.content").alias("body"), of("$.edges[0].content").alias("cited"), F.get_json_object("encoded", "$.content_size").cast("long").alias("content_size"))
+
+    QUERIES[name] = run
+    SQL[name] = f"WITH {_ORDERS} SELECT id, {body} AS body, {f'{cited} AS cited, ' if encoding else ''}CAST(strlen(body) AS BIGINT) AS content_size FROM o"
+
+
+_LEFT = "14 - strlen(cited)"
+_content("content_whole_native", None, "", "body", "")
+_content("content_cutoff_native", Content(14, "cutoff"), "", f"CASE WHEN strlen(body) <= {_LEFT} THEN body WHEN {_LEFT} > 0 THEN left(body, CAST({_LEFT} AS INTEGER)) END", "")
+_content("content_none", None, "json", "NULL::VARCHAR", "NULL::VARCHAR")
+_content("content_whole", Content(), "json", "body", "cited")
+_content("content_cutoff", Content(14, "cutoff"), "json", f"CASE WHEN strlen(body) <= {_LEFT} THEN body WHEN {_LEFT} > 0 THEN left(body, CAST({_LEFT} AS INTEGER)) END", "CASE WHEN strlen(cited) <= 14 THEN cited ELSE left(cited, 14) END")
+_content("content_omit", Content(21, "omit"), "json", "CASE WHEN strlen(cited) + strlen(body) <= 21 THEN body END", "CASE WHEN strlen(cited) <= 21 THEN cited END")
+
+
 @registered("""WITH parts AS (SELECT 'doc:' || doc_id AS id, 0 AS ord, left(lang, 2) || source AS body FROM documents UNION ALL SELECT 'doc:' || doc_id, 1, left(source, 4) FROM documents UNION ALL SELECT 'doc:' || doc_id, 2147483647, CAST(n_chars AS VARCHAR) FROM documents),
     summed AS (SELECT id, ord, body, strlen(body) AS n, COALESCE(sum(strlen(body)) OVER (PARTITION BY id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM parts)
     SELECT id, CAST(ord AS INTEGER) AS ord, CASE WHEN before + n <= 10 THEN body WHEN before < 10 THEN left(body, CAST(10 - before AS INTEGER)) END AS body FROM summed""")
@@ -346,6 +414,37 @@ def diff_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlay.materialised(u.nodes, u.edges).select("id", field("status"), field("priority"), F.col("content").cast("string").alias("content"))
 
 
+@registered("""WITH c AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN event_type END AS own, event_id % 1000 = 500 AS omits FROM events),
+    g AS (SELECT event_id, own, sum(CASE WHEN own IS NOT NULL OR omits THEN 1 ELSE 0 END) OVER (ORDER BY event_id) AS part FROM c)
+    SELECT 'event:' || event_id AS id, max(own) OVER (PARTITION BY part) AS kind FROM g""")
+def overlay_long_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one chain, each lying over the one before: every seventh states its type, some omit what they inherit."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    id_ = lambda c: F.concat(F.lit("event:"), c.cast("string"))
+    fields = F.map_filter(F.create_map(F.lit("kind"), F.when(F.col("event_id") % 7 == 0, F.col("event_type")), F.lit("fields_diff_omit"), F.when(F.col("event_id") % 1000 == 500, F.lit("kind"))), lambda k, v: v.isNotNull())
+    null = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    nodes = events.select(id_(F.col("event_id")).alias("id"), fields.alias("fields"), null("string", "encoding"), null("binary", "content"), null("string", "content_hash"), null("long", "content_size"))
+    edges = events.where("event_id > 0").select(id_(F.col("event_id")).alias("src"), id_(F.col("event_id") - 1).alias("dst"), F.lit("contribution/diff").alias("type"))
+    return overlay.materialised(nodes, edges).select("id", F.try_element_at("fields", F.lit("kind")).alias("kind"))
+
+
+@registered("SELECT * FROM (VALUES ('archive', 'DanglingReference'), ('path', 'DanglingReference'), ('elsewhere', 'none'), ('head', 'NotFound'), ('branch', 'BranchNotFound')) v(query, refusal)")
+def gap_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations are taken out of the store: reads that arrive at one are refused, others are not; neither are things that never were."""
+    u = ingested(spark, sf_dir)
+    torn = Archive(u.with_(nodes=u.nodes.where("type <> 'entity/nation'")), HEAD)
+    asked = {"archive": Query("$archive"), "path": Query("$universe", head="customer:4", claim="customer:4", path=(Step(max=1),)), "elsewhere": Query("$universe", head="doc:3"), "head": Query("$universe", head="nothing"), "branch": Query("nowhere")}
+
+    def refusal(query: Query) -> str:
+        try:
+            torn.query(query)
+        except errors.ClaimError as e:
+            return type(e).__name__
+        return "none"
+
+    return spark.createDataFrame([(name, refusal(query)) for name, query in asked.items()], "query string, refusal string")
+
+
 def _tables(u: Universe) -> DataFrame:
     return u.branches.join(u.spine.select(F.col("id").alias("table_id"), "height"), "table_id").select("name", "head", "height")
 
@@ -390,6 +489,47 @@ def spine_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.spine.join(found, "id", "left_semi").select("id", "revision")
 
 
+# Single claims and branches
+@registered(sql("SELECT id, type, height FROM nodes WHERE id = 'customer:4' AND id IN (SELECT id FROM c)", reach("c", _ids(HEAD))))
+def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One claim of the archive by its id."""
+    return archive(spark, sf_dir).get("$archive", "customer:4").select("id", "type", "height")
+
+
+_ASKED = ("customer:4", "order:1", "order:2", "order:3", "region:1", "part:5", "head:1-5-LOW", "nothing")
+
+
+@registered(sql(f"SELECT a.id, a.id IN (SELECT id FROM c) AS member FROM ({_ids(*_ASKED)}) a", reach("c", _ids(f"head:3-{SCOPE}"))))
+def membership_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a branch holds each of some claims."""
+    own = archive(spark, sf_dir)
+    return spark.createDataFrame([(i, own.holds(SCOPE, i)) for i in _ASKED], "id string, member boolean")
+
+
+@registered(sql(f"SELECT p.name, p.name IN (SELECT o_orderpriority FROM orders) AS held, CASE WHEN p.name IN (SELECT o_orderpriority FROM orders) THEN 'head:2-' || p.name END AS previous FROM (VALUES ('{SCOPE}'), ('5-LOW'), ('nowhere')) p(name)"))
+def branch_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the archive has a branch, and its head before: heads are revisions of one another here."""
+    u = ingested(spark, sf_dir)
+    older = (F.col("src").like("head:%")) & (F.col("dst").like("head:%"))
+    own = variant(spark, sf_dir, edges=u.edges.withColumn("type", F.when(older, "contribution/diff").otherwise(F.col("type"))))
+    return spark.createDataFrame([(n, own.has_branch(n), own.previous(n) if own.has_branch(n) else None) for n in (SCOPE, "5-LOW", "nowhere")], "name string, held boolean, previous string")
+
+
+@registered(sql(f"SELECT src, dst, type FROM edges WHERE type IN ('contribution/branch', 'contribution/diff') AND (type = 'contribution/branch' AND dst LIKE 'head:%-{SCOPE}' OR type = 'contribution/diff')"))
+def reference_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References by type, and by a field's value."""
+    edges = ingested(spark, sf_dir).edges
+    named = lookup.references(edges, types=["contribution/branch", "contribution/head"], field=("name", SCOPE))
+    return named.unionByName(lookup.references(edges, type_="contribution/diff")).select("src", "dst", "type")
+
+
+@registered(sql(f"SELECT CAST(a.position AS INTEGER) AS position, a.id, n.id IS NOT NULL AS held, n.height FROM (VALUES {', '.join(f'({k}, {chr(39)}{i}{chr(39)})' for k, i in enumerate((*_ASKED, 'order:1')))}) a(position, id) LEFT JOIN nodes n USING (id)"))
+def positional_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims by position: whether the store has each, and its height."""
+    asked = spark.createDataFrame(list(enumerate((*_ASKED, "order:1"))), "position int, id string")
+    return lookup.positioned(asked, ingested(spark, sf_dir).nodes)
+
+
 # Sync, deletion and write-path sets
 @registered(sql("SELECT id FROM a EXCEPT SELECT id FROM b", reach("a", _ids(f"head:2-{SCOPE}")), reach("b", _ids(f"head:1-{SCOPE}"))))
 def copy_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -456,6 +596,55 @@ def admit_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.refused_references(own, readable).groupBy("dst").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _contributor(u: Universe) -> str:
+    return u.nodes.where("type = 'contribution/contributor'").agg(F.min("id")).first()[0]
+
+
+@registered(sql("SELECT 'contribution/head' AS type, 'contribution/head' AS kind, 'nation:' || n_nationkey AS dst, CAST(2 AS BIGINT) AS height FROM nation UNION ALL SELECT 'contribution/head', 'contribution/contributor', min('contributor:' || source), 2 FROM documents WHERE source IS NOT NULL"))
+def consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One head over all nations."""
+    u = ingested(spark, sf_dir)
+    made = merge.consolidated(u, u.nodes.where("type = 'entity/nation'").select("id"), _contributor(u), "2031-01-01T00:00:00.000000000Z")
+    return made.universe.nodes.where(F.col("id") == made.id).join(made.universe.edges.select("src", "dst", F.col("type").alias("kind")), F.col("id") == F.col("src")).select("type", "kind", "dst", "height")
+
+
+@registered(sql(f"""SELECT 'branch' AS part, name, CASE name WHEN 'new' THEN 'entity/customer' ELSE 'contribution/head' END AS type FROM (SELECT DISTINCT o_orderpriority AS name FROM orders UNION ALL SELECT 'new')
+    UNION ALL SELECT 'cited', '{SCOPE}', dst FROM (SELECT 'head:3-{SCOPE}' AS dst UNION ALL SELECT 'order:' || min(o_orderkey) FROM orders WHERE o_orderpriority = '5-LOW')
+    UNION ALL SELECT 'table', kind, dst FROM (VALUES ('contribution/diff', '{HEAD}'), ('contribution/branch', 'customer:4')) v(kind, dst)
+    UNION ALL SELECT 'again', 'same', 'true'"""))
+def merge_contribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A branch that gets an order which it does not reach and one that it does, and a new branch; merged once more, nothing changes."""
+    u, one = ingested(spark, sf_dir), lambda *ids: spark.createDataFrame([(i,) for i in ids], "id string")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderpriority").agg(F.min("o_orderkey").alias("k"))
+    first = {r.o_orderpriority: f"order:{r.k}" for r in orders.collect()}
+    offered = {SCOPE: one(first["5-LOW"], first[SCOPE]), "new": one("customer:4")}
+    made = merge.merged(u, HEAD, offered, _contributor(u), "2031-01-01T00:00:00.000000000Z")
+    new = made.universe
+    own = new.branches.where(F.col("table_id") == made.id)
+    branch = own.join(new.nodes.select(F.col("id").alias("head"), "type"), "head").select(F.lit("branch").alias("part"), "name", "type")
+    cited = own.where(F.col("name") == SCOPE).join(new.edges.where("type = 'contribution/head'").select(F.col("src").alias("head"), "dst"), "head").select(F.lit("cited").alias("part"), "name", F.col("dst").alias("type"))
+    table = new.edges.where((F.col("src") == made.id) & F.col("dst").isin(HEAD, "customer:4")).select(F.lit("table").alias("part"), F.col("type").alias("name"), F.col("dst").alias("type"))
+    again = merge.merged(new, made.id, offered, _contributor(u), "2032-01-01T00:00:00.000000000Z").id == made.id
+    return branch.unionByName(cited).unionByName(table).unionByName(spark.createDataFrame([("again", "same", str(again).lower())], "part string, name string, type string"))
+
+
+@registered("SELECT source AS hash, CAST(min(doc_id) AS BIGINT) AS first FROM documents WHERE source IS NOT NULL GROUP BY source")
+def distinct_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """External contents by their first appearance: here a document's content is named by its source."""
+    return sync.distinct_contents(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("position"), F.col("source").alias("content_hash")))
+
+
+@registered(sql("SELECT 'node' AS part, id FROM a UNION ALL SELECT 'reference', src || '>' || dst FROM edges WHERE src IN (SELECT id FROM a)", reach("a", _ids(f"head:2-{SCOPE}"))))
+def copy_into_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store with one head's closure gets another's: its claims and references afterwards."""
+    u = ingested(spark, sf_dir)
+    one = lambda x: spark.createDataFrame([(x,)], "id string")
+    held = closure(one(f"head:1-{SCOPE}"), u.edges)
+    target = Universe(u.nodes.join(held, "id", "left_semi"), u.edges.join(held.withColumnRenamed("id", "src"), "src", "left_semi"))
+    out = sync.copy_closure(u, target, one(f"head:2-{SCOPE}"))
+    return out.nodes.select(F.lit("node").alias("part"), "id").unionByName(out.edges.select(F.lit("reference").alias("part"), F.concat_ws(">", "src", "dst").alias("id")))
+
+
 # Verification
 @registered(sql("SELECT e.src AS id, 'created_at' AS rule, e.dst AS detail FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst WHERE a.created_at < b.created_at"))
 def verify_monotone(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -507,3 +696,53 @@ def temporal_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     rows = orders.select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("id"), F.date_format("o_orderdate", "yyyy-MM").alias("dated"))
     return edtf.with_spans(rows)
+
+
+_broken("verify_first_table", verify.first_table, lambda u: u.with_(edges=u.edges.withColumn("type", F.when(F.col("src") == "table:2", "contribution/contributor").otherwise(F.col("type")))),
+        "SELECT 'table:2' AS id, 'first_table' AS rule, '6' AS detail")
+_broken("verify_edge_order", verify.edge_order, lambda u: u.with_(edges=u.edges.where("src like 'lineitem:%'").withColumn("ord", F.when(F.col("type") == "derivation/order", 0).when(F.col("type") == "relation/supplier", 1).otherwise(2)).withColumn("edge_id", F.regexp_replace("type", "/", ""))),
+        sql("SELECT src AS id, 'edge_order' AS rule, 'relationpart' AS detail FROM edges WHERE type = 'relation/part'"))
+_broken("verify_delete_target", verify.delete_target, lambda u: u.with_(nodes=u.nodes.withColumn("type", F.when(F.col("type") == "derivation/label", "contribution/delete").otherwise(F.col("type"))), edges=u.edges.withColumn("type", F.when(F.col("src").rlike("^label:.*[0-4]$"), "contribution/delete").otherwise(F.col("type")))),
+        "SELECT 'label:' || doc_id AS id, 'delete_target' AS rule, 'no reference' AS detail FROM labels WHERE doc_id % 10 > 4")
+
+
+def _stored_contents(u: Universe) -> Universe:
+    """Regions whose content is their name: one is stored with other bytes, one is not stored, one states another size."""
+    region = F.col("type") == "entity/region"
+    name = F.try_element_at("fields", F.lit("name"))
+    nodes = u.nodes.withColumn("content_hash", F.when(region, F.sha2(name, 256))).withColumn("content_size", F.when(region, F.length(name) + F.when(F.col("id") == "region:2", 1).otherwise(0)).cast("long"))
+    contents = u.nodes.where(region & (F.col("id") != "region:1")).select(F.sha2(name, 256).alias("hash"), F.when(F.col("id") == "region:0", F.lit("other")).otherwise(name).cast("binary").alias("bytes"))
+    return u.with_(nodes=nodes, contents=contents)
+
+
+_broken("verify_content", verify.content_integrity, _stored_contents, "SELECT 'region:' || r_regionkey AS id, 'content' AS rule, sha256(r_name) AS detail FROM region WHERE r_regionkey <= 2")
+_broken("verify_archive_head", lambda u: verify.archive_head(u, "order:1").unionByName(verify.archive_head(u, "nothing")).unionByName(verify.archive_head(u, HEAD)), lambda u: u,
+        "SELECT * FROM (VALUES ('order:1', 'archive_head', 'source/order'), ('nothing', 'archive_head', 'not stored')) v(id, rule, detail)")
+
+
+def _keys(u: Universe) -> Universe:
+    """Orders signed by their customers, whose keys hold from 1994 on, and of every third customer until 1997."""
+    key = F.create_map(F.lit("pubkey_valid_from"), F.lit("1994-01-01T00:00:00.000000000Z"))
+    ends = F.create_map(F.lit("pubkey_expires_after"), F.lit("1997-01-01T00:00:00.000000000Z"))
+    fields = F.when(F.col("type") == "entity/customer", F.when(F.substring("id", 10, 20).cast("long") % 3 == 0, F.map_concat(key, ends)).otherwise(key)).otherwise(F.create_map().cast("map<string,string>"))
+    return u.with_(nodes=u.nodes.withColumn("fields", fields), edges=u.edges.withColumn("type", F.when(F.col("src").like("order:%"), "contribution/contributor").otherwise(F.col("type"))))
+
+
+_broken("verify_key_window", verify.key_window, _keys, "SELECT 'order:' || o_orderkey AS id, 'key_window' AS rule, 'customer:' || o_custkey AS detail FROM orders WHERE o_orderdate < DATE '1994-01-01' OR (o_custkey % 3 = 0 AND o_orderdate > DATE '1997-01-01')")
+
+
+@registered("SELECT CASE WHEN doc_id % 4 = 0 THEN 'b' || doc_id END AS forged, count(*) AS n FROM documents WHERE doc_id % 4 = 0 GROUP BY 1")
+def verify_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose id is not their address: every fourth has a false one."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("envelope"))
+    raw = addressed(docs, "envelope").select(F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("b"), F.col("doc_id").cast("string"))).otherwise(F.col("address")).alias("id"), "envelope")
+    empty_ = ingested(spark, sf_dir)
+    return verify.raw_ids(empty_.with_(raw=raw)).groupBy(F.col("id").alias("forged")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@registered(sql("""SELECT id, rule, count(*) AS n FROM (SELECT n.id, CASE WHEN n.height <> CASE WHEN n.type = 'entity/nation' THEN 1 ELSE 0 END THEN 'height' ELSE 'signer' END AS rule FROM (SELECT id, type, height + (id LIKE '%7')::INTEGER AS height FROM nodes WHERE type IN ('entity/nation', 'entity/region')) n) GROUP BY id, rule"""))
+def violations_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of several rules that a claim breaks the first one is reported."""
+    u = ingested(spark, sf_dir)
+    u = u.with_(nodes=u.nodes.where("type in ('entity/nation', 'entity/region')").withColumn("height", F.col("height") + F.col("id").rlike("7$").cast("long")), edges=u.edges.where("type = 'derivation/region'"))
+    return verify.violations(u).groupBy("id", "rule").agg(F.count(F.lit(1)).alias("n"))

@@ -9,34 +9,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimweave import errors
+from claimweave.functions import wire
 from claimweave.model import Universe
 from claimweave.operators import tags
-from claimweave.operators.closure import closure
-from claimweave.operators.traverse import refuse_gaps, walk
+from claimweave.operators.closure import Deadline, closure
+from claimweave.operators.traverse import walk
 from claimweave.plans.predicate import filter_of, sort_columns
-from claimweave.plans.query import ARCHIVE, UNIVERSE, Content, Query, validate
+from claimweave.plans.query import ARCHIVE, CONNECTIONS, UNIVERSE, USES, Content, Query, validate
+from claimweave.storage import stored
 
 LEVELS = ("error", "warn", "info", "debug", "trace")
 
 
+@dataclass
+class Event:
+    level: str
+    step: str
+    detail: str
+    seconds: float  # since the query began
+
+
 @dataclass
 class Report:
     """What a read tells about itself: events up to a level of detail."""
 
     level: str
-    events: list[tuple[str, str, str]] = field(default_factory=list)
+    began: float = field(default_factory=time.monotonic)
+    events: list[Event] = field(default_factory=list)
 
     def say(self, level: str, step: str, detail: str) -> None:
         if self.level and LEVELS.index(level) <= LEVELS.index(self.level):
-            self.events.append((level, step, detail))
+            self.events.append(Event(level, step, detail, time.monotonic() - self.began))
 
 
 @dataclass
 class Result:
-    """rows in order, with `position` from 0 where the query orders or bounds. truncated() is an action."""
+    """rows in order. references: those of the rows' claims, as a table. truncated() is an action."""
 
     rows: DataFrame
     report: Report
+    references: DataFrame | None = None
     bounded: DataFrame | None = None
     limit: int = 0
     late: bool = False
@@ -51,15 +63,36 @@ class Archive:
     def __init__(self, universe: Universe, head: str | None = None):
         self.universe, self.head = universe, head
         self._closures: dict[str, DataFrame] = {}
+        self._known: set[str] = set()
+        self._gaps: tuple[DataFrame | None] | None = None
 
-    def closure(self, head: str, deadline: float | None = None) -> DataFrame:
-        """The ids of a claim's closure: walked once for a snapshot, which never changes."""
+    def gaps(self) -> DataFrame | None:
+        """(dst): what is referenced but not stored; None where every reference leads to a claim. Found once for a snapshot, which never changes."""
+        if self._gaps is None:
+            found = self.universe.dangling if self.universe.dangling is not None else stored(self.universe.gaps())
+            self._gaps = (None if found.isEmpty() else found,)
+        return self._gaps[0]
+
+    def required(self, id_: str) -> str:
+        """The id itself; NotFound where no such claim is stored."""
+        if id_ not in self._known:
+            if self.universe.nodes.where(F.col("id") == id_).select("id").isEmpty():
+                raise errors.NotFound(id_)
+            self._known.add(id_)
+        return id_
+
+    def closure(self, head: str, deadline: Deadline | None = None, strict: bool = True) -> DataFrame:
+        """The ids of a claim's closure: walked once for a snapshot. strict: it holds no reference to a claim that is not stored."""
         if head not in self._closures:
-            got = closure(self._id(head), self.universe.edges, self.universe.max_height, deadline=deadline)
-            if deadline is not None:
-                return got  # it may be cut short
+            got = closure(self._id(self.required(head)), self.universe.edges, self.universe.max_height, deadline=deadline)
+            if deadline is not None and deadline.late:
+                return got  # cut short
             self._closures[head] = got
-        return self._closures[head]
+        found = self._closures[head]
+        if strict and (missing := self.gaps()) is not None:
+            if not found.join(missing.select(F.col("dst").alias("id")), "id", "left_semi").isEmpty():
+                raise errors.DanglingReference(f"the closure of {head} references claims that are not stored")
+        return found
 
     def _id(self, value: str) -> DataFrame:
         return self.universe.nodes.sparkSession.createDataFrame([(value,)], "id string")
@@ -77,7 +110,30 @@ class Archive:
     def missing_branches(self, names: list[str]) -> DataFrame:
         return self.universe.nodes.sparkSession.createDataFrame([(n,) for n in names], "name string").join(self.branches(), "name", "left_anti")
 
-    def scope(self, branch: str) -> tuple[DataFrame | None, str | None]:
+    def has_branch(self, name: str) -> bool:
+        return not self.universe.branches.where((F.col("table_id") == self.head) & (F.col("name") == name)).isEmpty()
+
+    def previous(self, name: str) -> str | None:
+        """The head of a branch's revision before: what its head's diff reference names. None at the first one."""
+        found = self.universe.edges.where((F.col("src") == self.branch_head(name)) & (F.col("type") == "contribution/diff")).agg(F.min("dst").alias("dst")).first()
+        return found.dst
+
+    def holds(self, branch: str, id_: str, heads: tuple[str, ...] = ()) -> bool:
+        """Whether a claim lies within a branch; in $universe, within the closures of the heads given."""
+        if branch == UNIVERSE:
+            return any(not self.closure(h).where(F.col("id") == id_).isEmpty() for h in heads)
+        u = self.universe
+        if branch != ARCHIVE and u.tags is not None and tags.tagged(u.tags, branch, id_):
+            return True
+        return not self.closure(self.head if branch == ARCHIVE else self.branch_head(branch)).where(F.col("id") == id_).isEmpty()
+
+    def get(self, branch: str, id_: str, heads: tuple[str, ...] = ()) -> DataFrame:
+        """The one row of a claim within a branch; NotFound elsewhere."""
+        if not self.holds(branch, id_, heads):
+            raise errors.NotFound(f"{id_} in {branch}")
+        return self.universe.nodes.where(F.col("id") == id_)
+
+    def scope(self, branch: str, deadline: Deadline | None = None) -> tuple[DataFrame | None, str | None]:
         """The ids that a branch confines to (None: all), and its head. Tags answer where the head itself carries the branch's tag."""
         u = self.universe
         if branch == UNIVERSE:
@@ -86,13 +142,18 @@ class Archive:
         if branch != ARCHIVE and u.tags is not None and tags.tagged(u.tags, branch, head):
             height = u.nodes.where(F.col("id") == self.head).select("height").first().height
             return tags.members(u.tags, branch, height), head
-        return self.closure(head), head
+        found = self.closure(head, deadline)
+        if deadline is not None and deadline.late:
+            raise errors.TimedOut(f"the scope of {branch} is not known yet")  # only a walk may be answered in part
+        return found, head
 
-    def reached(self, q: Query, report: Report, strict: bool, deadline: float | None) -> DataFrame:
+    def reached(self, q: Query, report: Report, deadline: Deadline | None) -> DataFrame:
         """(id), or (id, route): what the query's scope, head, claim and path reach."""
         u = self.universe
-        scope, scope_head = self.scope(q.branch)
-        origin = q.head if q.head is not None else scope_head
+        scope, scope_head = self.scope(q.branch, deadline)
+        origin = self.required(q.head) if q.head is not None else scope_head
+        if q.claim is not None:
+            self.required(q.claim)
         report.say("info", "scope", f"{q.branch} from {origin}")
         if not q.path:  # the same as one step from 0 hops on, without its levels
             start = self.closure(q.claim if q.claim is not None else origin, deadline)
@@ -101,79 +162,145 @@ class Archive:
         else:
             start = self.closure(origin, deadline)
             start = start if scope is None else start.join(scope, "id", "left_semi")
+            if deadline is not None and deadline.late:
+                return start.where(F.lit(False))  # a frontier in part is no answer
         if q.head is not None and scope is not None:
             scope = scope.join(self.closure(q.head), "id", "left_semi")
-        if strict:
-            refuse_gaps(closure(start, u.edges, u.max_height), u.edges, u.nodes)
         if not q.path:
             return start if scope is None else start.join(scope, "id", "left_semi")
-        root = self._id(scope_head if scope_head is not None else origin)
+        reverse = any(s.dir in (USES, CONNECTIONS) for s in q.path)
+        inside = self.closure(scope_head if scope_head is not None else origin) if reverse else None
         for i, s in enumerate(q.path):
             report.say("debug", "step", f"{i}: {s.dir or 'provenance'} {s.least}..{s.max or ''}")
-        return walk(start, q.path, u.edges, u.nodes, scope, root, q.output.shape == "path", u.max_height, deadline)
+        return walk(start, q.path, u.edges, u.nodes, scope, inside, q.output.shape == "path", deadline, self.gaps())
 
-    def query(self, q: Query, strict: bool = False) -> Result:
-        """Evaluate a query: traverse, filter, sort, bound, shape. strict: a reference to a claim that is not stored is an error."""
+    def query(self, q: Query) -> Result:
+        """Evaluate a query: traverse, filter, sort, bound, shape.
+
+        A claim named that is not stored is NotFound; a reference to one that the walk arrives at, a DanglingReference. A time limit
+        bounds the walk: what the last step has collected by then is the answer, and the result says that it came late.
+        """
         validate(q)
         report = Report(q.report)
-        deadline = time.monotonic() + q.seconds if q.seconds else None
-        ids = self.reached(q, report, strict, deadline)
-        original = q.output.form == "original" and self.universe.nodes_delta is not None
-        claims = self.universe.nodes.join(ids, "id") if "route" in ids.columns else self.universe.nodes.join(ids, "id", "left_semi")
+        deadline = Deadline(q.seconds) if q.seconds else None
+        u = self.universe
+        ids = self.reached(q, report, deadline)
+        late = deadline is not None and deadline.late
+        if late:
+            report.say("info", "limit", f"time {q.seconds} s")
+        claims = u.nodes.join(ids, "id") if "route" in ids.columns else u.nodes.join(ids, "id", "left_semi")
         found = claims.where(filter_of(q.where))
-        ordered = found.orderBy(*sort_columns(q.order))
-        rows = ordered.limit(q.results) if q.results else ordered
-        if original:
-            delta = self.universe.nodes_delta
-            own = [c for c in delta.columns if c != "id"]
-            rows = rows.drop(*own).join(delta, "id")
-        report.say("info", "finish", f"order {len(q.order)} keys, limit {q.results}")
-        return Result(shaped(rows, q, self.universe), report, found, q.results, deadline is not None and time.monotonic() > deadline)
+        report.say("info", "filter", "none" if q.where is None else "where")
+        keys = sort_columns(q.order)
+        rows = found.orderBy(*keys).limit(q.results) if q.results else found
+        wide, columns = shaped(rows, q, u)
+        report.say("info", "results", f"order {len(q.order)} keys, limit {q.results or 'none'}")
+        references = u.edges.join(rows.select(F.col("id").alias("src")), "src", "left_semi")
+        return Result(wide.orderBy(*keys).select(*columns), report, references, found, q.results, late)
+
+
+def size_of(content: str = "content") -> Column:
+    return F.coalesce(F.length(content), F.lit(0)).cast("long")
 
 
-def budget(claims: DataFrame, edges: DataFrame, content: Content | None) -> DataFrame:
-    """(id, slot, ord, content, content_size): the contents that a claim's cap lets through.
+def budget(claims: DataFrame, edges: DataFrame, content: Content | None, keys: tuple[str, ...] = ("ord",)) -> DataFrame:
+    """(id, slot, keys, content, content_size): the contents that a claim's cap lets through. keys: what orders a claim's references.
 
     A cap spans the claim: its references' contents in their order, then its own. The first that does not fit ends the prefix: omit drops it, cutoff
-    keeps the bytes that fit. content_size stays the true size.
+    keeps the bytes that fit. content_size stays the true size. Only claims whose references have more content than the cap need their order.
     """
-    own = claims.select("id", F.lit("node").alias("slot"), F.lit(2**31 - 1).alias("ord"), "content", "content_size")
-    of = edges.join(claims.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("src").alias("id"), F.lit("edge").alias("slot"), "ord", "content", "content_size")
-    every = of.unionByName(own)
-    if content is None:
-        return every.withColumn("content", F.lit(None).cast("binary"))
-    if content.max == 0:
-        return every
-    size = F.coalesce(F.length("content"), F.lit(0))
-    before = F.coalesce(F.expr("sum(coalesce(length(content), 0)) over (partition by id order by ord rows between unbounded preceding and 1 preceding)"), F.lit(0))
-    room = F.lit(content.max) - before
-    cut = F.when(room > 0, F.substring("content", F.lit(1), room.cast("int"))) if content.overflow == "cutoff" else F.lit(None).cast("binary")
-    return every.withColumn("content", F.when(size == 0, F.col("content")).when(before + size <= content.max, F.col("content")).otherwise(cut))
-
-
-def shaped(rows: DataFrame, q: Query, universe: Universe) -> DataFrame:
-    """The output axes: how much of each claim, alone or as its route, in which encoding."""
-    out, detail = q.output, q.output.detail or "claims"
-    path = ["route"] if out.shape == "path" else []
-    kind = F.lit({"id": "id", "claims": "claim", "envelope": "envelope"}[detail] + ("_path" if path else ""))
-    route = [F.transform("route", lambda x: x.getField("id")).alias("route")] if path else []
-    if detail == "id":
-        return rows.select("id", *route, kind.alias("kind"))
-    if detail == "envelope":
-        return rows.select("id", *route).join(universe.raw, "id").withColumn("kind", kind)
-    if out.encoding == "json":
-        return rows.select("id", *route, as_json(rows, out.content).alias("encoded"), kind.alias("kind"))
-    if out.encoding == "cbor":
-        raise errors.Unsupported("CBOR output is made by functions.cbor from native rows")
-    return rows.select(*(c for c in rows.columns if c != "route"), *route, kind.alias("kind"))
+    last = {k: F.lit(2**31 - 1 if k == "ord" else None).cast(edges.schema[k].dataType).alias(k) for k in keys}
+    own = claims.select("id", F.lit("node").alias("slot"), *last.values(), "content", "content_size")
+    of = edges.join(claims.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("src").alias("id"), F.lit("edge").alias("slot"), *keys, "content", "content_size")
+    if content is None or content.max == 0:
+        every = of.unionByName(own)
+        return every if content is not None else every.withColumn("content", F.lit(None).cast("binary"))
+    spent = of.groupBy("id").agg(F.sum(size_of()).alias("_spent"))
+    cut = lambda room: F.when(room > 0, F.substring("content", F.lit(1), room.cast("int"))) if content.overflow == "cutoff" else F.lit(None).cast("binary")
+    fits = lambda before: F.when((size_of() == 0) | (before + size_of() <= content.max), F.col("content")).otherwise(cut(F.lit(content.max) - before))
+    node = own.join(spent, "id", "left").withColumn("content", fits(F.coalesce("_spent", F.lit(0)))).drop("_spent")
+    counted = of.join(spent, "id")
+    before = F.coalesce(F.expr("sum(coalesce(length(content), 0)) over (partition by id order by " + ", ".join(keys) + " rows between unbounded preceding and 1 preceding)"), F.lit(0))
+    over = counted.where((F.col("_spent") > content.max) & (size_of() > 0)).withColumn("_before", before).withColumn("content", fits(F.col("_before")))
+    whole = counted.where((F.col("_spent") <= content.max) | (size_of() == 0))
+    return node.unionByName(whole.select(*node.columns)).unionByName(over.select(*node.columns))
 
 
-def as_json(rows: DataFrame, content: Content | None) -> Column:
-    """A claim as JSON text; absent values are left out, content is base64 within the cap."""
-    inline = F.col("content")
+CARRIED = ("encoding", "content_size", "content_hash", "content", "fields")
+
+
+def records(ids: DataFrame, nodes: DataFrame, edges: DataFrame, content: Content | None) -> DataFrame:
+    """(id, claim, edges): nodes as structs, with their references in order as an array of structs, contents within the cap. ids: distinct."""
+    own = nodes.join(ids.select("id"), "id", "left_semi")
+    of = edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi")
     if content is None:
-        inline = F.lit(None).cast("binary")
+        own, of = (d.withColumn("content", F.lit(None).cast("binary")) for d in (own, of))
     elif content.max:
-        cut = F.substring("content", 1, content.max) if content.overflow == "cutoff" else F.lit(None).cast("binary")
-        inline = F.when(F.length("content") <= content.max, F.col("content")).otherwise(cut)
-    return F.to_json(F.struct("id", "type", "created_at", "height", "encoding", "content_size", "content_hash", F.base64(inline).alias("content"), "fields"))
+        keys = ("ord", "dst", "type")
+        kept = budget(own, of, content, keys).withColumnsRenamed({"id": "_id", "content": "_content", **{k: f"_{k}" for k in keys}}).drop("content_size")
+        same = F.col("src") == F.col("_id")
+        for k in keys:
+            same = same & (F.col(k) == F.col(f"_{k}"))
+        of = of.join(kept.where("slot = 'edge'"), same).withColumn("content", F.col("_content"))
+        own = own.join(kept.where("slot = 'node'").select("_id", "_content"), F.col("id") == F.col("_id")).withColumn("content", F.col("_content"))
+    wanted = ("type", "type_class", "type_sub", "relation_direction", *CARRIED)
+    lists = of.groupBy(F.col("src").alias("_src")).agg(F.array_sort(F.collect_list(F.struct("ord", F.col("dst").alias("reference"), *(F.col(c).cast("int").alias(c) if c == "relation_direction" else (F.array_sort(F.map_entries("fields")).alias(c) if c == "fields" else F.col(c)) for c in wanted)))).alias("edges"))
+    own = own.join(lists, F.col("id") == F.col("_src"), "left")
+    columns = ("id", "type", "type_class", "type_sub", "created_at", "height", "dated", *CARRIED)
+    return own.select("id", F.struct(*columns).alias("claim"), F.col("edges"))
+
+
+def as_json(claim: str = "claim", edges: str = "edges") -> Column:
+    """A claim as JSON text, keys in their order; absent values are left out, contents are base64."""
+    value = lambda c: F.col(claim).getField(c)
+    some = lambda fields: F.when(F.size(fields) > 0, fields)
+    edge = lambda e: F.struct(
+        F.base64(e.getField("content")).alias("content"), e.getField("content_hash").alias("content_hash"), e.getField("content_size").alias("content_size"), e.getField("encoding").alias("encoding"), some(F.map_from_entries(e.getField("fields"))).alias("fields"),
+        e.getField("reference").alias("reference"), F.when(e.getField("relation_direction") != 0, e.getField("relation_direction")).alias("relation_direction"), e.getField("type").alias("type"),
+    )
+    return F.to_json(F.struct(
+        F.base64(value("content")).alias("content"), value("content_hash").alias("content_hash"), value("content_size").alias("content_size"), value("created_at").alias("created_at"), F.when(F.size(edges) > 0, F.transform(edges, edge)).alias("edges"), value("encoding").alias("encoding"),
+        some(F.map_from_entries(F.array_sort(F.map_entries(value("fields"))))).alias("fields"), value("height").alias("height"), value("id").alias("id"), value("type").alias("type"),
+    ))
+
+
+def shaped(rows: DataFrame, q: Query, universe: Universe) -> tuple[DataFrame, list[Column]]:
+    """The output axes: how much of each claim, alone or as its route, in which encoding. Returns rows with what that takes, and the columns to show of them.
+
+    Native rows hold whole contents unless the query states a cap; encoded ones hold none unless it states one. Encoded claims are as they were written where
+    the form is not materialized and the deltas are kept. With a route come the claims along it.
+    """
+    out, detail = q.output, q.output.detail or "claims"
+    route, encoded = out.shape == "path", out.encoding in ("json", "cbor")
+    suffix = detail if detail in ("id", "envelope") else "encoded" if encoded else "native"
+    kind = F.lit(f"{'path' if route else 'claim'}_{suffix}").alias("kind")
+    ids = [F.transform("route", lambda x: x.getField("id")).alias("route")] if route else []
+    if detail == "id":
+        return rows, [F.col("id"), *ids, kind]
+    claims = rows.select(F.explode("route.id").alias("id")).distinct() if route else rows.select("id")
+    if detail == "envelope":
+        values, shown = universe.raw.join(claims, "id", "left_semi").select("id", F.col("envelope").alias("_value")), [F.col("id"), F.col("_value").alias("envelope")]
+    elif encoded:
+        written = out.form != "materialized" and universe.nodes_delta is not None
+        made = records(claims, universe.nodes_delta if written else universe.nodes, universe.edges_delta if written and universe.edges_delta is not None else universe.edges, out.content)
+        values = made.select("id", as_json().alias("_value")) if out.encoding == "json" else wire.encoded(made).select("id", F.col("encoded").alias("_value"))
+        shown = [F.col("id"), F.col("_value").alias("encoded")]
+    else:
+        original = out.form == "original" and universe.nodes_delta is not None
+        nodes = universe.nodes_delta if original else universe.nodes
+        shown = [F.col("_value").getField(c).alias(c) for c in nodes.columns]
+        if not original and out.content is None and not route:
+            return rows, [*(F.col(c) for c in nodes.columns), kind]
+        nodes = nodes.join(claims, "id", "left_semi")
+        if out.content is not None and out.content.max:
+            kept = budget(nodes, universe.edges_delta if original and universe.edges_delta is not None else universe.edges, out.content)
+            nodes = nodes.drop("content").join(kept.where("slot = 'node'").select("id", "content"), "id").select(*nodes.columns)
+        values = nodes.select("id", F.struct(*(F.col(c) for c in nodes.columns)).alias("_value"))
+    wide = rows.join(values, "id")
+    if route:
+        hops = rows.select("id", F.posexplode("route.id").alias("_place", "_at")).join(values.select(F.col("id").alias("_at"), F.col("_value").alias("_hop")), "_at")
+        by_place = lambda a, b: F.when(a.getField("_place") < b.getField("_place"), -1).otherwise(1)
+        along = hops.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", "_hop")), by_place), lambda x: x.getField("_hop")).alias("_claims"))
+        wide = wide.join(along, "id")
+        ids = [*ids, F.col("_claims").alias("claims")]
+    return wide, [*shown, *ids, kind]

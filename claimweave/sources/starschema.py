@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.model import Universe
+from claimweave.storage import stored
 
 BASE = "1990-01-01 00:00:00"
 LINEITEM = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
@@ -39,11 +40,11 @@ def _nodes(rows: DataFrame, type_: str, id_: Column, height: Column | int, when:
     )
 
 
-def _edges(rows: DataFrame, src: Column, type_: str, dst: Column, direction: int = 0, name: Column | None = None) -> DataFrame:
+def _edges(rows: DataFrame, src: Column, type_: str, dst: Column, direction: int = 0, name: Column | None = None, place: int = 0) -> DataFrame:
     klass, sub = type_.split("/")
     null = lambda kind: F.lit(None).cast(kind)
     return rows.select(
-        src.alias("src"), F.concat_ws("|", src, F.lit(type_), dst).alias("edge_id"), F.lit(0).alias("ord"), dst.alias("dst"), F.lit(type_).alias("type"), F.lit(klass).alias("type_class"), F.lit(sub).alias("type_sub"), F.lit(direction).cast("tinyint").alias("relation_direction"),
+        src.alias("src"), F.concat_ws("|", src, F.lit(type_), dst).alias("edge_id"), F.lit(place).alias("ord"), dst.alias("dst"), F.lit(type_).alias("type"), F.lit(klass).alias("type_class"), F.lit(sub).alias("type_sub"), F.lit(direction).cast("tinyint").alias("relation_direction"),
         null("string").alias("encoding"), null("binary").alias("content"), null("string").alias("content_hash"), null("long").alias("content_size"), (_fields() if name is None else F.create_map(F.lit("name"), name)).alias("fields"),
     )
 
@@ -86,8 +87,8 @@ def universe(spark: SparkSession, sf_dir: str, spine: bool = False) -> Universe:
         _edges(supplier, _key("supplier", "s_suppkey"), "derivation/nation", _key("nation", "s_nationkey")),
         _edges(orders, _key("order", "o_orderkey"), "derivation/customer", _key("customer", "o_custkey")),
         _edges(lineitem, _lineitem(), "derivation/order", _key("order", "l_orderkey")),
-        _edges(lineitem, _lineitem(), "relation/part", _key("part", "l_partkey"), 1),
-        _edges(lineitem, _lineitem(), "relation/supplier", _key("supplier", "l_suppkey"), -1),
+        _edges(lineitem, _lineitem(), "relation/part", _key("part", "l_partkey"), 1, place=1),
+        _edges(lineitem, _lineitem(), "relation/supplier", _key("supplier", "l_suppkey"), -1, place=2),
         _edges(events, _key("event", "event_id"), "derivation/customer", _key("customer", "user_id")),
         _edges(documents.where("source is not null"), _key("doc", "doc_id"), "contribution/contributor", _key("contributor", "source")),
         _edges(labels, _key("label", "doc_id"), "derivation/source", _key("doc", "doc_id")),
@@ -121,21 +122,11 @@ _INGESTED: dict[tuple[str, str], Universe] = {}
 
 
 def ingested(spark: SparkSession, sf_dir: str) -> Universe:
-    """The claims with their spine, written once per application as Parquet in the shared checkpoint folder: reads are then scans
+    """The claims with their spine, written once per application as Parquet in the shared folder: reads are then scans
     with pushed-down filters and pruned columns, not unions of a dozen tables in every step of a walk."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
-    key = context.applicationId, sf_dir
+    key = spark.sparkContext.applicationId, sf_dir
     if key not in _INGESTED:
         u = universe(spark, sf_dir, spine=True)
-
-        def put(name: str, rows: DataFrame) -> DataFrame:
-            path = f"{context.getCheckpointDir()}/claims-{len(_INGESTED)}-{name}"
-            rows.write.mode("overwrite").parquet(path)
-            place = context._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)  # with the application
-            return spark.read.schema(rows.schema).parquet(path)
-
-        _INGESTED[key] = u.with_(**{n: put(n, getattr(u, n)) for n in ("nodes", "edges", "branches", "spine")})
+        u = u.with_(**{n: stored(getattr(u, n), "snappy") for n in ("nodes", "edges", "branches", "spine")})
+        _INGESTED[key] = u.with_(dangling=stored(u.gaps()))
     return _INGESTED[key]
