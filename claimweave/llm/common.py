@@ -1,9 +1,8 @@
-"""Shared helpers: reliable checkpoints, whole-row streams over sorted partitions, connected components."""
+"""Shared helpers: whole-row streams over sorted partitions, connected components."""
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,37 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimweave.storage import reliable, stored
+
+__all__ = ["SPACES", "components", "documents", "key64", "reliable", "rounds_until_stable", "runs", "stored", "unit_hash"]
+
 #: White space that parts words, as the word contracts state it: 0x20 and 0x09 to 0x0D.
 SPACES = " \t\n\x0b\x0c\r"
-#: Used only where the session names no checkpoint folder and all executors are on this machine, as in tests.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder, which every executor must see: a cluster has to name one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", LOCAL_CHECKPOINTS if context.master.startswith("local") else None)
-        if folder is None:
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
-
-
-def reliable(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the folder that all executors share."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a Parquet table in the shared checkpoint folder: smaller than a checkpoint, and columns can be pruned."""
-    context = df.sparkSession.sparkContext
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    place = context._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)  # with the application
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
