@@ -52,9 +52,9 @@ def minted(u: Universe, type_: str, contributor: str, references: list[tuple[str
     row = _filled(row.withColumn("created_at_ns", nanoseconds(F.col("created_at"))), "nodes")
     own = spark.createDataFrame([(id_, e["edge_id"], k, e["reference"], e["type"], e["type_class"], e["type_sub"], e["fields"]) for k, e in enumerate(edges)], "src string, edge_id string, ord int, dst string, type string, type_class string, type_sub string, fields map<string,string>")
     own = _filled(own.withColumn("relation_direction", F.lit(0).cast("tinyint")), "edges")
-    # the same claim again changes nothing
-    fresh = row.join(u.nodes.select("id"), "id", "left_anti")
-    return Minted(u.with_(nodes=u.nodes.unionByName(fresh.select(*u.nodes.columns)), edges=u.edges.unionByName(own.join(fresh.select(F.col("id").alias("src")), "src", "left_semi").select(*u.edges.columns))), id_)
+    if not u.nodes.where(F.col("id") == id_).isEmpty():
+        return Minted(u, id_)  # the same claim again changes nothing
+    return Minted(u.with_(nodes=u.nodes.unionByName(row.select(*u.nodes.columns)), edges=u.edges.unionByName(own.select(*u.edges.columns))), id_)
 
 
 def _filled(rows: DataFrame, table: str) -> DataFrame:
