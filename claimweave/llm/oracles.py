@@ -28,7 +28,7 @@ twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY d
 covered AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM twice, (SELECT unnest(range({WINDOW})) AS o) GROUP BY doc_id),
 m AS (SELECT d.doc_id, len(w) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
   len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, COALESCE(c.n, 0) AS n_repeat_words,
-  len(list_filter(w, lambda x: list_contains({_stops()}, x))) AS n_stop, len(list_filter(w, lambda x: regexp_matches(x, '^\p{{Lu}}\p{{Lu}}+\P{{L}}*$'))) AS n_capital,
+  len(list_filter(w, lambda x: list_contains({_stops()}, regexp_replace(lower(x), '^[^\p{{L}}]+|[^\p{{L}}]+$', '', 'g')))) AS n_stop, len(list_filter(w, lambda x: regexp_matches(x, '^\p{{Lu}}\p{{Lu}}+\P{{L}}*$'))) AS n_capital,
   len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_doubled, len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) AS n_ellipsis, len(list_filter(l, lambda x: regexp_matches(x, '^\s*[-*•]\s'))) AS n_bullet
   FROM d JOIN l USING (doc_id) LEFT JOIN covered c USING (doc_id)),
 r AS (SELECT *, n_repeat_words / NULLIF(n_words, 0) AS repeat_share, word_chars / NULLIF(n_words, 0) AS mean_word_chars, n_symbols / NULLIF(n_words, 0) AS symbols_per_word, n_stop / NULLIF(n_words, 0) AS stop_share,

@@ -7,7 +7,7 @@ kept_documents() has no column of its own.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +33,7 @@ class Rule:
     most: float | None = None
 
 
-#: The threshold table. Measures are those that measured() names.
+#: The threshold table. Measures are those that measured() names. Stop words count whatever their case and the signs around them.
 RULES = (
     Rule("few_words", "n_words", least=10),
     Rule("repeated_windows", "repeat_share", most=0.2),
@@ -46,8 +46,6 @@ RULES = (
     Rule("ellipsis_lines", "ellipsis_line_share", most=0.3),
     Rule("bullet_lines", "bullet_line_share", most=0.9),
 )
-#: The pipeline's table: stop words count whatever their case and the signs around them. RULES is the table that op6's SQL states, where a word must equal a stop word.
-STAGE_RULES = tuple(replace(r, measure="folded_stop_share") if r.name == "stop_words" else r for r in RULES)
 #: The rules whose failure is the contract's base failure.
 BASE = ("few_words", "repeated_windows")
 #: Signs before a word's first letter or after its last one.
@@ -69,11 +67,10 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
     folded = F.split(F.regexp_replace(F.lower(trimmed), EDGES, ""), r"[\x20\x09-\x0D]+")
     lines = F.filter(F.split(whole, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    step = docs.select(F.struct(*others).alias("_row"), words.alias("w"), lines.alias("l"), F.size(F.filter(folded, lambda x: x.isin(stops))).alias("n_folded_stop"), F.length(F.regexp_replace(whole, r"[^#*$%&|<>]+", "")).alias("n_symbols"))
+    step = docs.select(F.struct(*others).alias("_row"), words.alias("w"), lines.alias("l"), F.size(F.filter(folded, lambda x: x.isin(stops))).alias("n_stop"), F.length(F.regexp_replace(whole, r"[^#*$%&|<>]+", "")).alias("n_symbols"))
     step = step.select(
-        "_row", "w", "n_symbols", "n_folded_stop", F.size("w").alias("n"), F.size("l").alias("n_lines"), (F.size("l") - F.size(F.array_distinct("l"))).alias("n_dup_lines"),
+        "_row", "w", "n_symbols", "n_stop", F.size("w").alias("n"), F.size("l").alias("n_lines"), (F.size("l") - F.size(F.array_distinct("l"))).alias("n_dup_lines"),
         F.length(F.array_join("w", "")).alias("word_chars"),
-        F.size(F.filter("w", lambda x: x.isin(stops))).alias("n_stop"),
         F.size(F.filter("w", lambda x: x.rlike(r"^\p{Lu}\p{Lu}+\P{L}*$"))).alias("n_capital"),
         F.size(F.filter("w", lambda x, i: x == F.get("w", i - 1))).alias("n_doubled"),
         F.size(F.filter("l", lambda x: x.rlike(r"(\.\.\.|…)\s*$"))).alias("n_ellipsis"),
@@ -93,7 +90,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         F.struct(
             F.col("n").cast("long").alias("n_words"), long("word_chars"), long("n_symbols"), long("n_dup_lines"), F.col("n_repeat").cast("long").alias("n_repeat_words"),
             _ratio(F.col("n_repeat"), F.col("n")).alias("repeat_share"), _ratio(F.col("word_chars"), F.col("n")).alias("mean_word_chars"), _ratio(F.col("n_symbols"), F.col("n")).alias("symbols_per_word"),
-            _ratio(F.col("n_stop"), F.col("n")).alias("stop_share"), _ratio(F.col("n_folded_stop"), F.col("n")).alias("folded_stop_share"), _ratio(F.col("n_capital"), F.col("n")).alias("capital_share"), _ratio(F.col("n_doubled"), F.col("n")).alias("doubled_share"),
+            _ratio(F.col("n_stop"), F.col("n")).alias("stop_share"), _ratio(F.col("n_capital"), F.col("n")).alias("capital_share"), _ratio(F.col("n_doubled"), F.col("n")).alias("doubled_share"),
             _ratio(F.col("n_dup_lines"), F.col("n_lines")).alias("dup_line_share"), _ratio(F.col("n_ellipsis"), F.col("n_lines")).alias("ellipsis_line_share"), _ratio(F.col("n_bullet"), F.col("n_lines")).alias("bullet_line_share"),
         ).alias("measures"),
     )
@@ -118,7 +115,7 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
     return measured(docs.drop("failed"), text).withColumn("failed", verdict(rules))
 
 
-def kept_documents(docs: DataFrame, rules: tuple[Rule, ...] = STAGE_RULES, text: str = "text") -> DataFrame:
+def kept_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The documents that no rule rejects; all their columns as they came, whatever their names."""
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col(f"`{text}`").alias("text"))
     # a number that depends on the row's place keeps the optimizer from moving the filter below the staged

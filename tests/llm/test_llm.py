@@ -54,15 +54,15 @@ def test_rules_keep_columns(docs):
     assert rules.judged(docs.limit(0)).count() == 0
 
 
-def test_stage_counts_stop_words_of_any_case(spark):
+def test_stop_words_of_any_case(spark):
     clean = "At noon, copper \"the\" kettles rattled beside seven tall windows facing orchards."
     junk = "Kettles rattled beside seven tall windows facing orchards, copper a1b 1st-in-line."
     frame = spark.createDataFrame([(1, clean), (2, junk), (3, "A" * 5000)], "doc_id long, text string")
-    got = {r.doc_id: r.measures.folded_stop_share for r in rules.judged(frame).collect()}
+    got = {r.doc_id: r.measures.stop_share for r in rules.judged(frame).collect()}
     assert math.isclose(got[1], 2 / 12) and got[2] == 0 and [r.doc_id for r in rules.kept_documents(frame).collect()] == [1]
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     short = docs.join(labels.where("quality = 1"), "doc_id", "left_semi")
-    failed = rules.judged(short, rules.STAGE_RULES).where("measures.n_words between 10 and 25 and array_contains(failed, 'stop_words')")
+    failed = rules.judged(short).where("measures.n_words between 10 and 25 and array_contains(failed, 'stop_words')")
     assert failed.count() == 0
 
 
