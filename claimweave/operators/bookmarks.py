@@ -18,6 +18,11 @@ def between(bookmarks: DataFrame, start: int, end: int) -> DataFrame:
     return bookmarks.where(F.col("idx").between(start, end - 1))
 
 
+def bounds(bookmarks: DataFrame) -> DataFrame:
+    """(list, first, last): the ends of each list's indices."""
+    return bookmarks.groupBy("list").agg(F.min("idx").alias("first"), F.max("idx").alias("last"))
+
+
 def gaps(bookmarks: DataFrame) -> DataFrame:
     """(list, missing): lists whose indices are not consecutive."""
     ends = bookmarks.groupBy("list").agg((F.max("idx") - F.min("idx") + 1 - F.count_distinct("idx")).alias("missing"))

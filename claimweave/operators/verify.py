@@ -146,13 +146,26 @@ def raw_ids(u: Universe) -> DataFrame:
     return _broken(addressed(u.raw, "envelope").where("id <> address"), "id", F.col("address"))
 
 
+def signatures(u: Universe) -> DataFrame:
+    """Stored envelopes are signed with the key that the signer's content holds."""
+    from claimweave.functions.signatures import faults
+
+    keys = u.nodes.where("type = 'contribution/contributor'").select(F.col("id").alias("signer"), F.col("content").alias("key"), F.col("content_hash").alias("hash"))
+    if u.contents is not None:
+        keys = keys.join(u.contents.select("hash", "bytes"), "hash", "left").select("signer", F.coalesce("key", "bytes").alias("key"))
+    rows = u.raw.join(signers(u).select("id", "signer"), "id").join(keys.select("signer", "key"), "signer", "left").select("id", "envelope", "key")
+    return _broken(faults(rows, "envelope", "key").where("fault is not null"), "signature", F.col("fault"))
+
+
 #: The order in which rules are tried: of a claim's failures the first is reported.
 RULES: tuple[Callable[[Universe], DataFrame], ...] = (first_table, height, monotone, type_classes, direction, edge_order, delete_target, content_encoding, table_reference, key_window, delete_by, structure_kept, time_fields, signed)
 
 
-def violations(u: Universe, skip: tuple[str, ...] = (), within: DataFrame | None = None, first_only: bool = True) -> DataFrame:
+def violations(u: Universe, skip: tuple[str, ...] = (), within: DataFrame | None = None, first_only: bool = True, rules: tuple[Callable[[Universe], DataFrame], ...] = RULES) -> DataFrame:
     """Claims that break a rule (id, rule, detail), each with its first failure. within: ids to which the check is confined."""
-    parts = [r(u).withColumn("_n", F.lit(i)) for i, r in enumerate(RULES) if r.__name__ not in skip]
+    parts = [r(u).withColumn("_n", F.lit(i)) for i, r in enumerate(rules) if r.__name__ not in skip]
+    if not parts:
+        return u.nodes.where(F.lit(False)).select("id", F.lit("").alias("rule"), F.lit("").alias("detail"))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)

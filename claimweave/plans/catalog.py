@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from claimweave.functions import edtf
 from claimweave.model import Universe
 from claimweave import errors
-from claimweave.functions import wire
+from claimweave.functions import media, signatures, wire
 from claimweave.functions.ids import addressed
-from claimweave.operators import lookup, merge, overlay, sync, tags, verify
+from claimweave.operators import bookmarks, construct, lookup, merge, overlay, sync, tags, verification, verify
 from claimweave.operators.closure import closure
 from claimweave.plans.engine import Archive, records
 from claimweave.plans.query import Content, Key, Output, Query, Step, Where, leaf
@@ -746,3 +746,92 @@ def violations_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = ingested(spark, sf_dir)
     u = u.with_(nodes=u.nodes.where("type in ('entity/nation', 'entity/region')").withColumn("height", F.col("height") + F.col("id").rlike("7$").cast("long")), edges=u.edges.where("type = 'derivation/region'"))
     return verify.violations(u).groupBy("id", "rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@registered("SELECT 'nation:' || n_nationkey AS id, 'signature' AS rule, CASE n_nationkey % 5 WHEN 0 THEN 'not the signer''s' ELSE 'not an envelope' END AS detail FROM nation WHERE n_nationkey % 5 < 2")
+def verify_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as signed envelopes of their names: some carry another name than the one signed, some are cut."""
+    seed, other = b"a seed of 32 bytes for this query"[:32], b"another seed, of somebody else..."[:32]
+    u = ingested(spark, sf_dir)
+    contributor = _contributor(u)
+    rows = [(f"nation:{r.n_nationkey}", r.n_nationkey % 5, r.n_name.encode()) for r in spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name").collect()]
+    raw = spark.createDataFrame([(i, signatures.sealed(other if k == 0 else seed, name)[: -1 if k == 1 else None]) for i, k, name in rows], "id string, envelope binary")
+    key = F.when(F.col("id") == contributor, F.lit(signatures.KEY_CODE + signatures.public_key(seed)))
+    edges = u.edges.where("src like 'nation:%'").withColumn("type", F.lit("contribution/contributor")).withColumn("dst", F.lit(contributor))
+    return verify.signatures(u.with_(nodes=u.nodes.where("type in ('entity/nation', 'contribution/contributor')").withColumn("content", key), edges=edges, raw=raw))
+
+
+_FROM_SCOPE = f"SELECT DISTINCT c_custkey, c_nationkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderpriority = '{SCOPE}' AND c_custkey % 2 = 1 AND c_nationkey % 10 = 7"
+
+
+@registered(f"SELECT 'customer:' || c_custkey AS id, 1 AS depth, 'height' AS rule, '2 instead of 3' AS detail FROM ({_FROM_SCOPE}) UNION ALL SELECT DISTINCT 'nation:' || c_nationkey, 2, 'height', '2 instead of 1' FROM ({_FROM_SCOPE})")
+def verification_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run from a priority's orders, two references deep, that trusts every second customer; some nations have a false height."""
+    u = ingested(spark, sf_dir)
+    u = u.with_(nodes=u.nodes.withColumn("height", F.col("height") + (F.col("id").rlike("7$") & (F.col("type") == "entity/nation")).cast("long")))
+    roots = u.nodes.where((F.col("type") == "source/order") & (F.try_element_at("fields", F.lit("priority")) == SCOPE)).select("id")
+    trusted = u.nodes.where("type = 'entity/customer' and cast(substring(id, 10) as long) % 2 = 0").select("id")
+    skip = tuple(r.__name__ for r in verify.RULES if r is not verify.height)
+    return verification.verified(u, roots, verification.Options(depth=2, trusted=trusted, skip=skip))
+
+
+@registered(f"SELECT 'nation:' || n_nationkey AS id, 3 AS depth, 'gap' AS rule, 'not stored' AS detail FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderpriority = '{SCOPE}' AND year(o_orderdate) <= 1996) ORDER BY id LIMIT 4")
+def verification_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four failures of a run in a store without nations."""
+    u = ingested(spark, sf_dir)
+    roots = spark.createDataFrame([(f"head:1-{SCOPE}",)], "id string")
+    return verification.verified(u.with_(nodes=u.nodes.where("type <> 'entity/nation'")), roots, verification.Options(stop_after=4, skip=tuple(r.__name__ for r in verify.RULES)))
+
+
+@registered("""SELECT 'region:' || r_regionkey AS id, r.rule, 'entity/region' AS detail FROM region, (VALUES ('content_twice'), ('encoding_missing')) r(rule) UNION ALL SELECT 'nation:' || n_nationkey, 'field_name', 'entity/nation' FROM nation WHERE n_nationkey % 5 = 0
+    UNION ALL SELECT 'customer:' || c_custkey, 'encoding_alone', 'entity/customer' FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT 'customer:' || c_custkey, r.rule, 'entity/customer' FROM customer, (VALUES ('encoding_alone'), ('encoding_form')) r(rule) WHERE c_custkey % 2 = 1
+    UNION ALL SELECT 'nation:' || n_nationkey, 'single', 'contribution/contributor' FROM nation UNION ALL SELECT 'customer:' || c_custkey, 'edge_name', 'twice' FROM customer""")
+def construction_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New claims that break rules of their making: contents, encodings, fields, and references that stand twice."""
+    u = ingested(spark, sf_dir)
+    kind, key = F.col("type"), F.regexp_extract("id", r"(\d+)$", 1).cast("long")
+    nodes = u.nodes.where("type in ('entity/region', 'entity/nation', 'entity/customer')")
+    nodes = nodes.withColumn("content", F.when(kind == "entity/region", F.lit(b"x"))).withColumn("content_hash", F.when(kind == "entity/region", F.lit("h")))
+    nodes = nodes.withColumn("encoding", F.when(kind == "entity/customer", F.when(key % 2 == 0, "text/plain").otherwise("text of a kind")))
+    nodes = nodes.withColumn("fields", F.when((kind == "entity/nation") & (key % 5 == 0), F.create_map(F.lit("Bad name"), F.lit("x"))).otherwise(F.col("fields")))
+    edges = u.edges.where("src like 'nation:%' or src like 'customer:%'").select(*(c for c in u.edges.columns if c != "_copy"), F.explode(F.array(*map(F.lit, range(3)))).alias("_copy"))
+    customer = F.col("src").like("customer:%")
+    edges = edges.where("src like 'customer:%' or _copy < 2").withColumn("type", F.when(~customer, "contribution/contributor").when(F.col("_copy") == 0, "contribution/diff").otherwise("derivation/nation"))
+    edges = edges.withColumn("type_class", F.substring_index("type", "/", 1)).withColumn("type_sub", F.substring_index("type", "/", -1)).withColumn("fields", F.create_map(F.lit("name"), F.lit("twice")))
+    return construct.refused(u.with_(nodes=nodes, edges=edges.drop("_copy")))
+
+
+@registered("SELECT p.name FROM (VALUES ('1-URGENT'), ('new'), ('made')) p(name) WHERE p.name <> 'made' AND p.name NOT IN (SELECT o_orderpriority FROM orders)")
+def admit_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Branches that a contribution may not write: the archive has one of three, and another may be made."""
+    held = ingested(spark, sf_dir).branches.where(F.col("table_id") == HEAD)
+    return sync.refused_branches(spark.createDataFrame([("1-URGENT",), ("new",), ("made",)], "name string"), held, ("made",))
+
+
+@registered(sql("SELECT f_lang AS value, id FROM nodes WHERE f_lang IS NOT NULL AND type = 'source/document'"))
+def group_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents under their language."""
+    return sync.grouped(ingested(spark, sf_dir).nodes, "lang", ("source/document",))
+
+
+@registered("""SELECT doc_id, e.encoding, e.encoding LIKE 'text/%' OR e.encoding LIKE 'message/%' OR e.encoding LIKE '%+json' OR e.encoding LIKE '%+xml' OR e.encoding IN ('application/json', 'application/xml') AS legible
+    FROM (SELECT doc_id, ['text/plain', 'message/rfc822', 'application/json', 'application/ld+json', 'image/svg+xml', 'application/jsonx', 'image/png', 'font/woff'][doc_id % 8 + 1] AS encoding FROM documents) e""")
+def text_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which media types hold legible text."""
+    kinds = F.array(*map(F.lit, ("text/plain", "message/rfc822", "application/json", "application/ld+json", "image/svg+xml", "application/jsonx", "image/png", "font/woff")))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.get(kinds, (F.col("doc_id") % 8).cast("int")).alias("encoding"))
+    return docs.withColumn("legible", media.is_text(F.col("encoding")))
+
+
+@registered("SELECT doc_id, list_reduce(list_prepend('', list_transform(range(1, 51), lambda i: CASE WHEN strlen(left(t, CAST(i AS INTEGER))) <= 50 THEN left(t, CAST(i AS INTEGER)) ELSE '' END)), lambda a, b: CASE WHEN length(b) > length(a) THEN b ELSE a END) AS cut FROM (SELECT doc_id, 'é漢😀' || text AS t FROM documents WHERE text IS NOT NULL)")
+def text_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts cut to fifty bytes, at a whole character."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    return docs.select("doc_id", media.cut(F.concat(F.lit("é漢😀"), "text"), 50).alias("cut"))
+
+
+@registered("SELECT source AS list, CAST(min(doc_id) AS BIGINT) AS first, CAST(max(doc_id) AS BIGINT) AS last FROM documents WHERE source IS NOT NULL GROUP BY source")
+def bookmark_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ends of bookmark lists: here a source's documents by their numbers."""
+    marks = spark.read.parquet(f"{sf_dir}/documents.parquet").where("source is not null").select(F.col("source").alias("list"), F.col("doc_id").cast("long").alias("idx"))
+    return bookmarks.bounds(marks)

@@ -53,6 +53,17 @@ def nanoseconds(text: Column) -> Column:
     return F.when(valid, F.unix_seconds(F.try_to_timestamp(whole)) * F.lit(1_000_000_000).cast("long") + fraction)
 
 
+def by_instant(text: Column) -> Column:
+    """A text to sort by: an RFC 3339 text stands as the same instant in UTC with nine digits, so that instants order whatever their zones; other texts as they are."""
+    at = nanoseconds(text)
+    part = F.pmod(at, F.lit(1_000_000_000).cast("long"))
+    second = ((at - part) / 1_000_000_000).cast("long")
+    clock = F.pmod(second, F.lit(86_400).cast("long"))
+    day = F.date_add(F.lit("1970-01-01").cast("date"), ((second - clock) / 86_400).cast("int")).cast("string")
+    unit = lambda k, n: F.pmod(F.floor(clock / k), F.lit(n).cast("long"))
+    return F.coalesce(F.concat(day, F.format_string("T%02d:%02d:%02d.%09dZ", unit(3600, 24), unit(60, 60), unit(1, 60), part)), text)
+
+
 def _order(op: str, a: Column, b: Column) -> Column:
     return {"eq": a == b, "lt": a < b, "le": a <= b, "gt": a > b, "ge": a >= b}[op]
 
@@ -113,7 +124,7 @@ def sort_columns(keys: tuple[Key, ...]) -> list[Column]:
             middle = F.col("dated_mid_ms") if k.field == "dated" else F.floor(nanoseconds(value) / 1_000_000)
             out += [F.isnull(value).asc(), F.isnull(middle).desc() if down else F.isnull(middle).asc(), put(middle)]
         elif k.compare == "lexical" or (k.compare in ("", "numeric") and k.field not in NUMERIC):
-            out.append(put(F.col("created_at_ns") if k.field == "created_at" and k.compare != "lexical" else value.cast("string")))
+            out.append(put(F.col("created_at_ns") if k.field == "created_at" and k.compare != "lexical" else by_instant(value.cast("string")) if not k.compare else value.cast("string")))
         else:
             out.append(put(value))
     return [*out, F.col("created_at_ns").asc(), F.col("id").asc()]
