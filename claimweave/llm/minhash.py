@@ -6,9 +6,10 @@
    pairs as members. The planes' bit counts, corrected for chance agreement, drop pairs that are surely too far apart.
 3. Pairs left are confirmed on the full sets, and links become components.
 4. A bucket whose members lie in more than one component is looked at again: members of its largest component and the others are cut into
-   blocks, and pairs of blocks, but never two of the largest component, meet in tiles of bounded size. A tile's pairs across components whose
-   estimate may reach the threshold are confirmed there on the full sets, once, in the first band that the two share; it returns
-   only links that join components. So a link that the pivots missed is found, and no pair that is not one leaves the tile.
+   blocks, and pairs of blocks, but never two of the largest component, meet in tiles of bounded size. First signatures alone meet there, and a
+   tile names the members that stand in a pair across components whose estimate may reach the threshold. Then the full sets of these come to the
+   tile and confirm such pairs, once, in the first band that the two share; it returns only links that join components. So a link that
+   the pivots missed is found, and no pair that is not one leaves the tile.
 
 Null and empty texts have an empty set and link with nothing. A text of fewer words than a shingle is one shingle. Rows that repeat a
 doc_id are one node of the graph. A row without a doc_id takes the component of the rows that have its set and an id; where none has one, it has
@@ -36,7 +37,7 @@ HASHES, BANDS, ROWS, B_BITS = 128, 25, 5, 4
 #: Standard errors by which an estimate may lie below the threshold.
 MARGIN = 4.5
 #: Members of a bucket in a block: a tile holds two blocks at most.
-BLOCK = 1024
+BLOCK = 512
 
 MULTIPLIERS = np.array([key64("multiplier", k) | 1 for k in range(HASHES)], np.uint64)
 ADDENDS = np.array([key64("addend", k) for k in range(HASHES)], np.uint64)
@@ -175,19 +176,61 @@ def tiles(members: DataFrame) -> DataFrame:
     return rows.withColumn("p", F.explode(mixed_)).select(F.xxhash64("key", "p.kind", "p.i", "p.j").alias("tile"), "p.side", "band", "node")
 
 
-def across(members: DataFrame, payload: DataFrame, least: float, percent: int) -> DataFrame:
-    """Links (u, v) that join components within a bucket. payload: node, component, sig, bands, members (the full set)."""
+def _first_of_equals(members: DataFrame) -> DataFrame:
+    """members without the buckets whose members are those of an earlier band's bucket: near copies share many bands, and one bucket shows all their pairs."""
+    mark = members.groupBy("key").agg(F.min("band").alias("band"), F.count(F.lit(1)).alias("n"), *(F.sum(F.xxhash64("node", F.lit(k)).cast("decimal(38,0)")).alias(f"h{k}") for k in (0, 1)))
+    first = mark.groupBy("n", "h0", "h1").agg(F.min(F.struct("band", "key")).alias("m")).select("m.key")
+    return members.join(first, "key", "left_semi")
+
+
+def _candidates(group: pa.Table, least: float, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (u, v) of a tile, the likeliest first in each block, that lie in two components, may reach the threshold and share no earlier band."""
     words, chance = HASHES // 64, 2.0**-B_BITS
+    component, side, band, size = (group[c].to_numpy() for c in ("component", "side", "band", "n"))
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1) if side.any() else left
+    sig = np.array(group["sig"].to_pylist(), np.int64).view(np.uint64).reshape(len(side), B_BITS, words)
+    earlier = np.array(group["bands"].to_pylist(), np.int64).reshape(len(side), BANDS)[:, : band[0]]
+    for k in range(0, len(left), 64):
+        i = left[k : k + 64]
+        apart = np.zeros((len(i), len(right)), np.int32)
+        for w in range(words):
+            x = np.zeros(apart.shape, np.uint64)
+            for p in range(B_BITS):
+                x |= sig[i, None, p, w] ^ sig[None, right, p, w]
+            apart += np.bitwise_count(x)
+        value = (1 - apart / HASHES - chance) / (1 - chance)
+        value[component[i, None] == component[None, right]] = -1
+        value[100 * np.minimum(size[i, None], size[None, right]) < percent * np.maximum(size[i, None], size[None, right])] = -1
+        a, b = np.nonzero(value >= least)
+        order = np.argsort(-value[a, b], kind="stable")
+        u, v = i[a[order]], right[b[order]]
+        apart_before = np.ones(len(u), bool)
+        for at in range(0, len(u), 4096):
+            apart_before[at : at + 4096] = ~(earlier[u[at : at + 4096]] == earlier[v[at : at + 4096]]).any(axis=1)
+        yield u[apart_before], v[apart_before]
+
+
+def suspects(members: DataFrame, payload: DataFrame, least: float, percent: int) -> DataFrame:
+    """(tile, side, band, node): the rows of tiles that stand in a candidate pair. payload: node, component, sig, bands, n (the set's size); no set travels."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, "tile"):
+            held = np.zeros(group.num_rows, bool)
+            for u, v in _candidates(group, least, percent):
+                held[u] = held[v] = True
+            if held.any():
+                yield from group.select(["tile", "side", "band", "node"]).filter(pa.array(held)).to_batches()
+
+    return tiles(_first_of_equals(members)).join(payload, "node").repartition("tile").sortWithinPartitions("tile").mapInArrow(look, "tile long, side int, band int, node long")
+
+
+def across(rows: DataFrame, payload: DataFrame, least: float, percent: int) -> DataFrame:
+    """Links (u, v) that join components within a tile. rows: suspects; payload: node, component, sig, bands, n, members (the full set)."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, "tile"):
-            node, component, side, band = (group[c].to_numpy() for c in ("node", "component", "side", "band"))
-            left = np.flatnonzero(side == 0)
-            right = np.flatnonzero(side == 1) if side.any() else left
-            if not len(left):
-                continue
-            sig = np.array(group["sig"].to_pylist(), np.int64).view(np.uint64).reshape(len(node), B_BITS, words)
-            earlier = np.array(group["bands"].to_pylist(), np.int64).reshape(len(node), BANDS)[:, : band[0]]
+            node, component = group["node"].to_numpy(), group["component"].to_numpy()
             own = group["members"].combine_chunks()
             at = own.offsets.to_numpy()
             flat = own.values.to_numpy().view(np.uint64)
@@ -201,22 +244,10 @@ def across(members: DataFrame, payload: DataFrame, least: float, percent: int) -
                 return c
 
             found = []
-            for k in range(0, len(left), 64):
-                i = left[k : k + 64]
-                apart = np.zeros((len(i), len(right)), np.int32)
-                for w in range(words):
-                    x = np.zeros(apart.shape, np.uint64)
-                    for p in range(B_BITS):
-                        x |= sig[i, None, p, w] ^ sig[None, right, p, w]
-                    apart += np.bitwise_count(x)
-                value = (1 - apart / HASHES - chance) / (1 - chance)
-                value[component[i, None] == component[None, right]] = -1
-                value[100 * np.minimum(size[i, None], size[None, right]) < percent * np.maximum(size[i, None], size[None, right])] = -1
-                a, b = np.nonzero(value >= least)
-                order = np.argsort(-value[a, b], kind="stable")
-                for u, v in zip(i[a[order]].tolist(), right[b[order]].tolist(), strict=True):
+            for us, vs in _candidates(group, least, percent):
+                for u, v in zip(us.tolist(), vs.tolist(), strict=True):
                     ru, rv = root(int(component[u])), root(int(component[v]))
-                    if ru == rv or (earlier[u] == earlier[v]).any():
+                    if ru == rv:
                         continue
                     place = np.minimum(np.searchsorted(full[u], full[v]), size[u] - 1)
                     both = int((full[u][place] == full[v]).sum())
@@ -226,8 +257,7 @@ def across(members: DataFrame, payload: DataFrame, least: float, percent: int) -
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["u", "v"])
 
-    rows = tiles(members).join(payload, "node")
-    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(compare, "u long, v long")
+    return rows.join(payload, "node").repartition("tile").sortWithinPartitions("tile").mapInArrow(compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -238,23 +268,31 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
         labels = found.groupBy("c").agg(F.min("doc_id").alias("component_id"))
         return found.join(labels, "c").select("doc_id", "n_shingles", "component_id").withColumn("kept", F.col("doc_id") == F.col("component_id"))
     base = stored(signatures(docs, doc_id, text))
-    classes = stored(base.where("digest is not null").groupBy("digest").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "sig", "bands"))).alias("m")).select("digest", F.col("m.doc_id").alias("node"), "m.sig", "m.bands"))
+    classes = stored(base.where("digest is not null").groupBy("digest").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "sig", "bands", F.col("n_shingles").alias("n")))).alias("m")).select("digest", F.col("m.doc_id").alias("node"), "m.sig", "m.bands", "m.n"))
     keys = classes.select(F.posexplode("bands").alias("band", "key"), "node")
     pivots = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("key", "node")).alias("pivot")).where("n > 1").drop("n")
     shared = stored(keys.join(pivots, "key"))
     pairs = shared.where("node <> pivot").select(F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v")).distinct()
     sig = classes.select("node", "sig")
     least = least_estimate(percent / 100)
-    estimated = pairs.join(sig.select(F.col("node").alias("u"), F.col("sig").alias("a")), "u").join(sig.select(F.col("node").alias("v"), F.col("sig").alias("b")), "v")
-    links = stored(confirmed(stored(estimated.where(agreement("a", "b") >= least).select("u", "v")), docs, percent, doc_id, text))
+    estimated = pairs.join(sig.select(F.col("node").alias("u"), F.col("sig").alias("a")), "u").join(sig.select(F.col("node").alias("v"), F.col("sig").alias("b")), "v").withColumn("value", agreement("a", "b"))
+    pairs = stored(estimated.where(F.col("value") >= least).select("u", "v", "value"))
+    # near copies meet many pivots: the likeliest pair of each first, then those that would still join components
+    links = stored(confirmed(pairs.groupBy("u").agg(F.max_by("v", F.struct("value", "v")).alias("v")), docs, percent, doc_id, text))
+    found = components(links)
+    of = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+    rest = pairs.select("u", "v").join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("of_u", "u") != F.coalesce("of_v", "v")).select("u", "v")
+    links = stored(links.unionByName(confirmed(stored(rest), docs, percent, doc_id, text)))
     found = components(links)
     members = shared.select("key", "band", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     kinds = members.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
     members = stored(members.join(kinds, "key"))
-    wanted = members.select(F.col("node").alias("_node"), "component").distinct()
-    near = docs.join(wanted.hint("shuffle_hash"), F.col(f"`{doc_id}`").cast("long") == F.col("_node"), "left_semi")
-    payload = stored(sets(near, doc_id, text).dropDuplicates(["node"]).join(wanted, F.col("node") == F.col("_node")).drop("_node").join(classes.select("node", "sig", "bands").dropDuplicates(["node"]), "node"))
-    more = stored(across(members, payload, least, percent))
+    wanted = members.select("node", "component").distinct()
+    light = stored(wanted.join(classes.select("node", "sig", "bands", "n").dropDuplicates(["node"]), "node"))
+    rows = stored(suspects(members, light, least, percent))
+    near = docs.join(rows.select(F.col("node").alias("_node")).distinct(), F.col(f"`{doc_id}`").cast("long") == F.col("_node"), "left_semi")
+    payload = stored(sets(near, doc_id, text).dropDuplicates(["node"]).join(light.drop("n"), "node").withColumn("n", F.size("members").cast("long")))
+    more = stored(across(rows, payload, least, percent))
     if not more.isEmpty():
         found = components(links.unionByName(more))
     of = classes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
