@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,10 +13,11 @@ from pyspark.sql import functions as F
 
 from claimweave.storage import reliable, stored
 
-__all__ = ["SPACES", "components", "documents", "key64", "reliable", "rounds_until_stable", "runs", "stored", "unit_hash"]
+__all__ = ["SPACES", "components", "documents", "key64", "pieces", "reliable", "rounds_until_stable", "runs", "stored", "unit_hash"]
 
 #: White space that parts words, as the word contracts state it: 0x20 and 0x09 to 0x0D.
 SPACES = " \t\n\x0b\x0c\r"
+BREAK = re.compile(f"[{SPACES}]")
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -29,27 +31,41 @@ def key64(*parts: object) -> int:
     return int.from_bytes(hashlib.blake2b(repr(parts).encode(), digest_size=8).digest(), "little")
 
 
+def pieces(text: str, size: int = 1 << 20) -> Iterator[str]:
+    """A text in pieces of `size` characters or little more, each but the last one up to white space, so that no word is cut; a run without any white space is one piece."""
+    at = 0
+    while len(text) - at > size:
+        found = BREAK.search(text, at + size)
+        if found is None:
+            break
+        yield text[at : found.end()]
+        at = found.end()
+    yield text[at:] if at else text
+
+
 def unit_hash(*columns: Column) -> Column:
     """A reproducible number in [0, 1) from the columns' values."""
     return (F.shiftrightunsigned(F.xxhash64(*columns), 11).cast("double")) / F.lit(float(1 << 53))
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Tables of equal key, from batches sorted by it. A run may go over any number of batches."""
+    """Tables of equal key, from batches sorted by it; nulls are one key. A run may go over any number of batches."""
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
+        column = batch.column(batch.schema.get_field_index(key))
+        keys = (column.dictionary_encode(null_encoding="encode").indices if column.null_count else column).to_numpy(zero_copy_only=False)
         cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
         at = 0
         for cut in [*cuts.tolist(), batch.num_rows]:
-            if held and keys[at] != last:
+            now = column[at].as_py()
+            if held and now != last:
                 yield pa.Table.from_batches(held)
                 held = []
             held.append(batch.slice(at, cut - at))
-            last, at = keys[at], cut
+            last, at = now, cut
     if held:
         yield pa.Table.from_batches(held)
 

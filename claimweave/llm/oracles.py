@@ -64,3 +64,71 @@ ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 counts AS (SELECT a AS id, count(*) AS n FROM ways GROUP BY a)
 SELECT e.vec_id, COALESCE(c.n, 0) AS n_links, COALESCE(l.component_id, e.vec_id) AS component_id, e.vec_id = COALESCE(l.component_id, e.vec_id) AS kept FROM embeddings e LEFT JOIN counts c ON c.id = e.vec_id LEFT JOIN least l ON l.id = e.vec_id
 """
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit."""
+    codes = f"list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    bits = "list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b))"
+    return f"xor(list_reduce({codes}, lambda c, b: {bits}, CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+def _least(*labels: str) -> str:
+    """The least of labels (cost, audit) in a list that may hold nulls."""
+    return f"list_min(list_filter([{', '.join(labels)}], lambda l: l IS NOT NULL))"
+
+
+def _plus(label: str, cost: str, letter: str) -> str:
+    return f"CASE WHEN {label} IS NOT NULL THEN {{'c': {label}.c + {cost}, 'a': {label}.a || '{letter}'}} END"
+
+
+def _inserted(n: str, s: str, u: str, a: str) -> str:
+    """Labels of the four states (nothing, system, open, answered) with turns inserted, twice."""
+    once_u = _least(u, _plus(n, "2", "I"), _plus(s, "2", "I"), _plus(a, "2", "I"))
+    return f"SELECT *, {once_u} AS u1, {_least(a, _plus(u, '2', 'I'))} AS a1"
+
+
+#: The best label of each state after each turn; the four labels are carried through the turns in order.
+REPAIR = rf"""
+WITH RECURSIVE t AS (SELECT conv_id, turn, COALESCE(role, ' ') AS role, COALESCE(text, ' ') AS text, {_crc32("COALESCE(CAST(conv_id AS VARCHAR), ' ') || ':' || COALESCE(CAST(turn AS VARCHAR), ' ')")} % 20 AS f FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM t),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+  rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS trimmed FROM d),
+k AS (SELECT *, trimmed = '' AS blank, trimmed <> '' AND again AS twice, trimmed <> '' AND NOT again AND right(trimmed, 1) NOT IN ('.', '!', '?') AS cut, left(role, 1) AS o, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS po FROM r),
+ids AS (SELECT conv_id, max(i) AS n FROM (SELECT conv_id, 0 AS i FROM conversations UNION ALL SELECT conv_id, i FROM k) GROUP BY conv_id),
+w(conv_id, i, n, s, u, a) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), {{'c': CAST(0 AS BIGINT), 'a': ''}}, CAST(NULL AS STRUCT(c BIGINT, a VARCHAR)), CAST(NULL AS STRUCT(c BIGINT, a VARCHAR)), CAST(NULL AS STRUCT(c BIGINT, a VARCHAR)) FROM ids
+  UNION ALL
+  SELECT conv_id, i + 1, {_plus("n", "3", "D")},
+    {_least(_plus("s", "3", "D"), f"CASE WHEN NOT gone AND o = 's' THEN {_plus('n', 'late', 'K')} END")},
+    {_least(_plus("u2", "3", "D"), f"CASE WHEN NOT gone AND o = 'u' THEN {_least(_plus('n', 'late', 'K'), _plus('s', 'late', 'K'), _plus('a2', 'late', 'K'))} END", f"CASE WHEN NOT gone THEN {_least(_plus('n', '2 + late', 'R'), _plus('s', '2 + late', 'R'), _plus('a2', '2 + late', 'R'))} END")},
+    {_least(_plus("a2", "3", "D"), f"CASE WHEN NOT gone AND o = 'a' THEN {_plus('u2', 'late', 'K')} END", f"CASE WHEN NOT gone THEN {_plus('u2', '2 + late', 'R')} END")}
+  FROM (SELECT *, {_least("u1", _plus("a1", "2", "I"))} AS u2, {_least("a1", _plus("u1", "2", "I"))} AS a2 FROM ({_inserted("n", "s", "u", "a")} FROM (SELECT w.*, k.o, k.blank OR k.twice AS gone, CAST(k.cut AS BIGINT) AS late FROM w JOIN k ON k.conv_id = w.conv_id AND k.i = w.i + 1)))),
+best AS (SELECT conv_id, {_least("n", "a1", _plus("u1", "2", "I"))} AS l FROM ({_inserted("n", "s", "u", "a")} FROM (SELECT w.* FROM w JOIN ids USING (conv_id) WHERE w.i = ids.n))),
+e AS (SELECT conv_id, l.a AS audit, unnest(range(1, length(l.a) + 1)) AS p FROM best),
+g AS (SELECT *, substr(audit, p, 1) AS letter, CAST(length(replace(left(audit, p), 'I', '')) AS BIGINT) AS i, length(replace(left(audit, p - 1), 'D', '')) AS place FROM e),
+h AS (SELECT g.conv_id, p, place, letter, k.o, CASE WHEN letter = 'K' THEN k.role END AS role, CASE WHEN letter = 'I' THEN '' ELSE k.text END AS text FROM g LEFT JOIN k ON k.conv_id = g.conv_id AND k.i = g.i AND letter <> 'I' WHERE letter <> 'D'),
+x AS (SELECT *, max(CAST(place = 0 AND letter = 'K' AND o = 's' AS BIGINT)) OVER (PARTITION BY conv_id) AS sys FROM h),
+z AS (SELECT conv_id, sha256(string_agg(COALESCE(role, CASE WHEN (place - sys) % 2 = 0 THEN 'user' ELSE 'assistant' END) || ':' || text, chr(10) ORDER BY p)) AS repaired_sha256 FROM x GROUP BY conv_id),
+c AS (SELECT conv_id, COALESCE(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, CAST(sum(CAST(blank AS BIGINT)) AS BIGINT) AS blank, CAST(sum(CAST(twice AS BIGINT)) AS BIGINT) AS duplicate, CAST(sum(CAST(cut AS BIGINT)) AS BIGINT) AS truncated,
+  CAST(sum(CAST(i > 1 AND po || o NOT IN ('su', 'ua', 'au') AS BIGINT)) AS BIGINT) AS illegal FROM k GROUP BY conv_id)
+SELECT b.conv_id, COALESCE(gaps, 0) AS gaps, COALESCE(blank, 0) AS blank, COALESCE(duplicate, 0) AS duplicate, COALESCE(truncated, 0) AS truncated, COALESCE(illegal, 0) AS illegal, b.l.c AS cost, b.l.a AS audit, COALESCE(repaired_sha256, sha256('')) AS repaired_sha256
+FROM best b LEFT JOIN c USING (conv_id) LEFT JOIN z USING (conv_id)
+"""
+
+TRIE = f"""
+WITH o AS (SELECT conv_id, sha256(length(COALESCE(role, '')) || ':' || COALESCE(role, '') || COALESCE(text, '')) AS digest, CAST(strlen(COALESCE(text, '')) AS BIGINT) AS size, turn FROM conversations WHERE conv_id IS NOT NULL),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS pos FROM o),
+ids AS (SELECT conv_id, {_crc32("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM o)),
+r AS (SELECT i.conv_id, 0 AS part, pos, digest, size FROM ids i JOIN p ON p.conv_id = i.conv_id - i.conv_id % 5 AND p.pos <= i.h UNION ALL SELECT i.conv_id, 1, pos, digest, size FROM ids i JOIN p ON p.conv_id = i.conv_id AND p.pos > i.h),
+c AS (SELECT conv_id, size, row_number() OVER w AS depth, string_agg(digest, '') OVER w AS path FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos)),
+m AS (SELECT conv_id, size, depth, path FROM c UNION ALL SELECT conv_id, 0, 0, '' FROM ids),
+n AS (SELECT depth, path, left(path, 64 * (depth - 1)) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size FROM m GROUP BY depth, path),
+born AS (SELECT up AS path, count(*) AS n FROM n WHERE depth > 0 GROUP BY up),
+q AS (SELECT n.*, COALESCE(b.n, 0) AS n_children FROM n LEFT JOIN born b ON b.path = n.path),
+under AS (SELECT left(path, 64 * a) AS path, CAST(sum(CAST(n_children = 0 AS BIGINT)) AS BIGINT) AS n_leaves, CAST(sum((n_convs - 1) * size) AS BIGINT) AS saved_tokens FROM (SELECT *, unnest(range(depth + 1)) AS a FROM q) GROUP BY left(path, 64 * a)),
+last AS (SELECT conv_id, arg_max(path, depth) AS path FROM m GROUP BY conv_id),
+ends AS (SELECT path, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends_sha256 FROM last GROUP BY path)
+SELECT q.conv_id, CAST(q.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, q.n_convs, q.n_children, n_leaves, saved_tokens, COALESCE(ends_sha256, sha256('')) AS ends_sha256
+FROM q JOIN under USING (path) LEFT JOIN ends USING (path) LEFT JOIN n u ON q.depth > 0 AND u.path = q.up
+"""
