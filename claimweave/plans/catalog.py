@@ -14,7 +14,7 @@ from claimweave.functions import edtf
 from claimweave.model import Universe
 from claimweave import errors
 from claimweave.functions import media, signatures, wire
-from claimweave.functions.ids import addressed
+from claimweave.functions.ids import address_column, addressed
 from claimweave.operators import bookmarks, construct, lookup, merge, overlay, sync, tags, verification, verify
 from claimweave.operators.closure import closure
 from claimweave.plans.engine import Archive, records
@@ -652,12 +652,20 @@ def verify_monotone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.monotone(ingested(spark, sf_dir))
 
 
-@registered(sql("SELECT n.id, 'signer' AS rule, '0 contributors' AS detail FROM nodes n LEFT JOIN edges e ON e.src = n.id AND e.type = 'contribution/contributor' WHERE e.src IS NULL AND n.type <> 'contribution/contributor'"))
+@registered(sql("SELECT n.id, 'signer' AS rule, '0 contributors' AS detail FROM nodes n WHERE n.id IN (SELECT src FROM edges) AND n.id NOT IN (SELECT src FROM edges WHERE type = 'contribution/contributor')"))
 def verify_signer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims without a contributor: all but documents and contributors."""
+    """Claims that reference others but no contributor: all but documents and initial claims."""
     return verify.signed(ingested(spark, sf_dir))
 
 
+@registered(sql("SELECT n.id, CASE WHEN n.type = 'relation/lineitem' THEN (SELECT 'part:' || l.l_partkey FROM lineitem l WHERE n.id = " + LINE.replace("l_", "l.l_") + ") WHEN n.id NOT IN (SELECT src FROM edges) THEN n.id ELSE (SELECT dst FROM edges e WHERE e.src = n.id AND e.type = 'contribution/contributor') END AS signer FROM nodes n WHERE n.type NOT LIKE 'contribution/%'"))
+def verify_initial_signers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who signs each claim: initial claims, whatever their type, sign themselves; a line item references two contributors, its part and its supplier, of which the first signs."""
+    u = ingested(spark, sf_dir)
+    u = u.with_(edges=u.edges.withColumn("type", F.when(F.col("type").isin("relation/part", "relation/supplier"), "contribution/contributor").otherwise(F.col("type"))))
+    return verify.signers(u, u.nodes.where("type not like 'contribution/%'").select("id")).select("id", "signer")
+
+
 def _broken(name: str, rule, corrupt, oracle: str) -> None:
     """A rule over claims that a corruption breaks."""
 
@@ -706,16 +714,39 @@ _broken("verify_delete_target", verify.delete_target, lambda u: u.with_(nodes=u.
         "SELECT 'label:' || doc_id AS id, 'delete_target' AS rule, 'no reference' AS detail FROM labels WHERE doc_id % 10 > 4")
 
 
-def _stored_contents(u: Universe) -> Universe:
-    """Regions whose content is their name: one is stored with other bytes, one is not stored, one states another size."""
-    region = F.col("type") == "entity/region"
-    name = F.try_element_at("fields", F.lit("name"))
-    nodes = u.nodes.withColumn("content_hash", F.when(region, F.sha2(name, 256))).withColumn("content_size", F.when(region, F.length(name) + F.when(F.col("id") == "region:2", 1).otherwise(0)).cast("long"))
-    contents = u.nodes.where(region & (F.col("id") != "region:1")).select(F.sha2(name, 256).alias("hash"), F.when(F.col("id") == "region:0", F.lit("other")).otherwise(name).cast("binary").alias("bytes"))
-    return u.with_(nodes=nodes, contents=contents)
+def _address(text: str) -> str:
+    """SQL of a text's address: base 32 of its multihash, five bits at a time."""
+    bits = f"array_to_string(list_transform(string_split('1220' || sha256({text}), ''), lambda d: right(bin(16 + instr('0123456789abcdef', d) - 1), 4)), '') || '000'"
+    digit = "1 + list_reduce(list_transform(string_split(substr(b, CAST(5 * i + 1 AS BIGINT), 5), ''), lambda x: CAST(x AS BIGINT)), lambda x, y: 2 * x + y)"
+    return f"'b' || (SELECT array_to_string(list_transform(range(55), lambda i: substr('abcdefghijklmnopqrstuvwxyz234567', {digit}, 1)), '') FROM (SELECT {bits} AS b))"
 
 
-_broken("verify_content", verify.content_integrity, _stored_contents, "SELECT 'region:' || r_regionkey AS id, 'content' AS rule, sha256(r_name) AS detail FROM region WHERE r_regionkey <= 2")
+@registered(f"SELECT 'doc:' || doc_id AS id, 'content' AS rule, {_address('text')} AS detail FROM documents WHERE text IS NOT NULL AND length(text) % 5 <= 2")
+def verify_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose content is their text, stored once: some are stored with other bytes, some are not stored, some state another size."""
+    u, docs = ingested(spark, sf_dir), spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    bytes_, kind = F.encode("text", "UTF-8"), F.length("text") % 5
+    own = addressed(docs.select(F.concat(F.lit("doc:"), "doc_id").alias("id"), bytes_.alias("bytes"), kind.alias("kind")), "bytes")
+    nodes = own.select("id", F.lit(None).cast("binary").alias("content"), F.col("address").alias("content_hash"), (F.length("bytes") + (F.col("kind") == 2).cast("int")).cast("long").alias("content_size"))
+    contents = own.where("kind <> 1").select(F.col("address").alias("hash"), F.when(F.col("kind") == 0, F.encode(F.lit("other"), "UTF-8")).otherwise(F.col("bytes")).alias("bytes")).dropDuplicates(["hash"])
+    return verify.content_integrity(u.with_(nodes=nodes, edges=u.edges.where("src is null"), contents=contents))
+
+
+@registered(f"""SELECT 'label:' || doc_id AS id, 'content' AS rule, {_address("'q' || quality")} AS detail FROM labels WHERE doc_id % 3 = 0 UNION ALL SELECT 'label:' || doc_id, 'encoding', 'content without encoding' FROM labels WHERE doc_id % 2 = 0
+    UNION ALL SELECT 'doc:' || doc_id, 'content', {_address("source")} FROM documents WHERE source IS NOT NULL AND doc_id % 7 = 0 UNION ALL SELECT 'doc:' || doc_id, 'encoding', 'content without encoding' FROM documents WHERE source IS NOT NULL AND doc_id % 2 = 0""")
+def verify_contents_of_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents of references: a label's of its document has the quality within, some of it changed; a document's of its source states the address of a stored content, and some a false size. Every second one has no encoding."""
+    u = ingested(spark, sf_dir)
+    key = F.regexp_extract("src", r"(\d+)$", 1).cast("long")
+    quality = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.concat(F.lit("label:"), "doc_id").alias("src"), F.concat(F.lit("q"), "quality").alias("said"))
+    refs = u.edges.where("src like 'label:%' or (src like 'doc:%' and type = 'contribution/contributor')").join(quality, "src", "left")
+    said = F.encode(F.coalesce("said", F.substring("dst", len("contributor:") + 1, 1 << 20)), "UTF-8")
+    inline, changed = F.col("src").like("label:%"), F.when(key % 3 == 0, F.encode(F.lit("other"), "UTF-8")).otherwise(said)
+    refs = refs.withColumn("content_hash", address_column(said)).withColumn("content", F.when(inline, changed)).withColumn("content_size", F.when(inline, F.length(changed)).otherwise(F.length(said) + (key % 7 == 0).cast("int")).cast("long"))
+    refs = refs.withColumn("encoding", F.when(key % 2 == 1, F.lit("text/plain"))).select(*u.edges.columns)
+    sources = spark.read.parquet(f"{sf_dir}/documents.parquet").where("source is not null").select(F.encode("source", "UTF-8").alias("bytes")).distinct()
+    broken = u.with_(nodes=u.nodes.where("id is null"), edges=refs, contents=addressed(sources, "bytes").select(F.col("address").alias("hash"), "bytes"))
+    return verify.content_integrity(broken).unionByName(verify.content_encoding(broken))
 _broken("verify_archive_head", lambda u: verify.archive_head(u, "order:1").unionByName(verify.archive_head(u, "nothing")).unionByName(verify.archive_head(u, HEAD)), lambda u: u,
         "SELECT * FROM (VALUES ('order:1', 'archive_head', 'source/order'), ('nothing', 'archive_head', 'not stored')) v(id, rule, detail)")
 
@@ -731,6 +762,26 @@ def _keys(u: Universe) -> Universe:
 _broken("verify_key_window", verify.key_window, _keys, "SELECT 'order:' || o_orderkey AS id, 'key_window' AS rule, 'customer:' || o_custkey AS detail FROM orders WHERE o_orderdate < DATE '1994-01-01' OR (o_custkey % 3 = 0 AND o_orderdate > DATE '1997-01-01')")
 
 
+_REVOKED = "SELECT user_id, min(DATE '1993-01-01' + CAST(event_id % 2000 AS INTEGER)) AS ended FROM events WHERE event_id % 2 = 0 GROUP BY user_id"
+
+
+@registered(f"""SELECT 'order:' || o_orderkey AS id, 'key_window' AS rule, CASE WHEN o_custkey % 11 = 0 THEN 'pubkey_expires_after=soon' ELSE 'customer:' || o_custkey END AS detail
+    FROM orders LEFT JOIN ({_REVOKED}) ON user_id = o_custkey WHERE o_custkey % 11 = 0 OR o_custkey % 7 = 0 OR o_orderdate > ended""")
+def verify_revoked_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders signed by customers, whose keys events revoke as of the date that their reference states. Only events in the closure of the roots count, here every second one. Customers sign themselves; some state a key
+    of the future, by which their own claim is not judged, some a date that can't be read."""
+    u = ingested(spark, sf_dir)
+    key = F.regexp_extract("id", r"(\d+)$", 1).cast("long")
+    states = F.when(key % 11 == 0, F.create_map(F.lit("pubkey_expires_after"), F.lit("soon"))).when(key % 7 == 0, F.create_map(F.lit("pubkey_valid_from"), F.lit("2030-01-01T00:00:00.000000000Z"))).otherwise(F.create_map().cast("map<string,string>"))
+    nodes = u.nodes.where("type in ('entity/customer', 'source/order', 'source/event')").withColumn("fields", F.when(F.col("type") == "entity/customer", states).otherwise(F.create_map().cast("map<string,string>")))
+    event = F.regexp_extract("src", r"(\d+)$", 1).cast("long")
+    date = F.date_format(F.date_add(F.lit("1993-01-01").cast("date"), (event % 2000).cast("int")), "yyyy-MM-dd'T'00:00:00.000000000'Z'")
+    edges = u.edges.where("src like 'order:%' or src like 'event:%'")
+    edges = edges.withColumn("fields", F.when(F.col("src").like("event:%"), F.create_map(F.lit("pubkey_expires_after"), date)).otherwise(F.col("fields"))).withColumn("type", F.when(F.col("src").like("event:%"), "contribution/expiry").otherwise("contribution/contributor"))
+    roots = nodes.where((F.col("type") == "source/order") | ((F.col("type") == "source/event") & (key % 2 == 0))).select("id")
+    return verify.key_window(u.with_(nodes=nodes, edges=edges), roots)
+
+
 @registered("SELECT CASE WHEN doc_id % 4 = 0 THEN 'b' || doc_id END AS forged, count(*) AS n FROM documents WHERE doc_id % 4 = 0 GROUP BY 1")
 def verify_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records whose id is not their address: every fourth has a false one."""
@@ -740,7 +791,7 @@ def verify_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.raw_ids(empty_.with_(raw=raw)).groupBy(F.col("id").alias("forged")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@registered(sql("""SELECT id, rule, count(*) AS n FROM (SELECT n.id, CASE WHEN n.height <> CASE WHEN n.type = 'entity/nation' THEN 1 ELSE 0 END THEN 'height' ELSE 'signer' END AS rule FROM (SELECT id, type, height + (id LIKE '%7')::INTEGER AS height FROM nodes WHERE type IN ('entity/nation', 'entity/region')) n) GROUP BY id, rule"""))
+@registered(sql("""SELECT id, rule, count(*) AS n FROM (SELECT n.id, CASE WHEN n.height <> CASE WHEN n.type = 'entity/nation' THEN 1 ELSE 0 END THEN 'height' WHEN n.type = 'entity/nation' THEN 'signer' END AS rule FROM (SELECT id, type, height + (id LIKE '%7')::INTEGER AS height FROM nodes WHERE type IN ('entity/nation', 'entity/region')) n) WHERE rule IS NOT NULL GROUP BY id, rule"""))
 def violations_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of several rules that a claim breaks the first one is reported."""
     u = ingested(spark, sf_dir)

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from claimweave.functions import cbor, media, signatures
+from claimweave.functions import cbor, ids, media, signatures, wire
 from claimweave.model import SCHEMAS, Universe
 from claimweave.operators import bookmarks, construct, sync, verification, verify
 from claimweave.plans.predicate import by_instant, sort_columns
@@ -147,3 +147,84 @@ def test_branches_groups_and_bounds(spark, mill):
     assert sync.grouped(tagged, "page", ("derivation/ledger",)).count() == 0
     marks = spark.createDataFrame([("l", 3), ("l", 9), ("k", 0)], "list string, idx long")
     assert {tuple(r) for r in bookmarks.bounds(marks).collect()} == {("l", 3, 9), ("k", 0, 0)}
+
+
+def keyed(spark, signer_fields, at, expiries=(), own=10):
+    """A note of the year `at` signed by eve; expiry references (citing claim, date) name eve; all notes of `own` and root are roots."""
+    year = lambda y: (y - 1970) * 365 * 86400 * 10**9
+    nodes = {"eve": ("contribution/contributor", 0, year(2020)), "note": ("source/note", 1, year(at)), "root": ("derivation/root", 2, year(2021)), "other": ("derivation/root", 2, year(2021))}
+    edges = [("note", "eve", "contribution/contributor", {}), ("root", "note", "derivation/input", {}), *((src, "eve", "contribution/expiry", {"pubkey_expires_after": date}) for src, date in expiries)]
+    u = claims(spark, nodes, edges)
+    fields = F.when(F.col("id") == "eve", F.create_map(*(F.lit(x) for kv in signer_fields.items() for x in kv))) if signer_fields else F.lit(None)
+    return u.with_(nodes=u.nodes.withColumn("fields", F.coalesce(fields, F.create_map()).cast("map<string,string>")))
+
+
+@pytest.mark.parametrize(("fields", "at", "expiries", "want"), [
+    ({}, 2017, [("root", "2001-01-01T00:00:00Z")], ["eve"]),  # the date of the reference counts, not that of the claim that has it
+    ({}, 2017, [("root", "2030-01-01T00:00:00Z")], []),
+    ({}, 2017, [("other", "2001-01-01T00:00:00Z")], []),  # outside the closure of the roots
+    ({}, 2017, [("root", "2030-01-01T00:00:00Z"), ("root", "2001-01-01T00:00:00Z")], ["eve"]),
+    ({}, 2017, [("root", "soon")], ["pubkey_expires_after=soon"]),
+    ({"pubkey_valid_from": "2030-01-01T00:00:00Z"}, 2031, [], []),  # eve's own claim is older than her key
+    ({"pubkey_valid_from": "2030-01-01T00:00:00Z"}, 2017, [], ["eve"]),
+    ({"pubkey_expires_after": "2010-01-01T00:00:00Z"}, 2017, [("root", "2030-01-01T00:00:00Z")], ["eve"]),
+    ({"pubkey_valid_from": "never"}, 2017, [], ["pubkey_valid_from=never"]),
+])
+def test_windows_of_keys(spark, fields, at, expiries, want):
+    got = verify.key_window(keyed(spark, fields, at, expiries), one(spark, "root")).collect()
+    assert [(r.id, r.detail) for r in got] == [("note", w) for w in want]
+
+
+def test_expiries_of_a_run_count_from_its_roots(spark):
+    u = keyed(spark, {}, 2017, [("other", "2001-01-01T00:00:00Z")])
+    skip = tuple(r.__name__ for r in verify.RULES if r is not verify.key_window)
+    assert verification.verified(u, one(spark, "root"), Options(skip=skip)).count() == 0
+    assert [r.id for r in verification.verified(u, one(spark, "root", "other"), Options(skip=skip)).collect()] == ["note"]
+
+
+def test_addresses_by_built_in_functions(spark):
+    values = [b"", b"a", b"\xff" * 100, *(bytes([k, k * 7 % 256]) for k in range(50))]
+    frame = spark.createDataFrame([(v,) for v in values], "v binary")
+    assert {(bytes(r.v), r.address) for r in ids.addressed(frame, "v").collect()} == {(v, ids.address(v)) for v in values}
+    assert ids.addressed(spark.createDataFrame([(None,)], "v binary"), "v").first().address is None
+
+
+def test_contents_that_the_decoder_reads(spark):
+    """Hashes as records have them, of claims and of references, within and outside."""
+    node = {"type": "source/note", "type_class": "source", "type_sub": "note", "created_at": "2020-01-01T00:00:00Z", "height": 1, "fields": {}, "encoding": "text/plain", "content_hash": ids.address(b"far"), "content_size": 3}
+    edge = {"type": "contribution/contributor", "type_class": "contribution", "type_sub": "contributor", "reference": ids.address(b"eve"), "fields": {}, "relation_direction": 0, "encoding": "text/plain", "content": b"near", "content_hash": ids.address(b"near"), "content_size": 4}
+    records = spark.createDataFrame([(wire.encode_claim(node, [edge]),)], "record binary")
+    nodes, edges = wire.nodes_of(records), wire.edges_of(records)
+    contents = spark.createDataFrame([(ids.address(b"far"), b"far")], SCHEMAS["contents"])
+    u = Universe(nodes, edges, contents=contents)
+    assert verify.content_integrity(u).count() == 0 and verify.content_encoding(u).count() == 0
+    spoiled = u.with_(edges=edges.withColumn("content", F.lit(b"Near")).withColumn("encoding", F.lit(None).cast("string")))
+    assert [r.detail for r in verify.content_integrity(spoiled).collect()] == [ids.address(b"near")]
+    assert [r.rule for r in verify.content_encoding(spoiled).collect()] == ["encoding"]
+    assert [r.detail for r in verify.content_integrity(u.with_(contents=contents.limit(0))).collect()] == [ids.address(b"far")]
+    assert verify.content_integrity(u.with_(contents=None)).count() == 0
+
+
+def test_who_signs(spark):
+    nodes = {"a": ("entity/thing", 0, 1), "b": ("source/x", 1, 2), "c": ("source/x", 1, 2), "z": ("contribution/contributor", 0, 0)}
+    edges = [("b", "z", "contribution/contributor", {}), ("b", "a", "contribution/contributor", {}), ("c", "a", "derivation/a", {})]
+    u = claims(spark, nodes, edges)
+    assert {r.id: r.signer for r in verify.signers(u).collect()} == {"a": "a", "b": "z", "c": None, "z": "z"}
+    assert [r.id for r in verify.signed(u).collect()] == ["c"]
+
+
+def test_all_rules_are_one_pass(spark, mill, tmp_path):
+    """References are read twice, once for each one's forerunner; and the claims asked for are picked out before anything else."""
+    mill.nodes.write.parquet(f"{tmp_path}/nodes")
+    mill.edges.write.parquet(f"{tmp_path}/edges")
+    u = Universe(spark.read.schema(SCHEMAS["nodes"]).parquet(f"{tmp_path}/nodes"), spark.read.schema(SCHEMAS["edges"]).parquet(f"{tmp_path}/edges"))
+    rules = tuple(r for r in verify.RULES if r is not verify.key_window)  # expiries are read besides, by their type
+    plan = verify.violations(u, rules=rules)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("relation_direction") >= 1 and sum("Relation" in line and "edge_id" in line for line in plan.splitlines()) == 2
+    apart = {tuple(x) for r in rules for x in r(u).collect()}
+    assert {tuple(x) for x in verify.violations(u, rules=rules, first_only=False).collect()} == apart
+    assert {tuple(x) for x in verify.violations(u, rules=rules, first_only=False, within=one(spark, "ledger")).collect()} == {x for x in apart if x[0] == "ledger"}
+    order = {r.__name__: n for n, r in enumerate(rules)}
+    named = {verify.LABELS.get(n, n): k for n, k in order.items()}
+    firsts = {i: min((named[rule], rule) for j, rule, _ in apart if j == i)[1] for i, _, _ in apart}
+    assert {r.id: r.rule for r in verify.violations(u, rules=rules).collect()} == firsts
