@@ -21,16 +21,18 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import documents, unit_hash
+from claimweave.llm.common import documents, pieces, unit_hash
 
 ORDER = 4
 #: Labelled documents of each language in the sample, and the share of them that calibrates.
 SAMPLE, CALIBRATE = 500, 0.2
 MOST_LANGUAGES = 1024
-#: A language of fewer labelled documents is fitted on all of them, and calibrated on some of the same.
+#: A language of fewer labelled documents is fitted on all of them, and has no rejection bound.
 FEW = 50
-#: Words whose scores a task keeps.
-MEMO = 200_000
+#: Words whose scores a task keeps, and scores of windows that it computes at once.
+MEMO, CELLS = 200_000, 1 << 21
+#: Characters that are read at once.
+TEXT = 4 << 20
 #: The share of calibration documents of a language that its rejection bound accepts.
 ACCEPT = 0.995
 START, END = "\x02", "\x03"
@@ -80,14 +82,21 @@ class Model:
         return out
 
     def words(self, words: list[str]) -> np.ndarray:
-        """The summed log probabilities of each word."""
+        """The summed log probabilities of each word. Windows are taken in blocks, so that a long run of letters needs no more room than a block."""
         padded = [START * (ORDER - 1) + w + END for w in words]
         codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
-        each = self.windows(codes)
         ends = np.cumsum([len(p) for p in padded])
-        starts = np.concatenate([[0], ends[:-1]])
-        sums = np.concatenate([np.zeros((1, each.shape[1])), np.cumsum(each, axis=0)])
-        return sums[ends - ORDER + 1] - sums[starts]
+        out, block = np.zeros((len(words), len(self.languages))), max(1024, CELLS // len(self.languages))
+        for at in range(0, len(codes) - ORDER + 1, block):
+            each = self.windows(codes[at : at + block + ORDER - 1])
+            places = np.arange(at, at + len(each))
+            word = np.searchsorted(ends, places, "right")
+            inside = places + ORDER <= ends[word]  # a window that goes over a word's end belongs to none
+            word, each = word[inside], each[inside]
+            if len(word):
+                cuts = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1])
+                out[word[cuts]] += np.add.reduceat(each, cuts, axis=0)
+        return out
 
 
 def trained(counts: dict[str, Counter]) -> Model:
@@ -160,7 +169,22 @@ class Scorer:
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """For each text, the cross-entropy per character in each language, and its number of characters (0: no letter)."""
-        words = [self.find((x or "").lower()) for x in texts]
+        out, length = np.zeros((len(texts), self.scores.shape[1])), np.zeros(len(texts), np.int64)
+        held: list[tuple[int, str]] = []
+        size = 0
+        for k, text in enumerate(texts):  # some megabytes of text at a time, of one or of many
+            for piece in pieces(text or ""):
+                held.append((k, piece))
+                size += len(piece)
+                if size >= TEXT:
+                    self._add(held, out, length)
+                    held, size = [], 0
+        self._add(held, out, length)
+        return -out / np.maximum(length, 1)[:, None], length
+
+    def _add(self, parts: list[tuple[int, str]], out: np.ndarray, length: np.ndarray) -> None:
+        """Add the log probabilities and the characters of pieces to those of their texts."""
+        words = [self.find(piece.lower()) for _, piece in parts]
         new = list({w for own in words for w in own if w not in self.index})
         if len(self.index) + len(new) > MEMO:
             self.clear()
@@ -168,12 +192,11 @@ class Scorer:
         if new:
             self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
             self.scores = np.concatenate([self.scores, *(self.model.words(new[at : at + 8192]) for at in range(0, len(new), 8192))])
-        out, length = np.zeros((len(texts), self.scores.shape[1])), np.zeros(len(texts), np.int64)
-        for k, own in enumerate(words):
+        for (k, _), own in zip(parts, words, strict=True):
             if own:
-                length[k] = sum(map(len, own)) + len(own)
-                out[k] = -self.scores[list(map(self.index.__getitem__, own))].sum(axis=0) / length[k]
-        return out, length
+                length[k] += sum(map(len, own)) + len(own)
+                counts = Counter(own)
+                out[k] += np.fromiter(counts.values(), np.float64, len(counts)) @ self.scores[[self.index[w] for w in counts]]
 
 
 def probabilities(entropy: np.ndarray, temperature: float) -> np.ndarray:
@@ -193,7 +216,7 @@ def learn(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     rate = F.element_at(F.create_map(*(F.lit(x) for s in sizes for x in (s.lang, min(1.0, sample / s["count"])))), F.col("lang"))
     few = [s.lang for s in sizes if s["count"] < FEW]
     apart = unit_hash(F.col("doc_id"), F.lit("calibrate")) >= CALIBRATE
-    chosen = rows.where(unit_hash(F.col("doc_id")) < rate).withColumn("fit", apart | F.col("lang").isin(few)).withColumn("calibrate", ~apart)
+    chosen = rows.where(unit_hash(F.col("doc_id")) < rate).withColumn("fit", apart | F.col("lang").isin(few)).withColumn("calibrate", ~apart & ~F.col("lang").isin(few))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, held = regex.compile(WORD).findall, {}
@@ -245,10 +268,10 @@ def identified(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", tex
     """(doc_id, lang_pred, score, accepted) for each row. accepted: the entropy is within the language's bound."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model) if model else None)  # arrays and plain values: a broadcast is unpickled by name, and executors have no copy of this class
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = Model(**shared.value) if shared.value else None
         scorer = Scorer(model) if model else None
         for batch in batches:
             for at in range(0, batch.num_rows, 512):

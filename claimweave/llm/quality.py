@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import documents, stored, unit_hash
+from claimweave.llm.common import documents, pieces, stored, unit_hash
 from claimweave.llm.langid import fold
 
 #: Labelled rows in the sample, the share that calibrates, vocabulary words, classes of other words, classes of shapes, dimensions of a half.
@@ -45,8 +45,13 @@ def index_vector(word: str) -> np.ndarray:
 
 def shape(word: str) -> str:
     """Cases, digits and signs in their order, runs of one kind as one character."""
-    kinds = ["a" if c.islower() else "A" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word]
-    return "".join(k for i, k in enumerate(kinds) if not i or kinds[i - 1] != k)
+    out, last = [], ""
+    for c in word:
+        kind = "a" if c.islower() else "A" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c
+        if kind != last:
+            out.append(kind)
+            last = kind
+    return "".join(out)
 
 
 class Reader:
@@ -70,8 +75,9 @@ class Reader:
         return len(self.vocabulary) + xxhash.xxh32_intdigest(w[-3:].encode()) % OTHERS if k is None else k, xxhash.xxh32_intdigest(shape(word).encode()) % SHAPES
 
     def __call__(self, text: str | None) -> np.ndarray:
-        """The numbers of a text's words in body and form."""
+        """The numbers of the words of a text, or of a piece of one, in body and form. They hold until the next call."""
         words = self.words(text or "")
+        self.first, self.last = (words[0], words[-1]) if words else (None, None)
         new = {w for w in words if w not in self.seen}
         if new:
             if len(self.seen) + len(new) > MEMO:
@@ -83,6 +89,17 @@ class Reader:
         return np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
 
 
+def filled_lines(text: str) -> Iterator[str]:
+    """The lines of a text that are not blank, one at a time."""
+    at = 0
+    while at <= len(text):
+        end = text.find("\n", at)
+        line = text[at : len(text) if end < 0 else end]
+        if line.strip():
+            yield line
+        at = len(text) + 1 if end < 0 else end + 1
+
+
 @dataclass
 class Model:
     vocabulary: dict[str, int]
@@ -94,14 +111,23 @@ class Model:
     temperature: float = 1.0
 
     def pooled(self, reader: Reader, text: str | None) -> np.ndarray:
-        own = reader(text)
+        """The vector of a text, read in pieces: each adds counts of classes, so a long text needs no more room than a piece and a number for each line."""
+        bodies, forms, n, doubled, last = np.zeros(len(self.words), np.int64), np.zeros(SHAPES, np.int64), 0, 0, None
+        for piece in pieces(text or ""):
+            own = reader(piece)
+            if len(own):
+                bodies += np.bincount(reader.body[own], minlength=len(bodies))
+                forms += np.bincount(reader.form[own], minlength=SHAPES)
+                doubled += int((own[1:] == own[:-1]).sum()) + (reader.first == last)
+                n, last = n + len(own), reader.last
         out = np.zeros(2 * WIDTH)
-        if not len(own):
+        if not n:
             return out
-        lines = [x for x in text.split("\n") if x.strip()]
-        out[:WIDTH] = self.words[reader.body[own]].mean(axis=0)
-        out[WIDTH:] = (np.bincount(reader.form[own], minlength=SHAPES) @ self.shapes[:SHAPES] + (own[1:] == own[:-1]).sum() * self.shapes[SHAPES]) / len(own)
-        out[WIDTH:] += (1 - len(set(lines)) / len(lines)) * self.shapes[SHAPES + 1]
+        some = np.flatnonzero(bodies)
+        out[:WIDTH] = bodies[some] @ self.words[some] / n
+        out[WIDTH:] = (forms @ self.shapes[:SHAPES] + doubled * self.shapes[SHAPES]) / n
+        lines = np.fromiter(map(xxhash.xxh64_intdigest, filled_lines(text)), np.uint64)
+        out[WIDTH:] += (1 - len(np.unique(lines)) / len(lines)) * self.shapes[SHAPES + 1]
         return out
 
     def logits(self, x: np.ndarray) -> np.ndarray:
@@ -166,10 +192,11 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         reader, sums = Reader(vocabulary), np.zeros((width, WIDTH), np.float32)
         for batch in batches:
             for x in batch.column(0):
-                body = reader.body[k] if len(k := reader(x.as_py())) else np.zeros(0, np.int32)
-                for gap in range(1, WINDOW + 1):
-                    np.add.at(sums, body[gap:], own[body[:-gap]])
-                    np.add.at(sums, body[:-gap], own[body[gap:]])
+                for piece in pieces(x.as_py() or "", 1 << 16):  # neighbours across pieces do not count
+                    body = reader.body[k] if len(k := reader(piece)) else np.zeros(0, np.int32)
+                    for gap in range(1, WINDOW + 1):
+                        np.add.at(sums, body[gap:], own[body[:-gap]])
+                        np.add.at(sums, body[:-gap], own[body[gap:]])
         yield pa.RecordBatch.from_pydict({"sums": pa.array([sums.tobytes()], pa.binary())})
 
     sums = np.zeros((width, WIDTH))
@@ -197,10 +224,10 @@ def scored(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: s
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     if model is None:
         return rows.select("doc_id", F.lit(0.5).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # arrays and plain values: a broadcast is unpickled by name, and executors have no copy of this class
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = Model(**shared.value)
         reader = Reader(model.vocabulary)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
