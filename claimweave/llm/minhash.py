@@ -12,9 +12,9 @@
    the pivots missed is found, and no pair that is not one leaves the tile.
 
 Null and empty texts have an empty set and link with nothing. A text of fewer words than a shingle is one shingle. Rows that repeat a
-doc_id are one node of the graph. A row without a doc_id takes the component of the rows that have its set and an id; where none has one, it has
-no component. deduplicated() gives each row a key of its own, so there rows without an id and different texts of one id are nodes too.
-Extra columns are ignored.
+doc_id lie in one component: where their texts differ, rows are the nodes of the graph, and components that share an id are one. A row without a doc_id takes the component of
+the rows that have its set (where rows are nodes, of those it links with) and an id; where none has one, it has no component. deduplicated() gives each row a key of its own, so
+there rows without an id and different texts of one id are nodes too. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ HASHES, BANDS, ROWS, B_BITS = 128, 25, 5, 4
 MARGIN = 4.5
 #: Members of a bucket in a block: a tile holds two blocks at most.
 BLOCK = 512
+#: Bytes of full sets in a part of a tile, unless one set alone has more; and ids that are broadcast to pick texts, more are joined by a shuffle.
+TILE_BYTES, FEW_IDS = 64 << 20, 2_000_000
 
 MULTIPLIERS = np.array([key64("multiplier", k) | 1 for k in range(HASHES)], np.uint64)
 ADDENDS = np.array([key64("addend", k) for k in range(HASHES)], np.uint64)
@@ -144,11 +146,16 @@ def least_estimate(threshold: float) -> float:
     return threshold - MARGIN * math.sqrt(share * (1 - share) / HASHES) / (1 - chance)
 
 
+def _picked(docs: DataFrame, ids: DataFrame, doc_id: str) -> DataFrame:
+    """The rows of docs whose id stands in ids (_node). Texts stay where they are unless there are too many ids to broadcast."""
+    ids = stored(ids.distinct())
+    return docs.join(ids.hint("broadcast" if ids.count() <= FEW_IDS else "shuffle_hash"), F.col(f"`{doc_id}`").cast("long") == F.col("_node"), "left_semi")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, doc_id: str, text: str) -> DataFrame:
     """The pairs (u, v) whose full sets have 100 * intersection >= percent * union. Only texts that stand in a pair are cut to shingles."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("_node")).distinct()
-    wanted = docs.join(ids.hint("shuffle_hash"), F.col(f"`{doc_id}`").cast("long") == F.col("_node"), "left_semi")
-    full = stored(sets(wanted, doc_id, text).withColumn("n", F.size("members")))
+    wanted = _picked(docs, pairs.select(F.explode(F.array("u", "v")).alias("_node")), doc_id)
+    full = stored(sets(wanted, doc_id, text).dropDuplicates(["node", "members"]).withColumn("n", F.size("members")))
     one = pairs.join(full.select(F.col("node").alias("u"), F.col("members").alias("a"), F.col("n").alias("na")), "u")
     # a pair's sizes bound its similarity, before the other set is fetched
     near = one.join(full.select(F.col("node").alias("v"), F.col("n").alias("nb")), "v").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).drop("nb")
@@ -212,15 +219,29 @@ def _candidates(group: pa.Table, least: float, percent: int) -> Iterator[tuple[n
 
 
 def suspects(members: DataFrame, payload: DataFrame, least: float, percent: int) -> DataFrame:
-    """(tile, side, band, node): the rows of tiles that stand in a candidate pair. payload: node, component, sig, bands, n (the set's size); no set travels."""
+    """(tile, side, band, node): the rows of tiles that stand in a candidate pair, in parts whose full sets have TILE_BYTES. payload: node, component, sig, bands, n (the set's size); no set travels."""
+
+    def chunks(rows: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+        part = (np.cumsum(8 * size[rows]) - 8 * size[rows]) // (TILE_BYTES // 2)
+        return np.split(rows, np.flatnonzero(part[1:] != part[:-1]) + 1)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, "tile"):
             held = np.zeros(group.num_rows, bool)
             for u, v in _candidates(group, least, percent):
                 held[u] = held[v] = True
-            if held.any():
-                yield from group.select(["tile", "side", "band", "node"]).filter(pa.array(held)).to_batches()
+            if not held.any():
+                continue
+            tile, side, size, rows = group["tile"][0].as_py(), group["side"].to_numpy(), group["n"].to_numpy(), np.flatnonzero(held)
+            left = chunks(rows[side[rows] == 0], size)
+            right = chunks(rows[side[rows] == 1], size) if side[rows].any() else None
+            for i, a in enumerate(left):
+                for j, b in enumerate(left[i:] if right is None else right):
+                    alone = right is None and j == 0
+                    own = a if alone else np.concatenate([a, b])
+                    sides = np.repeat([0, 1], [len(a), len(own) - len(a)])
+                    name = tile if i == j == 0 else np.uint64(key64("part", tile, i, j)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), name, np.int64)), pa.array(sides, pa.int32()), *(group[c].take(pa.array(own)).combine_chunks() for c in ("band", "node"))], names=["tile", "side", "band", "node"])
 
     return tiles(_first_of_equals(members)).join(payload, "node").repartition("tile").sortWithinPartitions("tile").mapInArrow(look, "tile long, side int, band int, node long")
 
@@ -260,14 +281,26 @@ def across(rows: DataFrame, payload: DataFrame, least: float, percent: int) -> D
     return rows.join(payload, "node").repartition("tile").sortWithinPartitions("tile").mapInArrow(compare, "u long, v long")
 
 
+def _by_rows(docs: DataFrame, percent: int, doc_id: str, text: str) -> DataFrame:
+    """near_duplicates() with rows as nodes; components that share an id are one."""
+    rows = _numbered(docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")))
+    found = near_duplicates(rows, percent, "row").select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("c"))
+    found = stored(found.join(rows.select("row", F.col("doc.id").alias("doc_id")), "row"))
+    spread = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("c").alias("v"), F.max("c").alias("most")).where("v <> most").select("doc_id", "v")
+    links = found.join(spread, "doc_id").select(F.col("c").alias("u"), "v").where("u <> v").distinct()
+    groups = components(links).select(F.col("node").alias("c"), "component")
+    found = stored(found.join(groups, "c", "left").withColumn("c", F.coalesce("component", "c")))
+    labels = found.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    return found.join(labels, "c").select("doc_id", "n_shingles", "component_id").withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row; links have 100 * intersection >= percent * union. Ids may have any type that can be compared."""
     if not isinstance(docs.schema[doc_id].dataType, IntegralType):
-        rows = _numbered(docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")))
-        found = near_duplicates(rows, percent, "row").select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("c")).join(rows.select("row", F.col("doc.id").alias("doc_id")), "row")
-        labels = found.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-        return found.join(labels, "c").select("doc_id", "n_shingles", "component_id").withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        return _by_rows(docs, percent, doc_id, text)
     base = stored(signatures(docs, doc_id, text))
+    if not base.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce("digest", F.lit(b""))).alias("a"), F.max(F.coalesce("digest", F.lit(b""))).alias("b")).where("a <> b").isEmpty():
+        return _by_rows(docs, percent, doc_id, text)
     classes = stored(base.where("digest is not null").groupBy("digest").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "sig", "bands", F.col("n_shingles").alias("n")))).alias("m")).select("digest", F.col("m.doc_id").alias("node"), "m.sig", "m.bands", "m.n"))
     keys = classes.select(F.posexplode("bands").alias("band", "key"), "node")
     pivots = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("key", "node")).alias("pivot")).where("n > 1").drop("n")
@@ -290,7 +323,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     wanted = members.select("node", "component").distinct()
     light = stored(wanted.join(classes.select("node", "sig", "bands", "n").dropDuplicates(["node"]), "node"))
     rows = stored(suspects(members, light, least, percent))
-    near = docs.join(rows.select(F.col("node").alias("_node")).distinct(), F.col(f"`{doc_id}`").cast("long") == F.col("_node"), "left_semi")
+    near = _picked(docs, rows.select(F.col("node").alias("_node")), doc_id)
     payload = stored(sets(near, doc_id, text).dropDuplicates(["node"]).join(light.drop("n"), "node").withColumn("n", F.size("members").cast("long")))
     more = stored(across(rows, payload, least, percent))
     if not more.isEmpty():
