@@ -29,3 +29,4 @@ class LayerName(QueryError): ...
 class Inadmissible(ClaimError): ...
 class MalformedRecord(ClaimError, ValueError): ...
 class TimedOut(ClaimError): ...
+class Conflict(ClaimError): ...

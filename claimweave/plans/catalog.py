@@ -15,12 +15,13 @@ from claimweave.model import Universe
 from claimweave import errors
 from claimweave.functions import media, signatures, wire
 from claimweave.functions.ids import address_column, addressed
-from claimweave.operators import bookmarks, construct, lookup, merge, overlay, sync, tags, verification, verify
+from claimweave.operators import bookmarks, construct, lookup, membership, merge, overlay, sync, tags, verification, verify
 from claimweave.operators.closure import closure
 from claimweave.plans.engine import Archive, records
 from claimweave.plans.query import Content, Key, Output, Query, Step, Where, leaf
+from claimweave.sources import snapshots
 from claimweave.sources.starschema import ingested
-from claimweave.storage import stored
+from claimweave.storage import scratch, stored
 
 BASE_TEXT = "1990-01-01T00:00:00.000000000Z"
 LINE = "'lineitem:' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || strftime(l_shipdate, '%Y%m%d')"
@@ -628,6 +629,59 @@ def merge_contribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return branch.unionByName(cited).unionByName(table).unionByName(spark.createDataFrame([("again", "same", str(again).lower())], "part string, name string, type string"))
 
 
+@registered(sql("""SELECT 'citing' AS part, p AS name, CASE WHEN dst LIKE 'head:%' THEN dst ELSE 'order' END AS dst, count(*) AS n FROM (SELECT p, 'head:3-' || p AS dst FROM (SELECT DISTINCT o_orderpriority AS p FROM orders)
+    UNION ALL SELECT p, 'order:' || o_orderkey FROM orders JOIN (SELECT DISTINCT o_orderpriority AS p FROM orders) ON p <> o_orderpriority WHERE o_orderkey IN (SELECT min(o_orderkey) FROM orders GROUP BY o_orderpriority)) GROUP BY ALL
+    UNION ALL SELECT 'diff', NULL, 'table:3', 1 UNION ALL SELECT 'branches', NULL, NULL, count(DISTINCT o_orderpriority) FROM orders"""))
+def merge_into_all_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One contribution, each priority's first order, folded into every branch at once: a branch takes the orders that it does not reach."""
+    u, orders = ingested(spark, sf_dir), spark.read.parquet(f"{sf_dir}/orders.parquet")
+    first = orders.groupBy("o_orderpriority").agg(F.min("o_orderkey").alias("k")).select(F.concat(F.lit("order:"), "k").alias("id"), F.lit(HEAD).alias("table_id"))
+    offered = u.branches.where(F.col("table_id") == HEAD).join(first, "table_id").select("name", "id")
+    made = merge.merged(u, HEAD, offered, _contributor(u), "2031-01-01T00:00:00.000000000Z")
+    own = made.universe.branches.where(F.col("table_id") == made.id)
+    cited = own.join(made.new_edges.where("type = 'contribution/head'").select(F.col("src").alias("head"), "dst"), "head")
+    cited = cited.groupBy(F.lit("citing").alias("part"), "name", F.when(F.col("dst").like("head:%"), F.col("dst")).otherwise("order").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
+    diff = made.new_edges.where("type = 'contribution/diff'").select(F.lit("diff").alias("part"), F.lit(None).cast("string").alias("name"), "dst", F.lit(1).cast("long").alias("n"))
+    count = made.new_edges.where("type = 'contribution/branch'").agg(F.count(F.lit(1)).alias("n")).select(F.lit("branches").alias("part"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("dst"), "n")
+    return cited.unionByName(diff).unionByName(count)
+
+
+_FIRST_LAST = "(SELECT o_orderpriority AS p, min(o_orderkey) AS k FROM orders GROUP BY 1 UNION SELECT o_orderpriority, max(o_orderkey) FROM orders GROUP BY 1)"
+
+
+@registered(sql(f"""SELECT name, id FROM (SELECT p AS name, 'order:' || k AS id FROM {_FIRST_LAST} UNION SELECT p, 'customer:' || o_custkey FROM {_FIRST_LAST} JOIN orders ON o_orderkey = k
+    UNION SELECT p, 'nation:' || c_nationkey FROM {_FIRST_LAST} JOIN orders ON o_orderkey = k JOIN customer ON c_custkey = o_custkey UNION SELECT p, 'region:' || n_regionkey FROM {_FIRST_LAST} JOIN orders ON o_orderkey = k JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
+    UNION SELECT p, (SELECT min('contributor:' || source) FROM documents) FROM {_FIRST_LAST} UNION SELECT 'places', 'nation:3' UNION SELECT 'places', 'region:' || n_regionkey FROM nation WHERE n_nationkey = 3)
+    UNION ALL SELECT 'claims', CAST(count(*) AS VARCHAR) FROM nodes WHERE type IN ('entity/region', 'entity/nation', 'entity/customer', 'source/order', 'contribution/contributor') UNION ALL SELECT 'snapshots', '2'"""))
+def snapshot_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive on disk after two commits, the second one of two contributions that share claims with the first: what its branches hold, and how many claims it has."""
+    u, place = ingested(spark, sf_dir), snapshots.Store(spark, scratch(spark, "archive"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.col("o_orderpriority").alias("name")).agg(F.min("o_orderkey").alias("a"), F.max("o_orderkey").alias("b"))
+    ends = orders.select("name", F.explode(F.array("a", "b")).alias("k")).select("name", F.concat(F.lit("order:"), F.col("k").cast("string")).alias("id"))
+
+    def part(heads: DataFrame, *types: str) -> snapshots.Contribution:
+        nodes = u.nodes.where(F.col("type").isin(*types))
+        return snapshots.Contribution(nodes, u.edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi"), heads)
+
+    places = part(spark.createDataFrame([("places", "nation:3")], "name string, id string"), "entity/region", "entity/nation", "contribution/contributor")
+    people, bought = part(ends.limit(0), "entity/nation", "entity/customer"), part(ends, "entity/customer", "source/order")
+    place.commit([places], _contributor(u), "2031-01-01T00:00:00.000000000Z")
+    last = place.commit([people, bought], _contributor(u), "2032-01-01T00:00:00.000000000Z")
+    new = place.universe()
+    heads = new.branches.where(F.col("table_id") == last.head).select(F.lit("t").alias("table"), F.lit(0).cast("long").alias("height"), "name", "head")
+    held = tags.joined_at(heads, new.edges).select(F.substring("key", len(tags.PREFIX) + 1, 1 << 20).alias("name"), "id").join(u.nodes.select("id"), "id", "left_semi").select("name", "id")
+    count = new.nodes.where(~F.col("type").isin("contribution/head", "contribution/branches")).agg(F.count(F.lit(1)).cast("string").alias("id")).select(F.lit("claims").alias("name"), "id")
+    return held.unionByName(count).unionByName(spark.createDataFrame([("snapshots", str(last.number))], "name string, id string"))
+
+
+@registered("SELECT 'customer:' || c_custkey AS id, 'head:' || r || '-' || p AS head, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = p AND " + BUCKET + " <= r) AS member FROM (SELECT c_custkey, c_custkey % 3 + 1 AS r FROM customer), (SELECT DISTINCT o_orderpriority AS p FROM orders)")
+def membership_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each customer and each head of one of the three revisions, whether the head's closure holds the customer: no closure is walked."""
+    u = ingested(spark, sf_dir)
+    customers = u.nodes.where("type = 'entity/customer'").select("id", F.concat(F.lit("table:"), (F.substring("id", 10, 20).cast("long") % 3 + 1).cast("string")).alias("table_id"))
+    return membership.members(customers.join(u.branches, "table_id").select("id", "head"), u.nodes, u.edges)
+
+
 @registered("SELECT source AS hash, CAST(min(doc_id) AS BIGINT) AS first FROM documents WHERE source IS NOT NULL GROUP BY source")
 def distinct_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """External contents by their first appearance: here a document's content is named by its source."""

@@ -27,11 +27,17 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared folder, that goes with the application."""
+    context = spark.sparkContext
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """Cut the lineage by a Parquet table. Its size is known to the planner, so small ones are broadcast; it goes with the application."""
-    context = df.sparkSession.sparkContext
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "table")
     df.write.option("compression", compression).parquet(path)
-    place = context._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
     return df.sparkSession.read.schema(df.schema).parquet(path)
