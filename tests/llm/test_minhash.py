@@ -2,8 +2,6 @@
 
 import random
 
-import pytest
-
 from claimweave.llm import minhash
 
 
@@ -46,8 +44,7 @@ def edited(n, words, seed):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_ids_that_repeat_with_other_texts(spark, seed):
+def test_ids_that_repeat_with_other_texts(spark, seed=1):
     texts = edited(160, 300, seed)
     r = random.Random(seed + 100)
     other = [" ".join(f"y{r.randrange(10**9)}" for _ in range(300)) for _ in texts]
