@@ -47,11 +47,15 @@ class Universe:
     bookmarks: DataFrame | None = None
     raw: DataFrame | None = None
     max_height: int | None = None
+    bands: object | None = None  # references by height (operators.bands.Bands), by which closures are swept
+    reverse: DataFrame | None = None  # the references again, laid out by dst
     dangling: DataFrame | None = None  # (dst): what is referenced but not stored; found when it is first needed
 
     def with_(self, **changes) -> Universe:
         if {"nodes", "edges"} & changes.keys():
-            changes.setdefault("dangling", None)
+            changes = {"dangling": None, "bands": None} | changes
+        if "edges" in changes:
+            changes = {"reverse": None} | changes
         return replace(self, **changes)
 
     def gaps(self) -> DataFrame:

@@ -16,12 +16,18 @@ from claimweave.plans.query import CONNECTIONS, USES, Step
 UNROLL = 3
 
 
-def adjacency(edges: DataFrame, step: Step, scoped: DataFrame | None) -> DataFrame:
-    """(a, b): one hop of a step leads from a to b. scoped: the references that reverse hops may see."""
+def hop(level: DataFrame, edges: DataFrame, step: Step, inside: DataFrame | None, reverse: DataFrame | None = None) -> DataFrame:
+    """level with `b`, where one hop of a step leads from its id. inside: ids whose references reverse hops may see; arrivals are held against it, so that
+    references are neither shuffled nor read for it. reverse: the references laid out by dst, for reverse hops."""
     wanted = matches_types(F.col("type"), step.edges)
-    forward = edges.where(wanted).select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    backward = (edges if scoped is None else scoped).where(wanted).select(F.col("dst").alias("a"), F.col("src").alias("b"))
-    return {USES: backward, CONNECTIONS: forward.unionByName(backward)}.get(step.dir, forward)
+    along = lambda links, a, b: level.join(links.where(wanted).select(F.col(a).alias("a"), F.col(b).alias("b")), level["id"] == F.col("a")).drop("a")
+    parts = []
+    if step.dir != USES:
+        parts.append(along(edges, "src", "dst"))
+    if step.dir in (USES, CONNECTIONS):
+        back = along(edges if reverse is None else reverse, "dst", "src")
+        parts.append(back if inside is None else back.join(inside.select(F.col("id").alias("b")), "b", "left_semi").select(*back.columns))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def shortest(route: str = "route") -> Column:
@@ -34,7 +40,7 @@ def stamped(ids: DataFrame, nodes: DataFrame) -> DataFrame:
     return ids.select("id").distinct().join(nodes.select("id", "created_at_ns"), "id").select("id", F.array(F.struct("created_at_ns", "id")).alias("route"))
 
 
-def walk_step(frontier: DataFrame, step: Step, edges: DataFrame, nodes: DataFrame, scope: DataFrame | None, scoped: DataFrame | None, routes: bool = False, deadline: Deadline | None = None, dangling: DataFrame | None = None) -> DataFrame:
+def walk_step(frontier: DataFrame, step: Step, edges: DataFrame, nodes: DataFrame, scope: DataFrame | None, inside: DataFrame | None, routes: bool = False, deadline: Deadline | None = None, dangling: DataFrame | None = None, reverse: DataFrame | None = None) -> DataFrame:
     """The distinct claims that one step collects from a frontier (id, and route if routes).
 
     A claim is expanded once, at its breadth-first depth; it is collected on each arrival whose hop lies in the step's range, also when the
@@ -42,7 +48,6 @@ def walk_step(frontier: DataFrame, step: Step, edges: DataFrame, nodes: DataFram
     route is that of a claim's first arrival in the step, whichever hop collects it. dangling (dst): ids that are referenced but not stored; a walk that arrives
     at one is refused.
     """
-    hops = adjacency(edges, step, scoped)
     types = nodes.select("id", "type", *(["created_at_ns"] if routes else []))
     most = step.max or None
     lazy = 0 < step.max <= UNROLL and deadline is None
@@ -53,8 +58,8 @@ def walk_step(frontier: DataFrame, step: Step, edges: DataFrame, nodes: DataFram
 
     def advance(level: DataFrame) -> DataFrame:
         if not routes:
-            return level.select("id").join(hops, level["id"] == hops["a"]).select(F.col("b").alias("id")).distinct()
-        onward = level.join(hops, level["id"] == hops["a"]).select(F.col("b").alias("_b"), "route")
+            return hop(level.select("id"), edges, step, inside, reverse).select(F.col("b").alias("id")).distinct()
+        onward = hop(level, edges, step, inside, reverse).select(F.col("b").alias("_b"), "route")
         onward = onward.join(types.select(F.col("id").alias("_b"), "created_at_ns"), "_b", "inner" if dangling is None else "left").select(F.col("_b").alias("id"), F.concat("route", F.array(F.struct("created_at_ns", F.col("_b").alias("id")))).alias("route"))
         return onward.groupBy("id").agg(F.min_by("route", shortest()).alias("route"))
 
@@ -65,11 +70,11 @@ def walk_step(frontier: DataFrame, step: Step, edges: DataFrame, nodes: DataFram
         collected.append(start.withColumn("_hop", F.lit(0)))
     elif routes:
         first.append(start.withColumn("_hop", F.lit(0)).where(F.lit(False)))
-    for hop, arrivals in levels(start, advance, most, deadline, None if dangling is None else check, lazy):
+    for n, arrivals in levels(start, advance, most, deadline, None if dangling is None else check, lazy):
         if routes:
-            first.append(arrivals.withColumn("_hop", F.lit(hop)))
-        if hop >= step.least:
-            collected.append((arrivals if routes else arrivals.select("id")).withColumn("_hop", F.lit(hop)))
+            first.append(arrivals.withColumn("_hop", F.lit(n)))
+        if n >= step.least:
+            collected.append((arrivals if routes else arrivals.select("id")).withColumn("_hop", F.lit(n)))
     if not collected:
         return start.where(F.lit(False))
     out = collected[0]
@@ -88,17 +93,14 @@ def walk_step(frontier: DataFrame, step: Step, edges: DataFrame, nodes: DataFram
     return out if scope is None else out.join(scope.select("id"), "id", "left_semi")
 
 
-def walk(start: DataFrame, steps: Sequence[Step], edges: DataFrame, nodes: DataFrame, scope: DataFrame | None, inside: DataFrame | None, routes: bool = False, deadline: Deadline | None = None, dangling: DataFrame | None = None) -> DataFrame:
+def walk(start: DataFrame, steps: Sequence[Step], edges: DataFrame, nodes: DataFrame, scope: DataFrame | None, inside: DataFrame | None, routes: bool = False, deadline: Deadline | None = None, dangling: DataFrame | None = None, reverse: DataFrame | None = None) -> DataFrame:
     """All steps in turn: each starts from what the one before collected. inside: ids whose references reverse hops may see.
 
     Only the last step's output answers a query: where the deadline cuts an earlier one short, nothing is found.
     """
-    scoped = None
-    if inside is not None and any(s.dir in (USES, CONNECTIONS) for s in steps):
-        scoped = edges.join(inside.withColumnRenamed("id", "src"), "src", "left_semi")
     frontier = stamped(start, nodes) if routes else start.select("id").distinct()
     for i, step in enumerate(steps):
-        frontier = walk_step(frontier, step, edges, nodes, scope, scoped, routes, deadline, dangling)
+        frontier = walk_step(frontier, step, edges, nodes, scope, inside, routes, deadline, dangling, reverse)
         if deadline is not None and i < len(steps) - 1 and deadline.over():
             return frontier.where(F.lit(False))
     return frontier

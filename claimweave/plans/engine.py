@@ -12,6 +12,7 @@ from claimweave import errors
 from claimweave.functions import wire
 from claimweave.model import Universe
 from claimweave.operators import tags
+from claimweave.operators.bands import swept
 from claimweave.operators.closure import Deadline, closure
 from claimweave.operators.traverse import walk
 from claimweave.plans.predicate import filter_of, sort_columns
@@ -84,7 +85,8 @@ class Archive:
     def closure(self, head: str, deadline: Deadline | None = None, strict: bool = True) -> DataFrame:
         """The ids of a claim's closure: walked once for a snapshot. strict: it holds no reference to a claim that is not stored."""
         if head not in self._closures:
-            got = closure(self._id(self.required(head)), self.universe.edges, self.universe.max_height, deadline=deadline)
+            u, start = self.universe, self._id(self.required(head))
+            got = closure(start, u.edges, u.max_height, deadline=deadline) if u.bands is None else swept(start, u.bands, deadline)
             if deadline is not None and deadline.late:
                 return got  # cut short
             self._closures[head] = got
@@ -172,7 +174,7 @@ class Archive:
         inside = self.closure(scope_head if scope_head is not None else origin) if reverse else None
         for i, s in enumerate(q.path):
             report.say("debug", "step", f"{i}: {s.dir or 'provenance'} {s.least}..{s.max or ''}")
-        return walk(start, q.path, u.edges, u.nodes, scope, inside, q.output.shape == "path", deadline, self.gaps())
+        return walk(start, q.path, u.edges, u.nodes, scope, inside, q.output.shape == "path", deadline, self.gaps(), u.reverse)
 
     def query(self, q: Query) -> Result:
         """Evaluate a query: traverse, filter, sort, bound, shape.

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.model import Universe
+from claimweave.operators.bands import banded, linked
 from claimweave.storage import stored
 
 BASE = "1990-01-01 00:00:00"
@@ -128,5 +129,7 @@ def ingested(spark: SparkSession, sf_dir: str) -> Universe:
     if key not in _INGESTED:
         u = universe(spark, sf_dir, spine=True)
         u = u.with_(**{n: stored(getattr(u, n), "snappy") for n in ("nodes", "edges", "branches", "spine")})
-        _INGESTED[key] = u.with_(dangling=stored(u.gaps()))
+        links = linked(u.nodes, u.edges)
+        bands = banded(u.nodes, links)
+        _INGESTED[key] = u.with_(bands=bands, dangling=stored(bands.gaps()))
     return _INGESTED[key]

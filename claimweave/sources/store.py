@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import fields
 
@@ -17,7 +18,7 @@ def save(universe: Universe, path: str, shards: int | None = None) -> None:
     """Write every table that the universe has. shards: nodes and references by hash of the claim, so that their joins find like with like."""
     for f in fields(universe):
         rows = getattr(universe, f.name)
-        if isinstance(rows, DataFrame):
+        if isinstance(rows, DataFrame) and f.name != "reverse":
             key = {"nodes": "id", "edges": "src"}.get(f.name)
             (rows.repartition(shards, key) if shards and key else rows).write.mode("overwrite").parquet(f"{path}/{f.name}")
 
@@ -28,6 +29,33 @@ def load(spark: SparkSession, path: str, *tables: str) -> Universe:
     return Universe(**{t: read(t) for t in {"nodes", "edges", *tables}})
 
 
+def _named(path: str, table: str) -> str:
+    return f"claims_{hashlib.sha256(path.encode()).hexdigest()[:16]}_{table}"
+
+
+#: Bucketed copies: the table they are made of, and the column they are bucketed and sorted by. References lie there twice, once for each direction of a hop.
+BUCKETED = {"nodes": ("nodes", "id"), "edges": ("edges", "src"), "reverse": ("edges", "dst")}
+
+
+def save_bucketed(universe: Universe, path: str, buckets: int) -> Universe:
+    """Write nodes and references in buckets that the planner knows: hops and look-ups shuffle what they look for, not the tables. Returns them as open_bucketed() does."""
+    spark = universe.nodes.sparkSession
+    for table, (of, key) in BUCKETED.items():
+        name = _named(path, table)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        rows = getattr(universe, of).select(*(c.split()[0] for c in SCHEMAS[of].split(", ")))
+        # one task for each bucket, so that each is one file in order
+        rows.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", f"{path}/{table}").mode("overwrite").saveAsTable(name)
+    return open_bucketed(spark, path, buckets)
+
+
+def open_bucketed(spark: SparkSession, path: str, buckets: int) -> Universe:
+    """The tables of save_bucketed(), registered in this session's catalog where they are not yet."""
+    for table, (of, key) in BUCKETED.items():
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {_named(path, table)} ({SCHEMAS[of]}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}/{table}'")
+    return Universe(**{t: spark.table(_named(path, t)) for t in BUCKETED})
+
+
 def layered(*tiers: DataFrame, key: str = "id") -> DataFrame:
     """Rows of several stores; of a key that more than one holds, the row of the first."""
     out = tiers[0]
