@@ -48,8 +48,6 @@ RULES = (
 )
 #: The rules whose failure is the contract's base failure.
 BASE = ("few_words", "repeated_windows")
-#: Signs before a word's first letter or after its last one.
-EDGES = r"(?<![^\x20\x09-\x0D])[^\p{L}\x20\x09-\x0D]++|(?<=\p{L})[^\p{L}\x20\x09-\x0D]++(?![^\x20\x09-\x0D])"
 #: Words in a window whose second occurrence counts as repetition.
 WINDOW = 5
 
@@ -58,6 +56,12 @@ def _ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole)
 
 
+def _is_stop(word: Column, stops: list[str]) -> Column:
+    """Whether a word is a stop word in any case, with nothing but signs around it. Only words with something else than a-z at an end are searched for signs."""
+    plain = F.left(word, F.lit(1)).between("a", "z") & F.right(word, F.lit(1)).between("a", "z")
+    return F.lower(word).isin(stops) | (~plain & F.regexp_replace(F.lower(word), r"^[^\p{L}]++|[^\p{L}]++$", "").isin(stops))
+
+
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with a struct column `measures`. Each select stages what the next one uses more than once."""
     others = [F.col(f"`{c}`") for c in docs.columns if c != "measures"]
@@ -65,11 +69,10 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     trimmed = F.btrim(whole, F.lit(SPACES))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
-    folded = F.split(F.regexp_replace(F.lower(trimmed), EDGES, ""), r"[\x20\x09-\x0D]+")
     lines = F.filter(F.split(whole, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    step = docs.select(F.struct(*others).alias("_row"), words.alias("w"), lines.alias("l"), F.size(F.filter(folded, lambda x: x.isin(stops))).alias("n_stop"), F.length(F.regexp_replace(whole, r"[^#*$%&|<>]+", "")).alias("n_symbols"))
+    step = docs.select(F.struct(*others).alias("_row"), words.alias("w"), lines.alias("l"), F.length(F.regexp_replace(whole, r"[^#*$%&|<>]+", "")).alias("n_symbols"))
     step = step.select(
-        "_row", "w", "n_symbols", "n_stop", F.size("w").alias("n"), F.size("l").alias("n_lines"), (F.size("l") - F.size(F.array_distinct("l"))).alias("n_dup_lines"),
+        "_row", "w", "n_symbols", F.size(F.filter("w", lambda x: _is_stop(x, stops))).alias("n_stop"), F.size("w").alias("n"), F.size("l").alias("n_lines"), (F.size("l") - F.size(F.array_distinct("l"))).alias("n_dup_lines"),
         F.length(F.array_join("w", "")).alias("word_chars"),
         F.size(F.filter("w", lambda x: x.rlike(r"^\p{Lu}\p{Lu}+\P{L}*$"))).alias("n_capital"),
         F.size(F.filter("w", lambda x, i: x == F.get("w", i - 1))).alias("n_doubled"),

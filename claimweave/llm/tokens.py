@@ -7,6 +7,7 @@ one token each. Repeated rows are counted row by row; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 from collections import Counter
@@ -30,7 +31,7 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 
 class Splitter:
-    """A text's pre-tokens and the number of special strings in it, as the library splits it.
+    """A text's pre-tokens and the number of special strings in it, as the library splits it. Vocabularies of another split, or with a normalizer, leave both to the library.
 
     A compiled pattern splits texts whose characters all have a category in Python's Unicode tables. The pattern's engine has newer tables than
     the library, which take some other characters for letters or numbers; texts with such a character are split by the library.
@@ -42,8 +43,17 @@ class Splitter:
         self.find = regex.compile(SPLIT).findall
         self.cut = regex.compile("|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.known: set[str] = set()
+        plan = json.loads(self.library.to_str())
+        split = plan["pre_tokenizer"] or {}
+        self.published = plan["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
 
     def pieces(self, text: str) -> list[str]:
+        if not self.published:
+            if self.library.normalizer is not None:
+                text = self.library.normalizer.normalize_str(text)
+            if self.library.pre_tokenizer is None:
+                return [text] if text else []
+            return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
         if not text.isascii():
             new = set(text) - self.known
             if any(unicodedata.category(c) == "Cn" for c in new):
@@ -100,7 +110,8 @@ def token_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     table = stored(piece_counts(pretoken_counts(rows, path), path))
     hot, size = {}, 0
-    for x in table.where(F.length("piece") <= 64).orderBy(F.desc("n"), "piece").limit(hot_entries).select("piece", "n_pieces").toLocalIterator():
+    # the most frequent ones, however long: a line that all texts repeat would be a hot key of the join
+    for x in table.where(F.octet_length("piece") <= HOT_BYTES // 64).orderBy(F.desc("n"), "piece").limit(hot_entries).select("piece", "n_pieces").toLocalIterator():
         size += len(x.piece) * 2
         if size > HOT_BYTES:
             break

@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tokenizers
+from pyspark.sql import functions as F
 
 from claimweave.llm import packing, tokens
 
@@ -49,3 +50,19 @@ def test_packed_ids_equal_the_library(texts, ids):
     assert max(used.values()) <= 2048
     padded = sum(2048 - n for n in used.values() if n & (n - 1))
     assert padded < 0.03 * sum(used.values())
+
+
+def test_other_vocabularies_and_long_lines(spark):
+    """A vocabulary with a normalizer and another split is counted as the library does; and a line of many signs that all texts repeat stands in the hot table."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    texts = [None, "", "Hello, World! It's 2,024 naïve  cafés\n\n", "ÀÉ漢字 😀 x" * 3, "Cafe\u0301 THE the"]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(60).collect()]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in tokens.token_counts(frame, path).collect()}
+    assert got == {k: len(library.encode(t or "", add_special_tokens=False).ids) for k, t in enumerate(texts)}
+    bpe, line = public_tokenizers.path("byte_bpe_50k.json"), "=" * 3000
+    rows = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit(line + "\n"), F.col("id").cast("string")).alias("text"))
+    count = {r.doc_id: r.n_tokens for r in tokens.token_counts(rows, bpe).collect()}
+    library = tokenizers.Tokenizer.from_file(bpe)
+    assert all(count[k] == len(library.encode(f"{line}\n{k}", add_special_tokens=False).ids) for k in range(0, 300, 37))
