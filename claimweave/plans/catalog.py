@@ -866,6 +866,24 @@ def verify_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.signatures(u.with_(nodes=u.nodes.where("type in ('entity/nation', 'contribution/contributor')").withColumn("content", key), edges=edges, raw=raw))
 
 
+@registered("SELECT 'supplier:' || s_suppkey AS id, 'signature' AS rule, CASE WHEN s_suppkey % 10 = 3 THEN 'not an envelope' ELSE 'not the signer''s' END AS detail FROM supplier WHERE s_suppkey % 10 IN (3, 6) OR s_nationkey = 7")
+def verify_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as envelopes of their names, signed on the executors by the contributors of their nations: every tenth is cut, another tenth names another supplier than was signed, and one nation signs with another key
+    than its contributor states."""
+    u, suppliers = ingested(spark, sf_dir), spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    seed = lambda n: F.unhex(F.sha2(F.concat(F.lit("seed of "), n.cast("string")), 256))
+    key = F.col("s_suppkey") % 10
+    rows = suppliers.select("s_suppkey", "s_nationkey", seed(F.when(F.col("s_nationkey") == 7, -1).otherwise(F.col("s_nationkey"))).alias("seed"), F.encode("s_name", "UTF-8").alias("payload"))
+    raw = signatures.signed(rows, "seed", "payload")
+    # the last 70 bytes begin with the payload's end: a changed letter there is another name under the same signature
+    other = F.concat(F.expr("substring(envelope, 1, length(envelope) - 67)"), F.unhex(F.lit("5A")), F.expr("substring(envelope, length(envelope) - 65, 66)"))
+    raw = raw.select(F.concat(F.lit("supplier:"), "s_suppkey").alias("id"), F.when(key == 3, F.expr("substring(envelope, 1, length(envelope) - 1)")).when(key == 6, other).otherwise(F.col("envelope")).alias("envelope"))
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.lit("nation:"), "n_nationkey").alias("id"), seed(F.col("n_nationkey")).alias("seed"))
+    nodes = u.nodes.where("type in ('entity/nation', 'entity/supplier')").drop("content").join(signatures.keyed(nations, "seed").select("id", F.col("key").alias("content")), "id", "left").select(*u.nodes.columns)
+    edges = u.edges.where("src like 'supplier:%'").withColumn("type", F.lit("contribution/contributor"))
+    return verify.signatures(u.with_(nodes=nodes, edges=edges, raw=raw))
+
+
 _FROM_SCOPE = f"SELECT DISTINCT c_custkey, c_nationkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderpriority = '{SCOPE}' AND c_custkey % 2 = 1 AND c_nationkey % 10 = 7"
 
 
@@ -906,6 +924,85 @@ def construction_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return construct.refused(u.with_(nodes=nodes, edges=edges.drop("_copy")))
 
 
+@registered(sql("SELECT id, upper(hex(encode(id || '|' || type))) AS envelope, 'claim_envelope' AS kind FROM nodes WHERE type IN ('source/order', 'entity/customer') AND id IN (SELECT id FROM c)", reach("c", _ids(f"head:1-{SCOPE}"))))
+def envelope_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored envelopes of a branch's orders and customers, byte for byte."""
+    u = ingested(spark, sf_dir)
+    raw = u.nodes.select("id", F.encode(F.concat_ws("|", "id", "type"), "UTF-8").alias("envelope"))
+    q = Query("$universe", head=f"head:1-{SCOPE}", where=Where(any=(leaf("type", "eq", "source/order"), leaf("type", "eq", "entity/customer"))), output=Output(detail="envelope"))
+    return Archive(u.with_(raw=raw), HEAD).query(q).rows.select("id", F.hex("envelope").alias("envelope"), "kind")
+
+
+@registered("""WITH r AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, left(o_orderpriority, 1) AS name FROM orders)
+    SELECT 'order:' || o.o_orderkey AS id, p.name, 'part:' || p.o_orderkey AS dst FROM r o JOIN r p ON p.o_custkey = o.o_custkey AND p.k <= o.k
+    WHERE NOT EXISTS (SELECT 1 FROM r q WHERE q.o_custkey = o.o_custkey AND q.k > p.k AND q.k <= o.k AND (q.name = p.name OR (p.name = '1' AND q.name = '5')))""")
+def overlay_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named references along the chains of a customer's orders: each order names one by its priority, over those it inherits; low ones omit what is named 1."""
+    orders, u = spark.read.parquet(f"{sf_dir}/orders.parquet"), revisions(spark, sf_dir)
+    id_, name = F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")), F.left("o_orderpriority", F.lit(1))
+    omit = F.map_filter(F.create_map(F.lit("edges_diff_omit"), F.when(name == "5", "1")), lambda k, v: v.isNotNull())
+    own = orders.select(id_.alias("src"), F.concat(F.lit("part:"), F.col("o_orderkey").cast("string")).alias("dst"), F.lit("derivation/part").alias("type"), F.create_map(F.lit("name"), name).alias("fields"))
+    edges = own.unionByName(u.edges.withColumn("fields", F.create_map().cast("map<string,string>")))
+    out = overlay.materialised_edges(orders.select(id_.alias("id"), omit.alias("fields")), edges)
+    return out.where("type = 'derivation/part'").select(F.col("src").alias("id"), F.col("fields").getField("name").alias("name"), "dst")
+
+
+@registered("""SELECT 'customer:' || c_custkey AS id, 'segment' AS key, c_mktsegment AS value FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT 'customer:' || c_custkey, 'nation', CAST(c_nationkey AS VARCHAR) FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 2 <> 0
+    UNION ALL SELECT 'customer:' || c_custkey, 'segment_old', c_mktsegment FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT 'customer:' || c_custkey, 'nation', 'moved' FROM customer WHERE c_custkey % 6 = 0""")
+def tags_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of every third customer set anew: those whose key a pattern matches are cleared, others are put over those of the same key."""
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").withColumn("id", F.concat(F.lit("customer:"), "c_custkey"))
+    held = customer.select("id", F.lit("segment").alias("key"), F.col("c_mktsegment").alias("value")).unionByName(customer.select("id", F.lit("nation").alias("key"), F.col("c_nationkey").cast("string").alias("value")))
+    third = customer.where("c_custkey % 3 = 0")
+    pairs = third.select("id", F.lit("segment_old").alias("key"), F.col("c_mktsegment").alias("value")).unionByName(third.where("c_custkey % 2 = 0").select("id", F.lit("nation").alias("key"), F.lit("moved").alias("value")))
+    return tags.replaced(held, third.select("id"), ("seg*",), pairs)
+
+
+@registered("SELECT 'order:' || o_orderkey AS id, o_orderkey AS revision FROM orders WHERE o_orderkey < (SELECT max(o_orderkey) // 2 FROM orders) UNION ALL SELECT 'customer:' || c_custkey, (SELECT max(o_orderkey) // 2 FROM orders) + c_custkey - (SELECT min(c_custkey) FROM customer) FROM customer")
+def spine_spliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A spine of orders, from its middle on replaced by one of customers."""
+    orders, customer = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer"))
+    middle = orders.agg(F.floor(F.max("o_orderkey") / 2).alias("middle"))
+    old = orders.select(F.concat(F.lit("order:"), "o_orderkey").alias("id"), F.col("o_orderkey").alias("revision"))
+    first = customer.agg(F.min("c_custkey").alias("first"))
+    new = customer.join(F.broadcast(first.join(F.broadcast(middle))), F.lit(True)).select(F.concat(F.lit("customer:"), "c_custkey").alias("id"), (F.col("middle") + F.col("c_custkey") - F.col("first")).alias("revision"))  # one row of two numbers
+    return tags.spliced(old, new)
+
+
+def _two_stores(spark: SparkSession, sf_dir: str) -> tuple[Universe, Universe]:
+    """Documents with their texts as contents, and a store that holds every second document's claim, no label, and every third text."""
+    u, docs = ingested(spark, sf_dir), spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    own = addressed(docs.select(F.concat(F.lit("doc:"), "doc_id").alias("id"), "doc_id", F.encode("text", "UTF-8").alias("bytes")), "bytes")
+    nodes = u.nodes.join(own.select("id", F.col("address").alias("_hash")), "id", "left").withColumn("content_hash", F.col("_hash")).select(*u.nodes.columns)
+    contents = own.select(F.col("address").alias("hash"), "bytes").dropDuplicates(["hash"])
+    source = u.with_(nodes=nodes, contents=contents)
+    even = nodes.where("type <> 'derivation/label' and (type <> 'source/document' or cast(substring(id, 5) as long) % 2 = 0)")
+    target = u.with_(nodes=even, edges=u.edges.join(even.select(F.col("id").alias("src")), "src", "left_semi"), contents=contents.join(own.where("doc_id % 3 = 0").select(F.col("address").alias("hash")).distinct(), "hash", "left_semi"))
+    return source, target
+
+
+@registered("SELECT lang, count(DISTINCT text) AS n, CAST(sum(DISTINCT strlen(text)) AS BIGINT) AS distinct_sizes FROM documents WHERE text IS NOT NULL AND text NOT IN (SELECT text FROM documents WHERE text IS NOT NULL AND doc_id % 3 = 0) GROUP BY lang")
+def copy_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents that a store lacks, by the languages of the documents that have them."""
+    source, target = _two_stores(spark, sf_dir)
+    lacking = sync.missing_contents(source.contents, target.contents).select("hash", F.length("bytes").alias("size"))
+    lang = source.nodes.where("content_hash is not null").select(F.col("content_hash").alias("hash"), F.try_element_at("fields", F.lit("lang")).alias("lang")).distinct()
+    return lacking.join(lang, "hash").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum_distinct("size").cast("long").alias("distinct_sizes"))
+
+
+@registered("""WITH had AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL AND doc_id % 3 = 0), d AS (SELECT DISTINCT doc_id, text FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL)
+    SELECT 'doc:' || doc_id AS id, doc_id % 2 = 1 AS new_claim, text NOT IN (SELECT text FROM had) AS new_content FROM d WHERE text IN (SELECT text FROM had UNION SELECT text FROM d WHERE doc_id % 2 = 1)""")
+def sync_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store gets the closures of all labels, with the contents of the claims that it did not hold: the documents whose content it has now, and what of them is new."""
+    source, target = _two_stores(spark, sf_dir)
+    out = sync.copy_closure(source, target, source.nodes.where("type = 'derivation/label'").select("id"), contents=True)
+    held = source.nodes.where("type = 'derivation/label'").join(source.edges.select("src", "dst"), F.col("id") == F.col("src")).select(F.col("dst").alias("id"))
+    now = out.nodes.where("content_hash is not null").join(held, "id", "left_semi").select("id", F.col("content_hash").alias("hash")).join(out.contents.select("hash"), "hash")
+    was = target.nodes.select("id", F.lit(False).alias("new_claim"))
+    had = target.contents.select("hash", F.lit(False).alias("new_content"))
+    return now.join(was, "id", "left").join(had, "hash", "left").select("id", F.coalesce("new_claim", F.lit(True)).alias("new_claim"), F.coalesce("new_content", F.lit(True)).alias("new_content"))
+
+
 @registered("SELECT p.name FROM (VALUES ('1-URGENT'), ('new'), ('made')) p(name) WHERE p.name <> 'made' AND p.name NOT IN (SELECT o_orderpriority FROM orders)")
 def admit_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Branches that a contribution may not write: the archive has one of three, and another may be made."""

@@ -228,3 +228,41 @@ def test_all_rules_are_one_pass(spark, mill, tmp_path):
     named = {verify.LABELS.get(n, n): k for n, k in order.items()}
     firsts = {i: min((named[rule], rule) for j, rule, _ in apart if j == i)[1] for i, _, _ in apart}
     assert {r.id: r.rule for r in verify.violations(u, rules=rules).collect()} == firsts
+
+
+def test_signatures_in_batches():
+    """Many at once as one by one: several signers, forged ones, repeats, points that are none, and pairs whose parts of small order cancel in a sum."""
+    seeds = [bytes([k]) * 32 for k in range(3)]
+    keys = [signatures.public_key(s) for s in seeds]
+    rows = [(keys[k % 3], b"m%d" % k, signatures.sign(seeds[k % 3], b"m%d" % k)) for k in range(40)]
+    rows[5] = (keys[1], b"m5", rows[5][2])  # another's
+    rows[11] = (rows[11][0], b"else", rows[11][2])
+    rows[12] = (rows[12][0], rows[12][1], rows[12][2][:32] + bytes(32))
+    rows[13] = (rows[13][0], rows[13][1], b"\xff" * 32 + rows[13][2][32:])
+    rows[14] = (b"short", b"", b"")
+    rows[15] = rows[16]
+    small = (0, signatures.FIELD - 1, 1)  # of order two
+    for k in (20, 21):
+        scalar, prefix = signatures._secret(seeds[0])
+        nonce = signatures._number(prefix, b"n%d" % k) % signatures.ORDER
+        first = signatures._bytes(signatures._add(signatures._times(nonce, signatures.BASE), small))
+        second = (nonce + signatures._number(first, keys[0], b"n%d" % k) * scalar) % signatures.ORDER
+        rows[k] = (keys[0], b"n%d" % k, first + second.to_bytes(32, "little"))
+    mixed = signatures._bytes(signatures._add(signatures._point(keys[2]), small))  # a key with a part of small order is checked row by row
+    rows[30] = (mixed, rows[30][1], rows[30][2])
+    want = [signatures.authentic(*r) for r in rows]
+    assert signatures.authentic_all(rows) == want and [k for k, good in enumerate(want) if not good] == [5, 11, 12, 13, 14, 20, 21, 30]
+    assert signatures.authentic_all([]) == [] and signatures.authentic_all(rows[:1]) == [True]
+
+
+def test_a_batch_is_five_times_as_fast():
+    import time
+
+    seed = b"a seed of 32 bytes for this test."[:32]
+    key = signatures.public_key(seed)
+    rows = [(key, b"%d" % k, signatures.sign(seed, b"%d" % k)) for k in range(400)]
+    at = time.process_time()
+    assert all(signatures.authentic(*r) for r in rows[:40])
+    alone, at = (time.process_time() - at) / 40, time.process_time()
+    assert all(signatures.authentic_all(rows))
+    assert 5 * (time.process_time() - at) / 400 < alone
