@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from claimweave.functions import edtf
 from claimweave.model import Universe
 from claimweave import errors
-from claimweave.functions import media, signatures, wire
+from claimweave.functions import ids, media, signatures, wire
 from claimweave.functions.ids import address_column, addressed
 from claimweave.operators import bookmarks, construct, lookup, membership, merge, overlay, sync, tags, verification, verify
 from claimweave.operators.closure import closure
 from claimweave.plans.engine import Archive, records
 from claimweave.plans.query import Content, Key, Output, Query, Step, Where, leaf
-from claimweave.sources import snapshots
+from claimweave.sources import contributions, snapshots
 from claimweave.sources.starschema import ingested
 from claimweave.storage import scratch, stored
 
@@ -646,6 +646,38 @@ def merge_into_all_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cited.unionByName(diff).unionByName(count)
 
 
+@registered("""WITH d AS (SELECT doc_id, lang, text, doc_id // 50 AS s, (doc_id // 50) % 9 AS f FROM documents WHERE text IS NOT NULL), g AS (SELECT s, f FROM d GROUP BY s, f), ok AS (SELECT * FROM d WHERE f NOT IN (1, 2, 3))
+    SELECT 'stream ' || g.s AS name, CASE f WHEN 1 THEN 'other bytes than the address names' WHEN 2 THEN 'a branch that is not declared' WHEN 3 THEN 'not a CBOR sequence' ELSE 'none' END AS fault, CAST((SELECT count(*) FROM ok WHERE ok.s = g.s) AS BIGINT) AS n FROM g
+    UNION ALL SELECT 'claims in ' || COALESCE(lang, 'und'), 'none', count(DISTINCT doc_id) FROM ok GROUP BY lang UNION ALL SELECT 'content bytes', 'none', CAST(sum(n) AS BIGINT) FROM (SELECT strlen(text) AS n FROM ok GROUP BY text)""")
+def contribution_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as streams of fifty, each a claim and its text as content: what streams without a fault bring, and where the others end. Some have changed bytes, some name a branch that they did not declare, some are cut."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").select("doc_id", F.floor(F.col("doc_id") / 50).cast("long").alias("s"), F.coalesce("lang", F.lit("und")).alias("lang"), "text")
+
+    def write(batches):
+        import itertools
+
+        import pyarrow as pa
+
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for s, own in itertools.groupby(rows, key=lambda row: row[1]):
+            parts, kind = [contributions.declaring(["docs"], ["$universe"])], s % 9
+            for doc, _, lang, text in own:
+                body = text.encode()
+                node = {"type": "source/document", "type_class": "source", "type_sub": "document", "created_at": BASE_TEXT, "height": 0, "encoding": "text/plain", "content_hash": ids.address(body), "content_size": len(body), "fields": {"lang": lang, "number": str(doc)}}
+                content = contributions.content_record(body)
+                parts += [contributions.claim_record(wire.encode_claim(node, []), "other" if kind == 2 else "docs"), content[:-1] + bytes([content[-1] ^ 1]) if kind == 1 and body else content]
+            stream = b"".join(parts)
+            yield pa.RecordBatch.from_pydict({"path": pa.array([f"stream {s}"]), "content": pa.array([stream[:-1] if kind == 3 else stream], pa.binary())})
+
+    files = docs.repartition("s").sortWithinPartitions("s", "doc_id").mapInArrow(write, "path string, content binary")
+    got = contributions.taken(files)
+    per = got.claims().groupBy(F.col("path").alias("name")).agg(F.count(F.lit(1)).alias("n")).withColumn("fault", F.lit("none"))
+    broken = got.faults.select(F.col("path").alias("name"), "fault", F.lit(0).cast("long").alias("n"))
+    langs = got.nodes().groupBy(F.concat(F.lit("claims in "), F.col("fields").getField("lang")).alias("name")).agg(F.count(F.lit(1)).alias("n")).withColumn("fault", F.lit("none"))
+    size = got.contents().agg(F.sum(F.length("bytes")).cast("long").alias("n")).select(F.lit("content bytes").alias("name"), F.lit("none").alias("fault"), "n")
+    return per.select("name", "fault", "n").unionByName(broken).unionByName(langs.select("name", "fault", "n")).unionByName(size)
+
+
 _FIRST_LAST = "(SELECT o_orderpriority AS p, min(o_orderkey) AS k FROM orders GROUP BY 1 UNION SELECT o_orderpriority, max(o_orderkey) FROM orders GROUP BY 1)"
 
 

@@ -4,9 +4,9 @@ import json
 
 from pyspark.sql import functions as F
 
-from claimweave.functions import cbor
+from claimweave.functions import cbor, ids, wire
 from claimweave.model import SCHEMAS, Universe
-from claimweave.sources import store
+from claimweave.sources import contributions, snapshots, store
 from claimweave.streaming import ingest
 
 
@@ -36,3 +36,36 @@ def test_stream_appends_once(spark, tmp_path):
     counted = ingest.arrivals(ingest.json_claims(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("arrivals").outputMode("complete").trigger(availableNow=True).start()
     counted.awaitTermination()
     assert spark.table("arrivals").agg(F.sum("n")).first()[0] == 3
+
+
+def test_contribution_streams(spark, tmp_path):
+    """Streams as files: what good ones bring, where others end, and a commit of what was taken."""
+    node = lambda name, height: {"type": "contribution/contributor" if name == "eve" else "source/x", "type_class": "contribution" if name == "eve" else "source", "type_sub": "contributor" if name == "eve" else "x", "created_at": "2026-01-01T00:00:00.000000000Z", "height": height, "fields": {"name": name}}
+    edge = lambda dst: {"type": "derivation/x", "type_class": "derivation", "type_sub": "x", "reference": dst, "fields": {}, "relation_direction": 0}
+    eve = wire.encode_claim(node("eve", 0), [])
+    low = wire.encode_claim(node("low", 0), [])
+    high = wire.encode_claim(node("high", 1), [edge(ids.address(low))])
+    head, claim, content = contributions.declaring(["main", "side"], ["$archive"]), contributions.claim_record, contributions.content_record
+    good = head + claim(low, "main") + claim(high, "main") + content(b"body") + content(b"")
+    streams = {
+        "good": good, "more": contributions.declaring(["side"], ["$archive"]) + claim(eve, "side") + claim(low, "side") + content(b"body"), "empty": b"", "declared": head,
+        "cut": good[:-3], "late": good + head, "bare": claim(low, "main"), "half": cbor.encode([wire.BRANCHES, ["main"]]) + claim(low, "main"), "other": head + claim(low, "third"), "kind": head + cbor.encode([9, b"x", b"y"]), "list": head + cbor.encode({1: 2}),
+        "spoiled": head + content(b"body")[:-1] + b"z", "short": head + cbor.encode([wire.CLAIM, b"x"]), "junk": head + cbor.encode([wire.CLAIM, wire.id_bytes(ids.address(b"j")), b"j", "main"]), "unbranched": head + claim(low, "main")[:1].replace(b"\x84", b"\x83") + claim(low, "main")[1:-5], "undeclared list": cbor.encode([wire.BRANCHES, "main"]),
+    }
+    (tmp_path / "in").mkdir()
+    for name, data in streams.items():
+        (tmp_path / "in" / name).write_bytes(data)
+    got = contributions.open_streams(spark, f"{tmp_path}/in")
+    faults = {r.path.rsplit("/", 1)[1].replace("%20", " "): r.fault for r in got.faults.collect()}
+    assert faults == {
+        "cut": "not a CBOR sequence", "late": "a declaration after the payload", "bare": "no declarations", "half": "no declarations", "other": "a branch that is not declared", "kind": "kind 9", "list": "a record is a list that begins with its kind", "spoiled": "other bytes than the address names",
+        "short": "a record without its parts", "junk": "not a claim's record", "unbranched": "a claim without a branch", "undeclared list": "a declaration without its list",
+    }
+    assert {r.fields["name"] for r in got.nodes().collect()} == {"eve", "low", "high"} and got.nodes().count() == 3 and got.edges().count() == 1
+    assert {bytes(r.bytes) for r in got.contents().collect()} == {b"body", b""}
+    assert {tuple(r) for r in got.heads().collect()} == {("main", ids.address(high)), ("side", ids.address(eve))}
+    assert {(r.path.rsplit("/", 1)[1], r.name, tuple(r.names)) for r in got.declarations().collect()} == {("good", "branches", ("main", "side")), ("good", "referencable", ("$archive",)), ("more", "branches", ("side",)), ("more", "referencable", ("$archive",))}
+    store_ = snapshots.Store(spark, f"{tmp_path}/archive")
+    last = store_.commit([got.contribution()], ids.address(eve), "2027-01-01T00:00:00.000000000Z")
+    assert {r.name: r.head for r in store_.universe().branches.where(F.col("table_id") == last.head).collect()} == {"main": ids.address(high), "side": ids.address(eve)}
+    assert contributions.taken(spark.createDataFrame([], "path string, content binary")).nodes().count() == 0
