@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.errors import IntegrityError
-from claimweave.operators.closure import Deadline
+from claimweave.operators.closure import Deadline, in_time
 from claimweave.storage import scratch
 
 #: References that one task walks.
@@ -120,7 +120,7 @@ def _walked(known: DataFrame, references: DataFrame, band: int) -> DataFrame:
 
 
 def swept(start: DataFrame, bands: Bands, deadline: Deadline | None = None) -> DataFrame:
-    """(id): the closure of start (id), start included, as a stored table. deadline: the sweep ends with whole bands once it is over."""
+    """(id): the closure of start (id), start included, as a stored table. deadline: once it is over, the band at work is given up, and the sweep ends with those before."""
     spark = bands.spark
 
     def put(rows: DataFrame) -> str:
@@ -147,7 +147,9 @@ def swept(start: DataFrame, bands: Bands, deadline: Deadline | None = None) -> D
                 rows = rows.unionByName(_walked(known, references, band))
             else:
                 rows = rows.unionByName(known.distinct().join(references, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), F.col("dst_band").alias("band")))
-        path = put(rows)
+        path = in_time(deadline, spark, lambda rows=rows: put(rows))
+        if path is None:
+            break
         own = _folders(spark, path)
         own.discard(band)
         arrived[path] = own

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import threading
 import time
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.storage import stored
 
+
 class Deadline:
     """A time that bounds a walk. late: whether a walk was cut short by it."""
 
@@ -20,12 +23,40 @@ class Deadline:
         self.late = self.late or time.monotonic() > self.at
         return self.late
 
+    def run(self, spark: SparkSession, work: Callable[[], DataFrame]) -> DataFrame | None:
+        """What work returns; None where the time is over first. Its jobs bear a tag and are cancelled then, whatever they are at; other jobs of the session go on."""
+        context, tag, done = spark.sparkContext, f"deadline-{uuid.uuid4().hex}", threading.Event()
+
+        def watch() -> None:
+            done.wait(max(0.0, self.at - time.monotonic()))
+            while not done.is_set():  # again and again: work may be between two jobs
+                context.cancelJobsWithTag(tag)
+                done.wait(0.1)
+
+        context.addJobTag(tag)
+        watcher = threading.Thread(target=watch, daemon=True)
+        watcher.start()
+        try:
+            return work()
+        except Exception:
+            if not self.over():
+                raise
+            return None
+        finally:
+            done.set()
+            watcher.join()
+            context.removeJobTag(tag)
+
+
+def in_time(deadline: Deadline | None, spark: SparkSession, work: Callable[[], DataFrame]) -> DataFrame | None:
+    return work() if deadline is None else deadline.run(spark, work)
+
 
 def closure(start: DataFrame, edges: DataFrame, depth: int | None = None, stop_at: DataFrame | None = None, deadline: Deadline | None = None) -> DataFrame:
     """Distinct ids reachable from start (a column id), start included, along edges src -> dst.
 
     depth: the longest chain of references, if known; the plan then has no action of its own. stop_at: ids whose references are known to be
-    covered: they are neither returned nor walked through. deadline: the walk ends with what it has once it is over.
+    covered: they are neither returned nor walked through. deadline: once it is over, the level at work is given up, and the walk ends with those before.
     """
     level = start.select("id").distinct()
     links = edges.select("src", "dst")
@@ -40,8 +71,8 @@ def closure(start: DataFrame, edges: DataFrame, depth: int | None = None, stop_a
     # levels are tables whose size the planner knows: small ones are broadcast, and the references need no shuffle
     level = seen = stored(level)
     while True:
-        level = stored(level.join(links, level["id"] == links["src"]).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti"))
-        if level.isEmpty():
+        level = in_time(deadline, start.sparkSession, lambda level=level, seen=seen: stored(level.join(links, level["id"] == links["src"]).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")))
+        if level is None or level.isEmpty():
             return seen
         seen = seen.unionByName(level)
         if deadline is not None and deadline.over():
@@ -57,10 +88,11 @@ def levels(level: DataFrame, advance: Callable[[DataFrame], DataFrame], most: in
     seen = level.select("id").distinct()
     hop = 0
     while most is None or hop < most:
-        arrivals = advance(level)
-        if not lazy:
-            arrivals = stored(arrivals)
-            if arrivals.isEmpty():
+        if lazy:
+            arrivals = advance(level)
+        else:
+            arrivals = in_time(deadline, seen.sparkSession, lambda level=level: stored(advance(level)))
+            if arrivals is None or arrivals.isEmpty():
                 return
         if check is not None:
             check(arrivals)
@@ -71,5 +103,7 @@ def levels(level: DataFrame, advance: Callable[[DataFrame], DataFrame], most: in
                 return
             level = arrivals.join(seen, "id", "left_anti").dropDuplicates(["id"])
             if not lazy:
-                level = stored(level)
+                level = in_time(deadline, seen.sparkSession, lambda level=level: stored(level))
+                if level is None:
+                    return
             seen = seen.unionByName(level.select("id"))

@@ -1,6 +1,8 @@
 """Closures by height bands, and tables laid out in buckets."""
 
 import random
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 from claimweave.errors import IntegrityError
 from claimweave.model import SCHEMAS, Universe
 from claimweave.operators import bands
-from claimweave.operators.closure import closure
+from claimweave.operators.closure import Deadline, closure
 from claimweave.operators.traverse import walk_step
 from claimweave.plans.query import Step
 from claimweave.sources import store
@@ -103,3 +105,49 @@ def test_hops_without_a_shuffle_of_references(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_time_limits_interrupt_a_level(spark):
+    """The second level takes minutes: the walk ends soon after its limit with the first, and another job of the session goes on."""
+
+    def slow(batches):
+        for batch in batches:
+            if "b" in batch.column(0).to_pylist():
+                time.sleep(120)
+            yield batch
+
+    fast = spark.createDataFrame([("a", "b")], "src string, dst string")
+    late = spark.createDataFrame([("b", "c")], "src string, dst string").mapInArrow(slow, "src string, dst string")
+    start, other = spark.createDataFrame([("a",)], "id string"), []
+
+    def meanwhile():
+        def wait(batches):
+            for batch in batches:
+                time.sleep(8)
+                yield batch
+
+        other.append(spark.range(1).mapInArrow(wait, "id long").count())
+
+    assert closure(start, fast).count() == 2  # the session is warm
+    thread = threading.Thread(target=meanwhile)
+    thread.start()
+    deadline, began = Deadline(5), time.monotonic()
+    found = closure(start, fast.unionByName(late), deadline=deadline)
+    assert time.monotonic() - began < 5 + 3 and deadline.late
+    assert [r.id for r in found.collect()] == ["a"]  # every level scans all references here, so the first one was given up
+    thread.join()
+    assert other == [1]
+    whole = Deadline(60)
+    assert {r.id for r in closure(start, fast, deadline=whole).collect()} == {"a", "b"} and not whole.late
+    broken = fast.select(F.raise_error(F.lit("broken")).cast("string").alias("src"), "dst")
+    with pytest.raises(Exception, match="broken"):
+        closure(start, broken, deadline=Deadline(60))
+
+
+def test_a_sweep_in_time(spark):
+    nodes, edges = graph(spark, [("a", "b"), ("b", "c")], {"a": 2, "b": 1, "c": 0})
+    made = bands.banded(nodes, bands.linked(nodes, edges), 0)
+    start, past = spark.createDataFrame([("a",)], "id string"), Deadline(60)
+    assert bands.swept(start, made, past).count() == 3 and not past.late
+    past.at = 0
+    assert bands.swept(start, made, past).count() < 3 and past.late
