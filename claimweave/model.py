@@ -21,6 +21,7 @@ SCHEMAS = {
     "nodes": "id string, type string, type_class string, type_sub string, encoding string, content binary, content_hash string, content_size long, created_at string, created_at_ns long, dated string, dated_mid_ms long, height long, fields map<string,string>, contributor string",
     "edges": "src string, edge_id string, ord int, dst string, type string, type_class string, type_sub string, relation_direction tinyint, encoding string, content binary, content_hash string, content_size long, fields map<string,string>",
     "contents": "hash string, bytes binary",
+    "chunks": "hash string, position long, bytes binary",
     "tags": "id string, key string, value string",
     "spine": "id string, revision int, height long, created_at string",
     "branches": "table_id string, name string, head string",
@@ -47,6 +48,7 @@ class Universe:
     bookmarks: DataFrame | None = None
     raw: DataFrame | None = None
     max_height: int | None = None
+    chunks: DataFrame | None = None  # (hash, position, bytes): contents in chunks
     bands: object | None = None  # references by height (operators.bands.Bands), by which closures are swept
     reverse: DataFrame | None = None  # the references again, laid out by dst
     dangling: DataFrame | None = None  # (dst): what is referenced but not stored; found when it is first needed

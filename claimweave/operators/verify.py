@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from claimweave.functions.ids import BASE32, CONV, address_column
 from claimweave.model import EDGE_CLASSES, NODE_CLASSES, STRUCTURAL, SUBTYPE, TIME_FIELDS, Universe
+from claimweave.operators.chunks import digests
 from claimweave.operators.closure import closure
 from claimweave.plans.predicate import nanoseconds
 
@@ -179,12 +180,17 @@ signed = _rule("signed", "A claim references a contributor, or nothing at all.")
 
 
 def content_integrity(u: Universe) -> DataFrame:
-    """Contents of claims and references match the address and the size that these state; external ones where the store has contents. Each stored content is hashed once, and its bytes stay where they are."""
+    """Contents of claims and references match the address and the size that these state; external ones where the store has contents, whole or in chunks. Each stored content is hashed once, and whole ones stay where they are."""
     parts = ("content", "content_hash", "content_size")
     carriers = u.nodes.select("id", *parts).unionByName(u.edges.select(F.col("src").alias("id"), *parts)).where("content_hash is not null")
     own = carriers.where("content is not null").where((address_column(F.col("content")) != F.col("content_hash")) | (F.length("content") != F.col("content_size"))).select("id", "content_hash")
+    stores = []
     if u.contents is not None:
-        held = u.contents.select(F.col("hash").alias("content_hash"), (address_column(F.col("bytes")) == F.col("hash")).alias("same"), F.length("bytes").alias("n"))
+        stores.append(u.contents.select(F.col("hash").alias("content_hash"), (address_column(F.col("bytes")) == F.col("hash")).alias("same"), F.length("bytes").cast("long").alias("n")))
+    if u.chunks is not None:
+        stores.append(digests(u.chunks).select(F.col("hash").alias("content_hash"), (F.col("fault").isNull() & (F.col("address") == F.col("hash"))).alias("same"), "n"))
+    if stores:
+        held = stores[0] if len(stores) == 1 else stores[0].unionByName(stores[1].join(stores[0], "content_hash", "left_anti"))
         outer = carriers.where("content is null").join(held, "content_hash", "left")
         own = own.unionByName(outer.where("same is null or not same or n <> content_size").select("id", "content_hash"))
     return own.select("id", F.lit("content").alias("rule"), F.col("content_hash").alias("detail"))

@@ -15,7 +15,7 @@ from claimweave.model import Universe
 from claimweave import errors
 from claimweave.functions import ids, media, signatures, wire
 from claimweave.functions.ids import address_column, addressed
-from claimweave.operators import bookmarks, construct, lookup, membership, merge, overlay, sync, tags, verification, verify
+from claimweave.operators import bookmarks, chunks, construct, lookup, membership, merge, overlay, sync, tags, verification, verify
 from claimweave.operators.closure import closure
 from claimweave.plans.engine import Archive, records
 from claimweave.plans.query import Content, Key, Output, Query, Step, Where, leaf
@@ -818,6 +818,22 @@ def verify_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.content_integrity(u.with_(nodes=nodes, edges=u.edges.where("src is null"), contents=contents))
 
 
+@registered(f"""SELECT {_address('text')} AS hash, CASE length(text) % 5 WHEN 1 THEN 'chunk 1 is missing' WHEN 2 THEN 'chunk 1 stands twice' WHEN 3 THEN (n - 1) || ' bytes instead of ' || n ELSE 'other bytes' END AS fault
+    FROM (SELECT DISTINCT text, strlen(text) AS n FROM documents WHERE strlen(text) > 300) WHERE length(text) % 5 IN (1, 2, 3, 4)""")
+def verify_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as contents in chunks of a hundred bytes, of which some lack a chunk, some have one twice, some have lost their last byte and some have other bytes in a chunk."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("octet_length(text) > 300").select("text").distinct()
+    own = addressed(docs.select(F.encode("text", "UTF-8").alias("bytes"), (F.length("text") % 5).alias("kind")), "bytes")
+    kinds = own.select(F.col("address").alias("hash"), "kind", F.length("bytes").cast("long").alias("size"))
+    parts = chunks.chunked(own.select(F.col("address").alias("hash"), "bytes"), 100).join(kinds, "hash")
+    kind, second, last = F.col("kind"), F.col("position") == 1, (F.col("position") + 1) * 100 >= F.col("size")
+    # an added space is a byte like others: the size stays where the first byte goes
+    changed = F.when((kind == 3) & last, F.expr("substring(bytes, 1, length(bytes) - 1)")).when((kind == 4) & second, F.concat(F.expr("substring(bytes, 2, length(bytes) - 1)"), F.unhex(F.lit("00")))).otherwise(F.col("bytes"))
+    copies = F.when((kind == 1) & second, F.array().cast("array<int>")).when((kind == 2) & second, F.array(F.lit(0), F.lit(0))).otherwise(F.array(F.lit(0)))
+    stored_ = parts.select("hash", "position", changed.alias("bytes"), F.explode(copies))
+    return chunks.faults(stored_, kinds.select("hash", "size"))
+
+
 @registered(f"""SELECT 'label:' || doc_id AS id, 'content' AS rule, {_address("'q' || quality")} AS detail FROM labels WHERE doc_id % 3 = 0 UNION ALL SELECT 'label:' || doc_id, 'encoding', 'content without encoding' FROM labels WHERE doc_id % 2 = 0
     UNION ALL SELECT 'doc:' || doc_id, 'content', {_address("source")} FROM documents WHERE source IS NOT NULL AND doc_id % 7 = 0 UNION ALL SELECT 'doc:' || doc_id, 'encoding', 'content without encoding' FROM documents WHERE source IS NOT NULL AND doc_id % 2 = 0""")
 def verify_contents_of_references(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Stores and streams."""
 
 import json
+import threading
 
 from pyspark.sql import functions as F
 
 from claimweave.functions import cbor, ids, wire
 from claimweave.model import SCHEMAS, Universe
-from claimweave.sources import contributions, snapshots, store
+from claimweave.operators import chunks
+from claimweave.sources import contributions, snapshots, stack, store
 from claimweave.streaming import ingest
 
 
@@ -69,3 +71,48 @@ def test_contribution_streams(spark, tmp_path):
     last = store_.commit([got.contribution()], ids.address(eve), "2027-01-01T00:00:00.000000000Z")
     assert {r.name: r.head for r in store_.universe().branches.where(F.col("table_id") == last.head).collect()} == {"main": ids.address(high), "side": ids.address(eve)}
     assert contributions.taken(spark.createDataFrame([], "path string, content binary")).nodes().count() == 0
+
+
+def test_a_stack_fills_its_upper_tier(spark, tmp_path):
+    """The first read fetches and fills, the second one touches the upper tier only; concurrent reads fill the same rows, which a read takes once."""
+    rows, asked = spark.createDataFrame([(f"r{k}", k) for k in range(20)], "id string, v int"), []
+
+    def lower(ids_):
+        asked.append(sorted(r.id for r in ids_.collect()))
+        return rows.join(ids_, "id", "left_semi")
+
+    ask = lambda *names: spark.createDataFrame([(n,) for n in names], "id string")
+    stack_ = stack.Stack(spark, f"{tmp_path}/upper", "id string, v int", lower)
+    assert stack_.upper().count() == 0 and sorted(map(tuple, stack_.get(ask("r1", "r2", "gone", "r1")).collect())) == [("r1", 1), ("r2", 2)]
+    stack_.settle()
+    assert sorted(map(tuple, stack_.get(ask("r1", "r2")).collect())) == [("r1", 1), ("r2", 2)] and asked == [["gone", "r1", "r2"]]
+    assert sorted(r.id for r in stack_.get(ask("r2", "r3")).collect()) == ["r2", "r3"] and asked[1:] == [["r3"]]
+    stack_.settle()
+    readers = [threading.Thread(target=lambda: stack.Stack(spark, f"{tmp_path}/upper", "id string, v int", lower).get(ask("r7", "r8")).collect()) for _ in range(2)]
+    [t.start() for t in readers], [t.join() for t in readers]
+    again = stack.Stack(spark, f"{tmp_path}/upper", "id string, v int", lower)
+    again.compact()
+    n = len(asked)
+    assert {r.id for r in again.upper().collect()} >= {"r1", "r2", "r3"} and again.upper().count() == again.upper().select("id").distinct().count()
+    assert sorted(r.id for r in again.get(ask("r1", "r3")).collect()) == ["r1", "r3"] and len(asked) == n
+    (tmp_path / "upper" / "fill-half").mkdir()
+    (tmp_path / "upper" / "fill-half" / "part-0.parquet").write_bytes(b"half")  # a fill that broke off
+    assert again.upper().count() >= 3
+    assert [r.id for r in stack.healed(rows.where("v > 5"), rows, ask("r1", "r9", "gone")).collect()] == ["r1"]
+
+
+def test_contents_in_chunks(spark):
+    bodies = [b"", b"a", b"ab" * 50, bytes(range(256)) * 3]
+    whole = spark.createDataFrame([(ids.address(b), b) for b in bodies], SCHEMAS["contents"])
+    parts = chunks.chunked(whole, 100)
+    assert {(r.hash, r.position, len(r.bytes)) for r in parts.collect()} == {(ids.address(b), k, len(b[100 * k : 100 * k + 100])) for b in bodies for k in range(max(1, -(-len(b) // 100)))}
+    stated = spark.createDataFrame([(ids.address(b), len(b)) for b in bodies] + [(ids.address(b"far"), None)], "hash string, size long")
+    assert [tuple(r) for r in chunks.faults(parts, stated).collect()] == [(ids.address(b"far"), "not stored")]
+    long, only = ids.address(bodies[3]), stated.where(F.col("size") == 768)
+    rest = parts.where((F.col("hash") == long) & (F.col("position") > 1))
+    first = {r.position: bytes(r.bytes) for r in parts.where(F.col("hash") == long).collect()}
+    put = lambda *rows: rest.unionByName(spark.createDataFrame([(long, k, b) for k, b in rows], SCHEMAS["chunks"]))
+    fault = lambda *rows: [r.fault for r in chunks.faults(put(*rows), only).collect()]
+    assert fault((0, first[0]), (1, first[1])) == [] and fault((0, first[1]), (1, first[0])) == ["other bytes"]
+    assert fault((0, first[0])) == ["chunk 1 is missing"] and fault((1, first[1])) == ["chunk 0 is missing"] and fault((0, first[0]), (1, first[1]), (1, first[1])) == ["chunk 1 stands twice"]
+    assert fault((0, first[0]), (1, first[1][:-1])) == ["767 bytes instead of 768"]
