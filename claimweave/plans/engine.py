@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from claimweave import errors
@@ -28,6 +28,7 @@ class Event:
     step: str
     detail: str
     seconds: float  # since the query began
+    rows: int | None = None  # those of the step, where the report counts them
 
 
 @dataclass
@@ -38,9 +39,12 @@ class Report:
     began: float = field(default_factory=time.monotonic)
     events: list[Event] = field(default_factory=list)
 
-    def say(self, level: str, step: str, detail: str) -> None:
-        if self.level and LEVELS.index(level) <= LEVELS.index(self.level):
-            self.events.append(Event(level, step, detail, time.monotonic() - self.began))
+    def hears(self, level: str) -> bool:
+        return bool(self.level) and LEVELS.index(level) <= LEVELS.index(self.level)
+
+    def say(self, level: str, step: str, detail: str, rows: int | None = None) -> None:
+        if self.hears(level):
+            self.events.append(Event(level, step, detail, time.monotonic() - self.began, rows))
 
 
 @dataclass
@@ -190,13 +194,22 @@ class Archive:
         late = deadline is not None and deadline.late
         if late:
             report.say("info", "limit", f"time {q.seconds} s")
-        claims = u.nodes.join(ids, "id") if "route" in ids.columns else u.nodes.join(ids, "id", "left_semi")
-        found = claims.where(filter_of(q.where))
-        report.say("info", "filter", "none" if q.where is None else "where")
+        reached, kept, counts = Observation(), Observation(), {}
+        if report.hears("debug"):
+            ids = ids.observe(reached, F.count(F.lit(1)).alias("n"))
+        join = lambda ids: u.nodes.join(ids, "id") if "route" in ids.columns else u.nodes.join(ids, "id", "left_semi")
+        found = join(ids).where(filter_of(q.where))
+        if report.hears("debug"):
+            # one job walks, filters, counts and writes the ids that the answer then reads: later steps, which may run more than once, count nothing
+            found = join(stored(found.observe(kept, F.count(F.lit(1)).alias("n")).select(*ids.columns)))
+            counts = {"reached": reached.get["n"], "found": kept.get["n"]}
+            report.say("debug", "reached", "claims of the scope or the path", counts["reached"])
+        report.say("info", "filter", "none" if q.where is None else "where", counts.get("found"))
         keys = sort_columns(q.order)
         rows = found.orderBy(*keys).limit(q.results) if q.results else found
         wide, columns = shaped(rows, q, u)
-        report.say("info", "results", f"order {len(q.order)} keys, limit {q.results or 'none'}")
+        returned = min(counts["found"], q.results or counts["found"]) if counts else None
+        report.say("info", "results", f"order {len(q.order)} keys, limit {q.results or 'none'}", returned)
         references = u.edges.join(rows.select(F.col("id").alias("src")), "src", "left_semi")
         return Result(wide.orderBy(*keys).select(*columns), report, references, found, q.results, late)
 

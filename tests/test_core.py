@@ -3,6 +3,7 @@
 import json
 import random
 import time
+from dataclasses import replace
 from datetime import datetime, timezone
 
 import pytest
@@ -217,6 +218,17 @@ def test_reports(harbour):
     assert [e.seconds for e in events] == sorted(e.seconds for e in events)
 
 
+def test_rows_of_reports(harbour):
+    """Counts equal those of separate queries; the answer itself is the same as without a report."""
+    for q in (Query("main", where=leaf("height", "ge", 1), results=1), Query("main", path=(Step(max=2),), output=Output("path"))):
+        plain, told = harbour.query(q), harbour.query(replace(q, report="debug"))
+        rows = {e.step: e.rows for e in told.report.events}
+        everything = harbour.query(replace(q, where=None, results=0)).rows.count()
+        assert (rows["reached"], rows["filter"], rows["results"]) == (everything, harbour.query(replace(q, results=0)).rows.count(), plain.rows.count())
+        assert [r.id for r in told.rows.collect()] == [r.id for r in plain.rows.collect()]
+        assert all(e.rows is None for e in harbour.query(replace(q, report="info")).report.events)
+
+
 def reference_step(edges, start, step):
     """Levels by hand: a node is expanded once, an arrival counts wherever it ends."""
     depth, collected, level = dict.fromkeys(start, 0), set(start) if step.least == 0 else set(), set(start)
