@@ -49,7 +49,8 @@ class Deadline:
 
 
 def in_time(deadline: Deadline | None, spark: SparkSession, work: Callable[[], DataFrame]) -> DataFrame | None:
-    return work() if deadline is None else deadline.run(spark, work)
+    """work within a deadline. One that is over before a walk begins cuts nothing short: walks look at it after each level, so their first one is answered."""
+    return work() if deadline is None or time.monotonic() > deadline.at else deadline.run(spark, work)
 
 
 def closure(start: DataFrame, edges: DataFrame, depth: int | None = None, stop_at: DataFrame | None = None, deadline: Deadline | None = None) -> DataFrame:
