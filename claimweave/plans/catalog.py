@@ -19,7 +19,7 @@ from claimweave.operators import bookmarks, chunks, construct, lookup, membershi
 from claimweave.operators.closure import closure
 from claimweave.plans.engine import Archive, records
 from claimweave.plans.query import Content, Key, Output, Query, Step, Where, leaf
-from claimweave.sources import contributions, snapshots
+from claimweave.sources import blobstores, contributions, snapshots
 from claimweave.sources.starschema import ingested
 from claimweave.storage import scratch, stored
 
@@ -1029,6 +1029,46 @@ def _two_stores(spark: SparkSession, sf_dir: str) -> tuple[Universe, Universe]:
     return source, target
 
 
+@registered(f"SELECT DISTINCT {_address('text')} AS hash, sha256(text) AS digest, CAST(strlen(text) AS BIGINT) AS size FROM documents WHERE text IS NOT NULL")
+def sqlite_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as contents in SQLite files, read in ranges of their addresses. A first commit holds those of even length with other bytes, which the second one mends."""
+    path = scratch(spark, "blobs")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    own = addressed(docs.select(F.encode("text", "UTF-8").alias("data")), "data").withColumnRenamed("address", "id")
+    blobstores.save(own.where("length(data) % 2 = 0").withColumn("data", F.substring("data", 1, 3)), path)
+    blobstores.save(own, path)
+    return blobstores.open_blobs(spark, path).select(F.col("id").alias("hash"), F.sha2("data", 256).alias("digest"), F.length("data").cast("long").alias("size"))
+
+
+@registered(sql("SELECT e.dst AS customer, n.created_at, n.f_status AS status, n.f_priority AS priority, count(*) AS n FROM nodes n JOIN edges e ON e.src = n.id WHERE n.type = 'source/order' GROUP BY ALL"))
+def sqlite_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders as claims' records in SQLite files, and what their nodes and references say when they are read again; orders that are alike are counted."""
+    u, path = ingested(spark, sf_dir), scratch(spark, "blobs")
+    orders = u.nodes.where("type = 'source/order'").select("id")
+    made = wire.encoded(records(orders, u.nodes, u.edges, None)).select("claim.id", "encoded")
+    # records are addressed by what they say, so orders that say the same are one claim
+    made = stored(addressed(made, "encoded"))
+    blobstores.save(blobstores.records_as_blobs(made), path)
+    back = blobstores.open_blobs(spark, path).select("data")
+    nodes, edges = wire.nodes_of(back), wire.edges_of(back)
+    said = nodes.join(edges.select("src", F.col("dst").alias("customer")), F.col("id") == F.col("src"))
+    said = said.select(F.col("id").alias("address"), "customer", "created_at", F.col("fields")["status"].alias("status"), F.col("fields")["priority"].alias("priority"))
+    return said.join(made.select("address"), "address").groupBy("customer", "created_at", "status", "priority").agg(F.count(F.lit(1)).alias("n"))
+
+
+@registered(f"SELECT CAST(l.doc_id AS BIGINT) AS doc_id, {_address('text')} AS hash, CAST(strlen(text) AS BIGINT) AS size FROM labels l JOIN documents d ON d.doc_id = l.doc_id WHERE l.toxic = 1 AND text IS NOT NULL")
+def sqlite_look_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contents that the claims of toxic documents name, looked up by their addresses in SQLite files with all texts."""
+    path = scratch(spark, "blobs")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    own = addressed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("data")), "data").withColumnRenamed("address", "id")
+    blobstores.save(own, path)
+    toxic = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 1").select(F.col("doc_id").cast("long").alias("doc_id"))
+    named = stored(own.select("doc_id", "id").join(toxic, "doc_id"))
+    found = blobstores.looked_up(named, path)
+    return named.join(found, "id").select("doc_id", F.col("id").alias("hash"), F.length("data").cast("long").alias("size"))
+
+
 @registered("SELECT lang, count(DISTINCT text) AS n, CAST(sum(DISTINCT strlen(text)) AS BIGINT) AS distinct_sizes FROM documents WHERE text IS NOT NULL AND text NOT IN (SELECT text FROM documents WHERE text IS NOT NULL AND doc_id % 3 = 0) GROUP BY lang")
 def copy_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contents that a store lacks, by the languages of the documents that have them."""
