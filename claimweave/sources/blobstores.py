@@ -31,6 +31,8 @@ from claimweave.functions.ids import address_column
 NAME = "claim_sqlite"
 SCHEMA = "id string, data binary"
 TABLE = "CREATE TABLE blobs (id TEXT PRIMARY KEY, data BLOB NOT NULL)"
+#: Blobs of some kilobytes leave much of a page of the usual 4 KB empty; any program reads any size of page.
+PAGE = "PRAGMA page_size = 32768"
 #: Bytes of data in a file, in a range that one task reads, and in a batch.
 FILE, RANGE, BATCH = 64 << 20, 64 << 20, 4 << 20
 #: Ids in one look-up of a file, and ids sampled for each range of a file that states none.
@@ -248,6 +250,7 @@ class _Writer(DataSourceArrowWriter):
                     db = None
                 if db is None:
                     db, size = sqlite3.connect(":memory:"), 0
+                    db.execute(PAGE)
                     db.execute(TABLE)
                 db.execute("INSERT OR REPLACE INTO blobs VALUES (?, ?)", (id_, data))
                 size += len(data)
