@@ -37,6 +37,8 @@ PAGE = "PRAGMA page_size = 32768"
 FILE, RANGE, BATCH = 64 << 20, 64 << 20, 4 << 20
 #: Ids in one look-up of a file, and ids sampled for each range of a file that states none.
 ASKED, SAMPLED = 500, 20
+#: Ids that a task remembers as sent.
+LATELY = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -284,12 +286,30 @@ def open_blobs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format(NAME).load(path)
 
 
+def _thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches without rows whose id the task has sent on lately, so that copies of one id do not all travel; the writer meets what is left of them."""
+    lately: dict[str | None, None] = {}
+    for batch in batches:
+        kept = []
+        for at, id_ in enumerate(batch.column("id").to_pylist()):
+            if id_ is None or id_ not in lately:
+                kept.append(at)
+            lately.pop(id_, None)
+            lately[id_] = None
+            if len(lately) > LATELY:
+                del lately[next(iter(lately))]
+        yield batch if len(kept) == batch.num_rows else batch.take(pa.array(kept, pa.int64()))
+
+
 def save(rows: DataFrame, path: str, ranges: int | None = None, mode: str = "append") -> None:
-    """Write (id, data) in ranges of ids, as one commit; copies of a row are written once. Rows without an id or without bytes are refused."""
+    """Write (id, data) in ranges of ids, as one commit; copies of a row are written once. Rows without an id or without bytes are refused.
+
+    The rows travel once, to their range; of an id that repeats each task sends about one. Of an id with several bytes any may stay.
+    """
     register(rows.sparkSession)
-    once = rows.select("id", "data").dropDuplicates(["id"])
-    once = once.repartitionByRange(ranges, "id") if ranges else once.repartitionByRange("id")
-    once.write.format(NAME).mode(mode).save(path)
+    sent = rows.select("id", "data").mapInArrow(_thinned, SCHEMA)
+    sent = sent.repartitionByRange(ranges, "id") if ranges else sent.repartitionByRange("id")
+    sent.sortWithinPartitions("id").write.format(NAME).mode(mode).save(path)
 
 
 def looked_up(ids: DataFrame, path: str, ranges: int | None = None) -> DataFrame:

@@ -94,6 +94,18 @@ def test_only_commits_count(spark, store, tmp_path, monkeypatch):
         blobstores.open_blobs(spark, f"{tmp_path}/nowhere").collect()
 
 
+def test_copies_travel_once_a_task(spark, tmp_path, monkeypatch):
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, 'hot', cast(id % 500 as string)) id", "encode(if(id % 3 = 0, 'hot', cast(id % 500 as string)), 'UTF-8') data").repartition(3)
+    sent = rows.mapInArrow(blobstores._thinned, blobstores.SCHEMA)
+    assert sent.where("id = 'hot'").count() == 3 and sent.count() <= 3 * 501
+    for name, lately in (("wide", 1 << 16), ("narrow", 2)):
+        monkeypatch.setattr(blobstores, "LATELY", lately)
+        monkeypatch.setattr(blobstores, "FILE", 300)
+        blobstores.save(rows, f"{tmp_path}/{name}", 2)
+        got = blobstores.open_blobs(spark, f"{tmp_path}/{name}").collect()
+        assert len(got) == 501 and all(r.id.encode() == bytes(r.data) for r in got)
+
+
 @pytest.fixture
 def service():
     """A service of blobs that fails once in a while."""
