@@ -1044,8 +1044,9 @@ def sqlite_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sqlite_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All orders as claims' records in SQLite files, and what their nodes and references say when they are read again; orders that are alike are counted."""
     u, path = ingested(spark, sf_dir), scratch(spark, "blobs")
-    orders = u.nodes.where("type = 'source/order'").select("id")
-    made = wire.encoded(records(orders, u.nodes, u.edges, None)).select("claim.id", "encoded")
+    # the references of orders alone are shuffled, not those of all claims
+    orders, cited = u.nodes.where("type = 'source/order'"), u.edges.where("src like 'order:%'")
+    made = wire.encoded(records(orders.select("id"), orders, cited, None)).select("claim.id", "encoded")
     # records are addressed by what they say, so orders that say the same are one claim
     made = stored(addressed(made, "encoded"))
     blobstores.save(blobstores.records_as_blobs(made), path)
