@@ -20,7 +20,7 @@ from claimweave.operators.closure import closure
 from claimweave.plans.engine import Archive, records
 from claimweave.plans.query import Content, Key, Output, Query, Step, Where, leaf
 from claimweave.sources import blobstores, contributions, snapshots
-from claimweave.sources.starschema import ingested
+from claimweave.sources.starschema import ingested, universe
 from claimweave.storage import scratch, stored
 
 BASE_TEXT = "1990-01-01T00:00:00.000000000Z"
@@ -1043,9 +1043,9 @@ def sqlite_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(sql("SELECT e.dst AS customer, n.created_at, n.f_status AS status, n.f_priority AS priority, count(*) AS n FROM nodes n JOIN edges e ON e.src = n.id WHERE n.type = 'source/order' GROUP BY ALL"))
 def sqlite_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All orders as claims' records in SQLite files, and what their nodes and references say when they are read again; orders that are alike are counted."""
-    u, path = ingested(spark, sf_dir), scratch(spark, "blobs")
-    # the references of orders alone are shuffled, not those of all claims
-    orders, cited = u.nodes.where("type = 'source/order'"), u.edges.where("src like 'order:%'")
+    u, path = universe(spark, sf_dir), scratch(spark, "blobs")
+    # from the star schema itself: no closure is asked for, so no other claims are made, nor bands of them
+    orders, cited = u.nodes.where("type = 'source/order'"), u.edges.where("type = 'derivation/customer' and src like 'order:%'")
     made = wire.encoded(records(orders.select("id"), orders, cited, None)).select("claim.id", "encoded")
     # records are addressed by what they say, so orders that say the same are one claim
     made = stored(addressed(made, "encoded"))
