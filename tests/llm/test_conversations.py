@@ -179,6 +179,17 @@ def test_trie_against_plain_python(spark, rows):
     assert nodes.select("prefix").distinct().count() == len(want)
 
 
+@pytest.mark.parametrize("kind", ["long", "int", "double"])
+def test_trie_of_any_ids(spark, tmp_path, kind):
+    """Ids at the ends of a long borrow and lend like others; whatever the type of the ids, they are whole numbers and leave as long."""
+    ids = [-(2**63), -(2**63) + 3, -(2**63) + 4, *range(2**63 - 9, 2**63)] if kind == "long" else [*range(1, 12), 10**8]
+    rows = [(c, k, "user", f"{c % 3} {k}") for c in ids for k in range(5)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("conv_id", F.col("conv_id").cast(kind)).write.parquet(f"{tmp_path}/conversations.parquet")
+    nodes = trie.op13_prefix_trie(spark, str(tmp_path))
+    assert {nodes.schema[c].dataType.simpleString() for c in nodes.columns if c != "ends_sha256"} == {"bigint"}
+    assert {tuple(x) for x in nodes.collect()} == expected_trie(rows)
+
+
 def test_trie_of_paths_as_they_are(spark):
     frame = table(spark, [(1, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, "user", "b"), (None, 0, "user", "a")])
     got = {(r.depth, r.conv_id): r for r in trie.prefix_trie(trie.paths(trie.digested(frame))).collect()}
