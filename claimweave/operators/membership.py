@@ -10,27 +10,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimweave.operators.kinds import Kinds, met as kinds_of, references, rows
 from claimweave.storage import stored
 
 
-def reaching(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The pairs (id, head), once each, whose claim lies in the closure of the head; a claim lies in its own. Claims and heads that are not stored lie nowhere and reach nothing."""
-    heights = nodes.select("id", "height")
-    asked = pairs.select("id", "head").distinct().join(heights.withColumnRenamed("height", "low"), "id").join(heights.select(F.col("id").alias("head"), F.col("height").alias("high")), "head")
+def reaching(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, known: Kinds | None = None) -> DataFrame:
+    """The pairs (id, head), once each, whose claim lies in the closure of the head; a claim lies in its own. Claims and heads that are not stored lie nowhere and reach nothing.
+    known: what ids tell of their claims."""
+    heights = lambda kinds: rows(known, nodes, kinds).select("id", "height")
+    pairs = stored(pairs.select("id", "head").distinct())
+    kinds_down, kinds_up = kinds_of(known, pairs, "head"), kinds_of(known, pairs)
+    asked = pairs.join(heights(kinds_up).withColumnRenamed("height", "low"), "id").join(heights(kinds_down).select(F.col("id").alias("head"), F.col("height").alias("high")), "head")
     asked = stored(asked.where("id = head or low < high"))
     found = asked.where("id = head").select("id", "head")
     open_ = asked.where("id <> head")
-    links = edges.select("src", "dst")
     # a side: its frontier and what it has seen (owner, at, bound), and how it goes on
     down = stored(open_.groupBy(F.col("head").alias("owner")).agg(F.min("low").alias("bound")).select("owner", F.col("owner").alias("at"), "bound"))
     up = stored(open_.groupBy(F.col("id").alias("owner")).agg(F.max("high").alias("bound")).select("owner", F.col("owner").alias("at"), "bound"))
     seen_down, seen_up = down, up
     while not (down.isEmpty() or up.isEmpty()):
-        below = down.join(links, F.col("at") == F.col("src")).select("owner", "bound", F.col("dst").alias("at"))
-        above = up.join(links, F.col("at") == F.col("dst")).select("owner", "bound", F.col("src").alias("at"))
+        below = down.join(references(known, edges, src=kinds_down).select("src", "dst"), F.col("at") == F.col("src")).select("owner", "bound", F.col("dst").alias("at"))
+        above = up.join(references(known, edges, dst=kinds_up).select("src", "dst"), F.col("at") == F.col("dst")).select("owner", "bound", F.col("src").alias("at"))
         descend = below.count() <= above.count()
         step, seen, inside = (below, seen_down, "height >= bound") if descend else (above, seen_up, "height <= bound")
-        level = step.distinct().join(heights.withColumnRenamed("id", "at"), "at").where(inside).drop("height").join(seen, ["owner", "at"], "left_anti").select("owner", "at", "bound")
+        if known is not None:
+            kinds_down, kinds_up = (known.below(kinds_down), kinds_up) if descend else (kinds_down, known.above(kinds_up))
+        level = step.distinct().join(heights(kinds_down if descend else kinds_up).withColumnRenamed("id", "at"), "at").where(inside).drop("height").join(seen, ["owner", "at"], "left_anti").select("owner", "at", "bound")
         level = stored(level)
         own, other = ("head", "id") if descend else ("id", "head")
         meet = level.select(F.col("owner").alias(own), "at").join((seen_up if descend else seen_down).select(F.col("owner").alias(other), "at"), "at").select("id", "head").distinct()
@@ -48,7 +53,7 @@ def reaching(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return found
 
 
-def members(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def members(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, known: Kinds | None = None) -> DataFrame:
     """pairs (id, head, and any other columns) with `member`."""
-    held = reaching(pairs, nodes, edges).withColumn("member", F.lit(True))
+    held = reaching(pairs, nodes, edges, known).withColumn("member", F.lit(True))
     return pairs.join(held, ["id", "head"], "left").withColumn("member", F.coalesce("member", F.lit(False)))

@@ -13,6 +13,7 @@ from claimweave.errors import Inadmissible
 from claimweave.functions import wire
 from claimweave.functions.ids import address
 from claimweave.model import SCHEMAS, Universe
+from claimweave.operators.kinds import met, rows as rows_of
 from claimweave.operators.membership import reaching
 from claimweave.operators.sync import open_heads
 from claimweave.plans.predicate import nanoseconds
@@ -75,20 +76,31 @@ def minted_all(claims: DataFrame, contributor: str, created_at: str) -> DataFram
 
 def _with(u: Universe, made: DataFrame, contributor: str) -> tuple[Universe, DataFrame, DataFrame]:
     """u with the claims of minted_all() that it does not hold yet, and their nodes and references."""
-    new = stored(made.join(u.nodes.select("id"), "id", "left_anti"))
+    kinds = met(u.kinds, made)
+    held = rows_of(u.kinds, u.nodes, kinds).select("id").join(made.select("id"), "id", "left_semi")  # the few claims go to the many
+    new = stored(made.join(held, "id", "left_anti"))
     classes = lambda rows: rows.withColumn("type_class", F.substring_index("type", "/", 1)).withColumn("type_sub", F.substring_index("type", "/", -1))
     none = F.create_map().cast("map<string,string>")
     nodes = classes(new.select("id", "type", "height", "created_at")).withColumn("fields", none).withColumn("contributor", F.lit(contributor)).withColumn("created_at_ns", nanoseconds(F.col("created_at")))
     edges = new.select(F.col("id").alias("src"), F.posexplode("edges").alias("ord", "e")).select("src", "ord", "e.edge_id", "e.dst", "e.type", "e.name")
     edges = classes(edges).withColumn("fields", F.when(F.col("name").isNotNull(), F.create_map(F.lit("name"), "name")).otherwise(none)).withColumn("relation_direction", F.lit(0).cast("tinyint")).drop("name")
     nodes, edges = _filled(nodes, "nodes").select(*u.nodes.columns), _filled(edges, "edges").select(*u.edges.columns)
-    return u.with_(nodes=u.nodes.unionByName(nodes), edges=u.edges.unionByName(edges)), nodes, edges
+    known = u.kinds
+    if known is not None:
+        cited = new.select("type", F.explode("edges").alias("e")).select("type", F.col("e.type").alias("link"), F.col("e.dst").alias("dst"))
+        known = known.with_claims({r.type for r in new.select("type").distinct().collect()}, [(r.type, r.link, met(known, cited.where((F.col("type") == r.type) & (F.col("link") == r.link)), "dst")) for r in cited.select("type", "link").distinct().collect()])
+    return u.with_(nodes=u.nodes.unionByName(nodes), edges=u.edges.unionByName(edges), kinds=known), nodes, edges
+
+
+def _row(u: Universe, id_: str) -> DataFrame:
+    return rows_of(u.kinds, u.nodes, None if u.kinds is None else u.kinds.of(id_)).where(F.col("id") == id_)
 
 
 def _top(u: Universe, ids: DataFrame, contributor: str) -> DataFrame:
     """ids (id, and other columns) with the heights of their claims and of the contributor as `height`, `floor`; an error where one of them is not stored."""
-    own = u.nodes.where(F.col("id") == contributor).select("height").take(1)
-    found = stored(ids.join(u.nodes.select("id", "height"), "id", "left"))
+    own = _row(u, contributor).select("height").take(1)
+    heights = rows_of(u.kinds, u.nodes, met(u.kinds, ids)).select("id", "height").join(ids.select("id"), "id", "left_semi")  # the few ids go to the many claims
+    found = stored(ids.join(heights, "id", "left"))
     gone = found.where("height is null").count() + (not own)
     if gone:
         raise Inadmissible(f"{gone} references to claims that are not stored")
@@ -133,7 +145,7 @@ def merged(u: Universe, head: str | None, contributed: dict[str, DataFrame] | Da
     held = u.branches.where(F.col("table_id") == head).select("name", "head") if head is not None else spark.createDataFrame([], "name string, head string")
     held, asked = stored(held), stored(_offered(u, contributed))
     pairs = asked.join(held, "name")
-    known = pairs.join(reaching(pairs, u.nodes, u.edges), ["id", "head"], "left_semi").select("name", "id")
+    known = pairs.join(reaching(pairs, u.nodes, u.edges, u.kinds), ["id", "head"], "left_semi").select("name", "id")
     fresh = stored(asked.join(known, ["name", "id"], "left_anti"))
     if fresh.isEmpty():
         return Minted(u, head)
@@ -148,8 +160,8 @@ def merged(u: Universe, head: str | None, contributed: dict[str, DataFrame] | Da
     # the table's own record: a reference for each branch that advances, and the table before
     links = rows.select(F.struct(F.lit("contribution/branch").alias("type"), F.col("id").alias("dst"), F.col("key").alias("name")).alias("link"), "height")
     if head is not None:
-        links = links.unionByName(u.nodes.where(F.col("id") == head).select(F.struct(F.lit("contribution/diff").alias("type"), F.col("id").alias("dst"), F.lit(None).cast("string").alias("name")).alias("link"), "height"))
-    floor = u.nodes.where(F.col("id") == contributor).select("height").first().height
+        links = links.unionByName(_row(u, head).select(F.struct(F.lit("contribution/diff").alias("type"), F.col("id").alias("dst"), F.lit(None).cast("string").alias("name")).alias("link"), "height"))
+    floor = _row(u, contributor).select("height").first().height
     table = links.agg(F.greatest(F.max("height"), F.lit(floor)).alias("top"), F.array_sort(F.collect_list("link")).alias("links")).select(F.lit("table").alias("key"), F.lit("contribution/branches").alias("type"), "top", "links")
     table = stored(minted_all(table, contributor, created_at))
     u, more_nodes, more_edges = _with(u, table, contributor)
